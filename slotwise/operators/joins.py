@@ -1,0 +1,23 @@
+"""Joins whose small side is checked before it is broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Most keys ever broadcast; beyond it the join shuffles.
+MAX_BROADCAST_KEYS = 10_000
+
+
+def keep_known_keys(
+    facts: DataFrame, keys: DataFrame, key: str, limit: int = MAX_BROADCAST_KEYS
+) -> DataFrame:
+    """Facts whose ``key`` is among ``keys``, without shuffling the facts if it can.
+
+    The distinct keys are counted, up to the limit only. Few enough, and they are
+    broadcast, so a key that holds most of the facts stays spread over its tasks.
+    """
+    distinct = keys.select(key).distinct()
+    if distinct.limit(limit + 1).count() <= limit:
+        distinct = F.broadcast(distinct)
+    return facts.join(distinct, key, "left_semi")
