@@ -19,12 +19,12 @@ STORAGE_AS_OF = "2001-10-15 00:00:00"
 
 def _conform(df: DataFrame, table: str) -> DataFrame:
     """Columns in the declared order and types; absent ones are NULL."""
-    missing = {
-        f.name: F.lit(None).cast(f.dataType) for f in schemas.ALL[table] if f.name not in df.columns
-    }
-    if missing:
-        df = df.withColumns(missing)
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.ALL[table]])
+    return df.select(
+        *[
+            (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in schemas.ALL[table].items()
+        ]
+    )
 
 
 def _numbered(prefix: str, n: Column) -> Column:

@@ -38,19 +38,29 @@ from slotwise.params import AsOf, Prices
 from slotwise.plans.jobs import _costly
 from slotwise.sources.warehouse import Warehouse
 
-BYTES = F.col("totalBilledBytes")
-BILLING_PROJECT = F.col("projectId").alias("billingProjectId")
-RAN = (F.col("startTime"), F.col("endTime"))
-RAN_MS = elapsed_ms(*RAN).alias("executionTimeMs")
+def _bytes() -> Column:
+    return F.col("totalBilledBytes")
+
+
+def _billing_project() -> Column:
+    return F.col("projectId").alias("billingProjectId")
+
+
+def _ran() -> tuple[Column, Column]:
+    return F.col("startTime"), F.col("endTime")
+
+
+def _ran_ms() -> Column:
+    return elapsed_ms(*_ran()).alias("executionTimeMs")
 
 
 def _cost(price: float, per: int = fv.TIB) -> Column:
-    return F.round(on_demand(or_zero(BYTES), price, per), 2).alias("onDemandCost")
+    return F.round(on_demand(or_zero(_bytes()), price, per), 2).alias("onDemandCost")
 
 
 def _slots(literal: bool = False, digits: int | None = None) -> Column:
     """Average slots; ``literal`` has run time over slot time, its inverse."""
-    rate = slot_rate(F.col("totalSlotMs"), *RAN, inverted=literal)
+    rate = slot_rate(F.col("totalSlotMs"), *_ran(), inverted=literal)
     rate = rate if digits is None else F.round(rate, digits)
     return rate.alias("approximateSlotCount")
 
@@ -69,7 +79,7 @@ def _list_base(events: DataFrame, *tail: Column | str) -> DataFrame:
             "timestamp",
             "jobId",
             "location",
-            BILLING_PROJECT,
+            _billing_project(),
             "startTime",
             "endTime",
             *tail,
@@ -92,9 +102,9 @@ def general_job_information(
     return _list_base(
         events,
         _cost(prices.on_demand_legacy).alias("cost"),
-        or_zero(BYTES).alias("totalBilledBytes"),
+        or_zero(_bytes()).alias("totalBilledBytes"),
         "totalSlotMs",
-        RAN_MS,
+        _ran_ms(),
         _slots(literal),
     )
 
@@ -114,7 +124,7 @@ def looker_job_information(
         events.filter(F.col("user").rlike(account)),
         "totalBilledBytes",
         "totalSlotMs",
-        RAN_MS,
+        _ran_ms(),
         _slots(literal),
     )
 
@@ -151,7 +161,7 @@ def load_job_information(
             "timestamp",
             "jobId",
             "location",
-            BILLING_PROJECT,
+            _billing_project(),
             "startTime",
             "endTime",
             "totalProcessedBytes",
@@ -160,7 +170,7 @@ def load_job_information(
             target["datasetId"].alias("destinationDatasetId"),
             target["tableId"].alias("destinationTabletId"),
             "totalSlotMs",
-            RAN_MS,
+            _ran_ms(),
             _slots(literal),
         )
         .orderBy("startTime", "jobId")
@@ -193,7 +203,7 @@ def query_job_information(
             "referencedTables",
             labels.alias("labels"),
             _cost(prices.on_demand_legacy),
-            *byte_ladder(BYTES),
+            *byte_ladder(_bytes()),
             "totalSlotMs",
             _slots(),
         )
@@ -219,12 +229,12 @@ def longest_running_queries(
         "jobId",
         "query",
         "projectId",
-        elapsed("second", *RAN).alias("runningTimeInSeconds"),
-        F.try_divide(elapsed_ms(*RAN), BYTES).alias("runtimeToBytesBilledRatio"),
+        elapsed("second", *_ran()).alias("runningTimeInSeconds"),
+        F.try_divide(elapsed_ms(*_ran()), _bytes()).alias("runtimeToBytesBilledRatio"),
         "startTime",
         "endTime",
         _cost(prices.on_demand_legacy),
-        *byte_ladder(BYTES),
+        *byte_ladder(_bytes()),
         _slots(),
     )
 
@@ -244,7 +254,7 @@ def query_counts(
     project, charges the price of a TiB per GiB.
     """
     events = recent_events(wh.audit_log, as_of, days, project_id=project_id)
-    texts = runs_per_text(latest_events(events), "query", or_zero(BYTES))
+    texts = runs_per_text(latest_events(events), "query", or_zero(_bytes()))
     if literal:
         rows = events.filter(F.col("query").isNotNull()).groupBy("query")
         pairs = rows.agg((F.count("*") * F.count("*")).alias("pairs"))
@@ -270,7 +280,7 @@ def top_costly_queries(
 ) -> DataFrame:
     """Texts by the cost of all their runs; ``literal`` as in the job view's report."""
     events = recent_events(wh.audit_log, as_of, days, kind="query", project_id=project_id)
-    texts = runs_per_text(latest_events(events), "query", or_zero(BYTES))
+    texts = runs_per_text(latest_events(events), "query", or_zero(_bytes()))
     return _costly(texts, prices.on_demand_legacy, literal)
 
 
@@ -309,7 +319,7 @@ def top_billed_labels(
         .select("totalBilledBytes", F.inline(labels).alias("labelKey", "labelValue"))
         .filter(F.col("labelKey").isNotNull() & F.col("labelValue").isNotNull())
         .groupBy("labelKey", "labelValue")
-        .agg(sum_bytes(or_zero(BYTES)).alias("bytes"))
+        .agg(sum_bytes(or_zero(_bytes())).alias("bytes"))
         .select(
             "labelKey",
             "labelValue",
@@ -335,11 +345,11 @@ def _billed_columns(price: float, per: int = fv.TIB) -> list[Column | str]:
         "timestamp",
         "jobId",
         "location",
-        BILLING_PROJECT,
+        _billing_project(),
         "startTime",
         "endTime",
         _cost(price, per),
-        *byte_ladder(BYTES),
+        *byte_ladder(_bytes()),
         "totalBilledBytes",
         "query",
     ]
@@ -392,7 +402,7 @@ def top_complex_queries(
 ) -> DataFrame:
     """Query jobs by average slots, most first."""
     events = recent_events(wh.audit_log, as_of, days, kind="query", project_id=project_id)
-    cost = F.round(on_demand(BYTES, prices.on_demand_legacy), 2).alias("onDemandCost")
+    cost = F.round(on_demand(_bytes(), prices.on_demand_legacy), 2).alias("onDemandCost")
     return (
         latest_events(events)
         .select(
@@ -401,13 +411,13 @@ def top_complex_queries(
             "query",
             "jobId",
             "location",
-            BILLING_PROJECT,
+            _billing_project(),
             "startTime",
             "endTime",
             "totalBilledBytes",
             cost,
             "totalSlotMs",
-            RAN_MS,
+            _ran_ms(),
         )
         .filter(F.col("approximateSlotCount").isNotNull())
         .orderBy(F.col("approximateSlotCount").desc(), "jobId")
@@ -416,7 +426,7 @@ def top_complex_queries(
 
 def _cost_by(events: DataFrame, keys: list[Column | str], price: float, per: int) -> DataFrame:
     """Sum of the jobs' costs in whole cents, leaving out jobs that round to none."""
-    cents = F.round(on_demand(BYTES, price, per), 2).cast("decimal(18,2)")
+    cents = F.round(on_demand(_bytes(), price, per), 2).cast("decimal(18,2)")
     return (
         latest_events(events)
         .select(*keys, cents.alias("cents"))
@@ -455,7 +465,7 @@ def top_cost_user_by_region_and_project(
     """
     events = recent_events(wh.audit_log, as_of, days, kind="query")
     per = fv.GIB if literal else fv.TIB
-    keys = ["user", "location", BILLING_PROJECT]
+    keys = ["user", "location", _billing_project()]
     return _cost_by(events, keys, prices.on_demand_legacy, per).orderBy(
         F.col("user").desc(), F.col("onDemandCost").desc(), "location", "billingProjectId"
     )
@@ -478,11 +488,11 @@ def slot_usage_by_billing_project_and_project(
         config=False, project=False, query_text=True, billed=True,
     )
     jobs = latest_events(started_since(events, as_of, start_within_days))
-    slot_ms, ran = F.col("totalSlotMs"), elapsed_ms(*RAN)
+    slot_ms, ran = F.col("totalSlotMs"), elapsed_ms(*_ran())
     nano = nano_ratio(ran, slot_ms) if literal else nano_ratio(slot_ms, ran)
     return (
         jobs.select(
-            BILLING_PROJECT,
+            _billing_project(),
             nano.alias("nano"),
             F.inline("referencedTables").alias("projectId", "datasetId", "tableId"),
         )
@@ -537,7 +547,7 @@ def slots_by(
         event_type(F.col("eventName")).alias("eventType"),
         "startTime",
         "endTime",
-        nano_ratio(F.col("totalSlotMs"), elapsed_ms(*RAN)).alias("nano"),
+        nano_ratio(F.col("totalSlotMs"), elapsed_ms(*_ran())).alias("nano"),
     )
     jobs = jobs.filter(F.col("nano").isNotNull())
     keys = ["user", "eventType"] if by_user else ["eventType"]
@@ -592,9 +602,9 @@ def billing_recommendations_per_query(
         "endTime",
         _slots(),
         _cost(prices.on_demand_legacy),
-        *byte_ladder(BYTES),
+        *byte_ladder(_bytes()),
         event_type(F.col("eventName")).alias("eventType"),
-        RAN_MS,
+        _ran_ms(),
     )
     counted = attach_run_count(runs, "query", "queryCount")
     cost, count = F.col("onDemandCost"), F.col("queryCount")

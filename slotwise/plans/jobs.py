@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise import fixed_values as fv
@@ -29,15 +29,26 @@ from slotwise.operators.scans import within_civil
 from slotwise.params import AsOf, Prices
 from slotwise.sources.warehouse import Warehouse
 
-# Job columns under their report names.
-USER = F.col("user_email").alias("user")
-JOB_TYPE = F.col("job_type").alias("jobType")
-JOB_ID = F.col("job_id").alias("jobId")
-PROJECT = F.col("project_id").alias("projectId")
-START = F.col("start_time").alias("startTime")
-END = F.col("end_time").alias("endTime")
-SLOT_MS = F.col("total_slot_ms").alias("totalSlotMs")
-BYTES = F.col("total_bytes_billed")
+def _bytes() -> Column:
+    return F.col("total_bytes_billed")
+
+
+def _user() -> Column:
+    return F.col("user_email").alias("user")
+
+
+def _job_type() -> Column:
+    return F.col("job_type").alias("jobType")
+
+
+def _run() -> list[Column]:
+    """Identity and times of a job under their report names."""
+    names = {"job_id": "jobId", "project_id": "projectId", "start_time": "startTime", "end_time": "endTime"}
+    return [F.col(c).alias(n) for c, n in names.items()]
+
+
+def _slot_ms() -> Column:
+    return F.col("total_slot_ms").alias("totalSlotMs")
 
 
 def _approximate_slots():
@@ -46,7 +57,7 @@ def _approximate_slots():
 
 
 def _cost(price: float, name: str = "onDemandCost"):
-    return F.round(on_demand(BYTES, price), 2).alias(name)
+    return F.round(on_demand(_bytes(), price), 2).alias(name)
 
 
 def finished_jobs(
@@ -63,19 +74,16 @@ def general_job_information(
 ) -> DataFrame:
     """Every finished job with its billing type, bytes, cost and slots."""
     return latest_jobs(finished_jobs(wh, as_of, days, tz=tz)).select(
-        USER,
-        JOB_TYPE,
+        _user(),
+        _job_type(),
         F.col("reservation_id").alias("reservationId"),
         F.when(F.col("reservation_id").isNull(), "On-Demand")
         .otherwise("Editions")
         .alias("queryBillingType"),
         "query",
-        JOB_ID,
-        PROJECT,
-        START,
-        END,
-        *byte_ladder(BYTES),
-        SLOT_MS,
+        *_run(),
+        *byte_ladder(_bytes()),
+        _slot_ms(),
         _cost(prices.on_demand),
         _approximate_slots(),
     )
@@ -87,19 +95,16 @@ def load_job_information(
     """Load jobs and their destinations (source URIs are not in the job view)."""
     target = F.col("destination_table")
     return latest_jobs(finished_jobs(wh, as_of, days, "LOAD", tz)).select(
-        USER,
-        JOB_TYPE,
+        _user(),
+        _job_type(),
         "query",
-        JOB_ID,
-        PROJECT,
-        START,
-        END,
+        *_run(),
         F.col("total_bytes_processed").alias("totalBytesProcessed"),
         F.lit(None).cast("string").alias("sourceUris"),
         target["project_id"].alias("destinationProjectId"),
         target["dataset_id"].alias("datasetId"),
         target["table_id"].alias("tableId"),
-        SLOT_MS,
+        _slot_ms(),
         _approximate_slots(),
     )
 
@@ -109,17 +114,14 @@ def query_job_information(
 ) -> DataFrame:
     """Query jobs with the tables they read and their labels."""
     return latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz)).select(
-        USER,
+        _user(),
         "query",
-        JOB_ID,
-        PROJECT,
-        START,
-        END,
+        *_run(),
         F.col("referenced_tables").alias("referencedTables"),
         "labels",
         _cost(prices.on_demand),
-        *byte_ladder(BYTES),
-        SLOT_MS,
+        *byte_ladder(_bytes()),
+        _slot_ms(),
         _approximate_slots(),
     )
 
@@ -136,15 +138,12 @@ def looker_job_information(
     """Jobs of service accounts whose address matches ``account``."""
     jobs = finished_jobs(wh, as_of, days, tz=tz).filter(F.col("user_email").rlike(account))
     return latest_jobs(jobs).select(
-        USER,
-        JOB_TYPE,
+        _user(),
+        _job_type(),
         "query",
-        JOB_ID,
-        PROJECT,
-        START,
-        END,
-        BYTES.alias("totalBytesBilled"),
-        SLOT_MS,
+        *_run(),
+        _bytes().alias("totalBytesBilled"),
+        _slot_ms(),
         _cost(prices.on_demand_legacy, "cost"),
         _approximate_slots(),
     )
@@ -171,15 +170,15 @@ def longest_running_queries(
     ran = (F.col("start_time"), F.col("end_time"))
     runs = _dearest_runs(finished_jobs(wh, as_of, days, "QUERY", tz), literal)
     return runs.select(
-        USER,
+        _user(),
         "query",
-        JOB_ID,
-        PROJECT,
+        F.col("job_id").alias("jobId"),
+        F.col("project_id").alias("projectId"),
         elapsed("second", *ran).alias("runningTimeInSeconds"),
-        F.try_divide(elapsed_ms(*ran), BYTES).alias("runtimeToBytesBilledRatio"),
-        START,
-        END,
-        *byte_ladder(BYTES),
+        F.try_divide(elapsed_ms(*ran), _bytes()).alias("runtimeToBytesBilledRatio"),
+        F.col("start_time").alias("startTime"),
+        F.col("end_time").alias("endTime"),
+        *byte_ladder(_bytes()),
         _cost(prices.on_demand_legacy, "cost"),
         _approximate_slots(),
     ).orderBy(F.col("runningTimeInSeconds").desc(), "jobId")
@@ -187,13 +186,10 @@ def longest_running_queries(
 
 def _billed_list(runs: DataFrame, prices: Prices) -> DataFrame:
     return runs.select(
-        USER,
+        _user(),
         "query",
-        JOB_ID,
-        PROJECT,
-        START,
-        END,
-        *byte_ladder(BYTES, LADDER_BINARY),
+        *_run(),
+        *byte_ladder(_bytes(), LADDER_BINARY),
         _cost(prices.on_demand, "on_demand_cost"),
         _approximate_slots(),
     ).orderBy(F.col("on_demand_cost").desc(), "jobId")
@@ -230,13 +226,10 @@ def top_complex_queries(
         latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz))
         .select(
             _approximate_slots(),
-            USER,
+            _user(),
             "query",
-            JOB_ID,
-            PROJECT,
-            START,
-            END,
-            BYTES.alias("totalBytesBilled"),
+            *_run(),
+            _bytes().alias("totalBytesBilled"),
             _cost(prices.on_demand),
             elapsed("second", *ran).alias("executionTime"),
             elapsed_ms(*ran).alias("executionTimeMs"),
@@ -251,8 +244,8 @@ def top_cost_users(
     """On-demand cost of each user's query jobs."""
     return (
         latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz))
-        .groupBy(USER)
-        .agg(sum_bytes(or_zero(BYTES)).alias("bytes"))
+        .groupBy(_user())
+        .agg(sum_bytes(or_zero(_bytes())).alias("bytes"))
         .select("user", F.round(on_demand(F.col("bytes"), prices.on_demand), 2).alias("onDemandCost"))
         .orderBy(F.col("user").desc(), F.col("onDemandCost").desc())
     )
@@ -288,7 +281,7 @@ def top_billed_labels(
     total = F.col("bytes")
     return (
         labelled.groupBy("labelKey", "labelValue")
-        .agg(sum_bytes(or_zero(BYTES)).alias("bytes"))
+        .agg(sum_bytes(or_zero(_bytes())).alias("bytes"))
         .select(
             total.cast("bigint").alias("totalBilledBytes"),
             *byte_ladder(total)[1:],
@@ -307,7 +300,7 @@ def table_query_counts(
     jobs = within_civil(wh.jobs, "creation_time", as_of, days, tz)
     jobs = latest_jobs(jobs.filter(F.col("total_slot_ms").isNotNull()))
     refs = jobs.select(
-        USER, F.inline("referenced_tables").alias("projectId", "datasetId", "tableId")
+        _user(), F.inline("referenced_tables").alias("projectId", "datasetId", "tableId")
     )
     return refs.groupBy("user", "projectId", "datasetId", "tableId").agg(
         F.count("tableId").alias("tableIdCount")
@@ -328,7 +321,7 @@ def query_counts(
     runs = F.col("runs")
     total = F.col("bytes")
     return (
-        runs_per_text(jobs, "query", BYTES)
+        runs_per_text(jobs, "query", _bytes())
         .select(
             "query",
             (runs * runs if literal else runs).alias("queryCount"),
@@ -354,7 +347,7 @@ def top_costly_queries(
     out texts that ran once.
     """
     jobs = latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz))
-    return _costly(runs_per_text(jobs, "query", or_zero(BYTES)), prices.on_demand, literal)
+    return _costly(runs_per_text(jobs, "query", or_zero(_bytes())), prices.on_demand, literal)
 
 
 def _costly(texts: DataFrame, price: float, literal: bool) -> DataFrame:

@@ -1,99 +1,102 @@
-"""Schemas of the eleven input tables."""
+"""Columns and types of the eleven input tables."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-_TABLE_REF = "struct<project_id: string, dataset_id: string, table_id: string>"
-_AUDIT_TABLE_REF = "struct<projectId: string, datasetId: string, tableId: string>"
+_REF = "struct<project_id: string, dataset_id: string, table_id: string>"
+_AUDIT_REF = "struct<projectId: string, datasetId: string, tableId: string>"
 _LABELS = "array<struct<key: string, value: string>>"
-
-JOBS = _schema(
-    "job_id string, creation_time timestamp, start_time timestamp, end_time timestamp, "
-    "user_email string, project_id string, job_type string, statement_type string, "
-    "state string, reservation_id string, edition string, query string, "
-    "total_bytes_billed bigint, total_bytes_processed bigint, total_slot_ms bigint, "
-    f"destination_table {_TABLE_REF}, referenced_tables array<{_TABLE_REF}>, labels {_LABELS}"
+_SECOND = (
+    "struct<start_time: timestamp, autoscale_current_slots: bigint, autoscale_max_slots: bigint, "
+    "slots_assigned: bigint, slots_max_assigned: bigint>"
 )
 
-JOBS_TIMELINE = _schema(
-    "period_start timestamp, period_slot_ms bigint, job_id string, project_id string, "
-    "user_email string, job_type string, statement_type string, parent_job_id string, "
-    "reservation_id string, edition string, state string, job_creation_time timestamp, "
-    "job_start_time timestamp, job_end_time timestamp, total_bytes_billed bigint, "
-    "error_result struct<reason: string, location: string, message: string>"
+_AUDIT_CONFIG = (
+    "struct<query: struct<query: string>, "
+    f"load: struct<sourceUris: array<string>, destinationTable: {_AUDIT_REF}>, "
+    "extract: struct<sourceTable: string>, tableCopy: struct<destinationTable: string>, "
+    f"dryRun: boolean, labels: {_LABELS}>"
 )
-
-RESERVATIONS_TIMELINE = _schema(
-    "period_start timestamp, reservation_name string, reservation_id string, edition string, "
-    "slots_assigned bigint, slot_capacity bigint, period_autoscale_slot_seconds bigint, "
-    "autoscale struct<current_slots: bigint, max_slots: bigint>, "
-    "per_second_details array<struct<start_time: timestamp, autoscale_current_slots: bigint, "
-    "autoscale_max_slots: bigint, slots_assigned: bigint, slots_max_assigned: bigint>>"
+_AUDIT_STATISTICS = (
+    "struct<startTime: timestamp, endTime: timestamp, totalBilledBytes: bigint, "
+    f"totalProcessedBytes: bigint, totalSlotMs: bigint, referencedTables: array<{_AUDIT_REF}>>"
 )
-
-RESERVATIONS = _schema("reservation_name string, edition string")
-
-CAPACITY_COMMITMENTS = _schema(
-    "edition string, commitment_plan string, slot_count bigint, state string"
+_AUDIT_JOB = (
+    "struct<jobName: struct<jobId: string, location: string, projectId: string>, "
+    f"jobConfiguration: {_AUDIT_CONFIG}, jobStatistics: {_AUDIT_STATISTICS}, labels: {_LABELS}>"
 )
-
-TABLE_STORAGE = _schema(
-    "project_id string, table_schema string, table_name string, total_rows bigint, "
-    "total_partitions bigint, total_logical_bytes bigint, active_logical_bytes bigint, "
-    "long_term_logical_bytes bigint, total_physical_bytes bigint, active_physical_bytes bigint, "
-    "long_term_physical_bytes bigint, time_travel_physical_bytes bigint, "
-    "fail_safe_physical_bytes bigint, deleted boolean"
+_AUDIT_PAYLOAD = (
+    "struct<authenticationInfo: struct<principalEmail: string>, servicedata_v1_bigquery: "
+    f"struct<jobCompletedEvent: struct<eventName: string, job: {_AUDIT_JOB}>>>"
 )
 
-TABLES = _schema(
-    "table_catalog string, table_schema string, table_name string, table_type string"
-)
-
-SCHEMATA_OPTIONS = _schema("schema_name string, option_name string, option_value string")
 
-TABLE_OPTIONS = _schema(
-    "table_catalog string, table_schema string, table_name string, "
-    "option_name string, option_value string"
-)
-
-TABLE_STORAGE_USAGE = _schema(
-    "usage_date date, project_id string, table_schema string, table_name string, "
-    "billable_total_logical_usage bigint, billable_active_logical_usage bigint, "
-    "billable_long_term_logical_usage bigint, billable_total_physical_usage bigint, "
-    "billable_active_physical_usage bigint, billable_long_term_physical_usage bigint"
-)
+def _columns(kind: str, names: str) -> dict[str, str]:
+    return dict.fromkeys(names.split(), kind)
+
+
+ALL: dict[str, dict[str, str]] = {
+    "jobs": {
+        **_columns("timestamp", "creation_time start_time end_time"),
+        **_columns(
+            "string",
+            "job_id user_email project_id job_type statement_type state reservation_id edition query",
+        ),
+        **_columns("bigint", "total_bytes_billed total_bytes_processed total_slot_ms"),
+        "destination_table": _REF,
+        "referenced_tables": f"array<{_REF}>",
+        "labels": _LABELS,
+    },
+    "jobs_timeline": {
+        **_columns("timestamp", "period_start job_creation_time job_start_time job_end_time"),
+        **_columns("bigint", "period_slot_ms total_bytes_billed"),
+        **_columns(
+            "string",
+            "job_id project_id user_email job_type statement_type parent_job_id "
+            "reservation_id edition state",
+        ),
+        "error_result": "struct<reason: string, location: string, message: string>",
+    },
+    "reservations_timeline": {
+        "period_start": "timestamp",
+        **_columns("string", "reservation_name reservation_id edition"),
+        **_columns("bigint", "slots_assigned slot_capacity period_autoscale_slot_seconds"),
+        "autoscale": "struct<current_slots: bigint, max_slots: bigint>",
+        "per_second_details": f"array<{_SECOND}>",
+    },
+    "reservations": _columns("string", "reservation_name edition"),
+    "capacity_commitments": {
+        **_columns("string", "edition commitment_plan state"),
+        "slot_count": "bigint",
+    },
+    "table_storage": {
+        **_columns("string", "project_id table_schema table_name"),
+        **_columns(
+            "bigint",
+            "total_rows total_partitions total_logical_bytes active_logical_bytes "
+            "long_term_logical_bytes total_physical_bytes active_physical_bytes "
+            "long_term_physical_bytes time_travel_physical_bytes fail_safe_physical_bytes",
+        ),
+        "deleted": "boolean",
+    },
+    "tables": _columns("string", "table_catalog table_schema table_name table_type"),
+    "schemata_options": _columns("string", "schema_name option_name option_value"),
+    "table_options": _columns(
+        "string", "table_catalog table_schema table_name option_name option_value"
+    ),
+    "table_storage_usage": {
+        "usage_date": "date",
+        **_columns("string", "project_id table_schema table_name"),
+        **_columns(
+            "bigint",
+            "billable_total_logical_usage billable_active_logical_usage "
+            "billable_long_term_logical_usage billable_total_physical_usage "
+            "billable_active_physical_usage billable_long_term_physical_usage",
+        ),
+    },
+    "audit_log": {"timestamp": "timestamp", "protopayload_auditlog": _AUDIT_PAYLOAD},
+}
 
-AUDIT_LOG = _schema(
-    "timestamp timestamp, protopayload_auditlog struct<"
-    "authenticationInfo: struct<principalEmail: string>, "
-    "servicedata_v1_bigquery: struct<jobCompletedEvent: struct<eventName: string, job: struct<"
-    "jobName: struct<jobId: string, location: string, projectId: string>, "
-    "jobConfiguration: struct<query: struct<query: string>, "
-    f"load: struct<sourceUris: array<string>, destinationTable: {_AUDIT_TABLE_REF}>, "
-    "extract: struct<sourceTable: string>, tableCopy: struct<destinationTable: string>, "
-    f"dryRun: boolean, labels: {_LABELS}>, "
-    "jobStatistics: struct<startTime: timestamp, endTime: timestamp, totalBilledBytes: bigint, "
-    "totalProcessedBytes: bigint, totalSlotMs: bigint, "
-    f"referencedTables: array<{_AUDIT_TABLE_REF}>>, "
-    f"labels: {_LABELS}>>>>"
-)
 
-ALL = {
-    "jobs": JOBS,
-    "jobs_timeline": JOBS_TIMELINE,
-    "reservations_timeline": RESERVATIONS_TIMELINE,
-    "reservations": RESERVATIONS,
-    "capacity_commitments": CAPACITY_COMMITMENTS,
-    "table_storage": TABLE_STORAGE,
-    "tables": TABLES,
-    "schemata_options": SCHEMATA_OPTIONS,
-    "table_options": TABLE_OPTIONS,
-    "table_storage_usage": TABLE_STORAGE_USAGE,
-    "audit_log": AUDIT_LOG,
-}
+def ddl(table: str) -> str:
+    """The table's schema as text, which ``spark.read.schema`` takes."""
+    return ", ".join(f"`{name}` {kind}" for name, kind in ALL[table].items())

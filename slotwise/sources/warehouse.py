@@ -41,7 +41,7 @@ class Warehouse:
         """
         return cls(
             spark,
-            lambda name: spark.read.schema(schemas.ALL[name]).format(fmt).load(f"{root}/{name}"),
+            lambda name: spark.read.schema(schemas.ddl(name)).format(fmt).load(f"{root}/{name}"),
         )
 
     @classmethod
