@@ -32,7 +32,7 @@ JOB_RANK = (
     "start_time DESC NULLS LAST, total_slot_ms DESC NULLS LAST, total_bytes_billed DESC NULLS LAST)"
 )
 TEXT_RANK = (
-    "row_number() OVER (PARTITION BY query ORDER BY total_bytes_billed DESC NULLS LAST, {t} DESC NULLS LAST, job_id ASC)"
+    "row_number() OVER (PARTITION BY query ORDER BY total_bytes_billed DESC NULLS LAST, {t} DESC NULLS LAST, job_id ASC{more}, total_slot_ms DESC NULLS LAST)"
 )
 APPROX = f"{r2(slots())} AS approximateSlotCount"
 IDS = "job_id AS jobId, project_id AS projectId, start_time AS startTime, end_time AS endTime"
@@ -79,7 +79,7 @@ SELECT user_email AS "user", query, {IDS}, date_sub('second', start_time, end_ti
     billed = f"""
 SELECT user_email AS "user", query, {IDS}, {ladder('total_bytes_billed', names)},
   {r2(cost('total_bytes_billed', '6.25'))} AS on_demand_cost, {APPROX} FROM """
-    text_rank = TEXT_RANK.format(t="end_time")
+    text_rank = TEXT_RANK.format(t="end_time", more=", creation_time DESC NULLS LAST")
     after = ("q", f"SELECT * FROM d QUALIFY {text_rank} = 1")
     both = ("q", f"SELECT * FROM (SELECT *, {JOB_RANK} AS a, {text_rank} AS b FROM src) WHERE a = 1 AND b = 1")
     out["longest_running_queries"] = with_tables("jobs", *_latest(7, QUERY), after, select=longest)
@@ -430,7 +430,7 @@ SELECT usr AS "user", job_id AS jobId, project_id AS projectId, start_time AS st
   {refs_text('referenced_tables')} AS referencedTables, {labels_text(labels)} AS labels, {r2(cost(BYTES0, '5'))} AS onDemandCost,
   {ladder('total_bytes_billed')}, total_slot_ms AS totalSlotMs, {slots()} AS approximateSlotCount FROM d""")
         out["longest_running_queries" + suffix] = with_tables("audit", _events(700, project), LATEST,
-            ("q", f"SELECT * FROM {'src' if literal else 'd'} QUALIFY {TEXT_RANK.format(t='ts')} = 1"), select=f"""
+            ("q", f"SELECT * FROM {'src' if literal else 'd'} QUALIFY {TEXT_RANK.format(t='ts', more='')} = 1"), select=f"""
 SELECT usr AS "user", job_id AS jobId, query, project_id AS projectId, date_sub('second', start_time, end_time) AS runningTimeInSeconds,
   {ratio(ms(), 'total_bytes_billed')} AS runtimeToBytesBilledRatio, start_time AS startTime, end_time AS endTime,
   {r2(cost(BYTES0, '5'))} AS onDemandCost, {ladder('total_bytes_billed')}, {slots()} AS approximateSlotCount FROM q""")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from checks.derive import AS_OF, STORAGE_AS_OF, derived_warehouse
 from checks.duck_reports import PROJECT, RESERVATION
 from slotwise.plans import audit, billing, concurrency, jobs, reservations, slots, storage
+from slotwise.sources.warehouse import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 Report = Callable[..., DataFrame]
@@ -57,14 +58,6 @@ def _unfolded(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "jobs"], F.inline("jobs"))
 
 
-def _run(report: Report, arguments: dict, shape: Callable | None = None) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = report(derived_warehouse(spark, sf_dir), **arguments)
-        return portable(shape(df) if shape else df)
-
-    return query
-
-
 # Reports with a time window at AS_OF, and whether a literal variant exists.
 _TIMED: dict[str, tuple[Report, bool]] = {
     "autoscale_usage_and_costs_per_second": (
@@ -155,17 +148,17 @@ _AUDIT_ALL: dict[str, tuple[Report, bool]] = {
 }
 
 
-def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {}
+def reports() -> dict[str, Callable[[Warehouse], DataFrame]]:
+    """Each report with its parameters bound, as it is: nested, zoned and sorted."""
+    out: dict[str, Callable[[Warehouse], DataFrame]] = {}
 
-    def add(name: str, report: Report, literal: bool, shape=None, **arguments) -> None:
-        out[name] = _run(report, arguments, shape)
+    def add(name: str, report: Report, literal: bool, **arguments) -> None:
+        out[name] = partial(report, **arguments)
         if literal:
-            out[f"{name}__literal"] = _run(report, {**arguments, "literal": True}, shape)
+            out[f"{name}__literal"] = partial(report, **arguments, literal=True)
 
     for name, (report, literal) in _TIMED.items():
-        nested = name == "queries_and_reservation_usage_per_second"
-        add(name, report, literal, _unfolded if nested else None, as_of=AS_OF)
+        add(name, report, literal, as_of=AS_OF)
     for name, report in _SNAPSHOTS.items():
         add(name, report, True)
     add("table_usage_and_costs_per_day", storage.table_usage_and_costs_per_day, False,
@@ -176,3 +169,18 @@ def queries() -> dict[str, Query]:
     for name, (report, literal) in _AUDIT_ALL.items():
         add(f"audit_{name}", report, literal, as_of=AS_OF)
     return out
+
+
+def queries() -> dict[str, Query]:
+    """Each report over the tables derived from a data folder, in portable types."""
+
+    def query(name: str, report: Callable[[Warehouse], DataFrame]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = report(derived_warehouse(spark, sf_dir))
+            if name.startswith("queries_and_reservation_usage_per_second"):
+                df = _unfolded(df)
+            return portable(df)
+
+        return run
+
+    return {name: query(name, report) for name, report in reports().items()}

@@ -42,18 +42,24 @@ def dearest_run_per_text(
     )
 
 
+def dearest_job_per_text(jobs: DataFrame) -> DataFrame:
+    """The same for rows of the job view; equal bytes go to the run that ended last."""
+    ties = [
+        F.col("end_time").desc_nulls_last(),
+        F.col("job_id").asc(),
+        *descending(["creation_time", "total_slot_ms"]),
+    ]
+    return dearest_run_per_text(jobs, "query", "total_bytes_billed", ties)
+
+
 def dearest_if_latest(jobs: DataFrame) -> DataFrame:
     """Each text's dearest row, kept only if it is also its job's latest row.
 
     Both ranks are taken over the same undeduplicated rows. They are computed
     apart, each with its own early cut, and met on the job id.
     """
-    dearest = dearest_run_per_text(
-        jobs, "query", "total_bytes_billed", [F.col("end_time").desc_nulls_last(), F.col("job_id")]
-    )
+    dearest = dearest_job_per_text(jobs)
     latest = latest_jobs(jobs.select("job_id", *JOB_ORDER))
     same = [dearest[c].eqNullSafe(latest[c]) for c in JOB_ORDER]
-    on = dearest["job_id"] == latest["job_id"]
-    for condition in same:
-        on = on & condition
+    on = [dearest["job_id"] == latest["job_id"], *same]
     return dearest.join(latest, on, "left_semi")

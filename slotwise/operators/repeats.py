@@ -33,7 +33,7 @@ def attach_run_count(runs: DataFrame, query: str, name: str) -> DataFrame:
     runs where they lie, without a shuffle. The remaining runs join with counts
     that are each a small share of all rows.
     """
-    keyed = runs.filter(F.col(query).isNotNull()).withColumn("_h", F.sha2(F.col(query), 256))
+    keyed = runs.withColumn("_h", F.sha2(F.col(query), 256)).filter(F.col("_h").isNotNull())
     counts = keyed.groupBy("_h").agg(F.count("*").alias(name))
     hot = F.broadcast(counts.orderBy(F.col(name).desc(), "_h").limit(HOT_TEXTS))
     settled = keyed.join(hot, "_h")

@@ -223,7 +223,11 @@ def longest_running_queries(
     """The dearest run of every text; ``literal`` looks at all log rows of a job."""
     events = recent_events(wh.audit_log, as_of, days, project_id=project_id)
     runs = events if literal else latest_events(events)
-    ties = [F.col("timestamp").desc_nulls_last(), F.col("jobId")]
+    ties = [
+        F.col("timestamp").desc_nulls_last(),
+        F.col("jobId").asc(),
+        F.col("totalSlotMs").desc_nulls_last(),
+    ]
     return dearest_run_per_text(runs, "query", "totalBilledBytes", ties).select(
         "user",
         "jobId",

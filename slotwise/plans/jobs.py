@@ -19,7 +19,7 @@ from slotwise.functions.times import elapsed, elapsed_ms
 from slotwise.operators.dedupe import (
     JOB_ORDER,
     dearest_if_latest,
-    dearest_run_per_text,
+    dearest_job_per_text,
     descending,
     first_per_key,
     latest_jobs,
@@ -151,10 +151,7 @@ def looker_job_information(
 
 def _dearest_runs(jobs: DataFrame, literal: bool) -> DataFrame:
     """The dearest run of every text; see ``dearest_if_latest`` for ``literal``."""
-    if literal:
-        return dearest_if_latest(jobs)
-    ties = [F.col("end_time").desc_nulls_last(), F.col("job_id")]
-    return dearest_run_per_text(latest_jobs(jobs), "query", "total_bytes_billed", ties)
+    return dearest_if_latest(jobs) if literal else dearest_job_per_text(latest_jobs(jobs))
 
 
 def longest_running_queries(

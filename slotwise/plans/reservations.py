@@ -203,7 +203,9 @@ def queries_and_reservation_usage_per_second(
         .withColumn("_parts", F.ceil(F.col("_n") / F.lit(float(jobs_per_row))))
         .drop("_n")
     )
-    part = F.pmod(F.xxhash64("job.job_id", "job.state"), F.coalesce("_parts", F.lit(1)))
+    # The map partition is hashed along, so that copies of one row part too.
+    spread = F.xxhash64("job.job_id", "job.state", F.spark_partition_id())
+    part = F.pmod(spread, F.coalesce("_parts", F.lit(1)))
     listed = (
         jobs.join(crowded, second, "left")
         .groupBy(*second, part.alias("_part"))
