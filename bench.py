@@ -43,7 +43,7 @@ def session() -> SparkSession:
 
 
 def laid_out(spark: SparkSession, root: str) -> Warehouse:
-    source = derive.derived_warehouse(spark, SF_DIR)
+    source = derive.derived_warehouse(spark, SF_DIR, spread=CPUS)
     for table in schemas.ALL:
         write_table(getattr(source, table), root, table)
     return Warehouse.from_path(spark, root)

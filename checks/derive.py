@@ -409,11 +409,14 @@ DERIVATIONS = {
 }
 
 
-def derived_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+def derived_warehouse(spark: SparkSession, sf_dir: str, spread: int | None = None) -> Warehouse:
+    """All tables; ``spread`` deals the one given event file out to that many tasks."""
+
     def resolve(table: str) -> DataFrame:
         make, source = DERIVATIONS[table]
         if source == "jobs":
-            given = keyed_jobs(spark.read.parquet(f"{sf_dir}/events.parquet"))
+            events = spark.read.parquet(f"{sf_dir}/events.parquet")
+            given = keyed_jobs(events.repartition(spread) if spread else events)
         else:
             given = spark.read.parquet(f"{sf_dir}/{source}.parquet")
         return _conform(make(given), table)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from checks.derive import AS_OF, STORAGE_AS_OF, derived_warehouse
 from checks.duck_reports import PROJECT, RESERVATION
+from slotwise.params import utc_session
 from slotwise.plans import audit, billing, concurrency, jobs, reservations, slots, storage
 from slotwise.sources.warehouse import Warehouse
 
@@ -148,6 +149,26 @@ _AUDIT_ALL: dict[str, tuple[Report, bool]] = {
 }
 
 
+def flat(name: str, df: DataFrame) -> DataFrame:
+    """A report's rows as they are compared."""
+    if name.startswith("queries_and_reservation_usage_per_second"):
+        df = _unfolded(df)
+    return portable(df)
+
+
+# The derived tables' plans by session and folder. Only the plans are kept, no data.
+_WAREHOUSES: dict[tuple[str, str], Warehouse] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> Warehouse:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    held = _WAREHOUSES.get(key)
+    if held is None or held.spark is not spark:
+        held = _WAREHOUSES[key] = derived_warehouse(spark, sf_dir)
+    utc_session(spark)
+    return held
+
+
 def reports() -> dict[str, Callable[[Warehouse], DataFrame]]:
     """Each report with its parameters bound, as it is: nested, zoned and sorted."""
     out: dict[str, Callable[[Warehouse], DataFrame]] = {}
@@ -176,10 +197,7 @@ def queries() -> dict[str, Query]:
 
     def query(name: str, report: Callable[[Warehouse], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = report(derived_warehouse(spark, sf_dir))
-            if name.startswith("queries_and_reservation_usage_per_second"):
-                df = _unfolded(df)
-            return portable(df)
+            return flat(name, report(_shared(spark, sf_dir)))
 
         return run
 
