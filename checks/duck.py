@@ -231,7 +231,8 @@ LADDER = ("totalBytesBilled", "totalMegabytesBilled", "totalGigabytesBilled", "t
 
 def ladder(nbytes: str, names: tuple[str, ...] = LADDER) -> str:
     b = f"CAST(coalesce({nbytes}, 0) AS DOUBLE)"
-    scaled = [f"{r2(f'{b} / {2**p}::DOUBLE')} AS {n}" for p, n in zip((20, 30, 40), names[1:])]
+    # Halves of whole bytes over a power of two are exact, so the double rounds rightly.
+    scaled = [f"round({b} / {2**p}::DOUBLE, 2) AS {n}" for p, n in zip((20, 30, 40), names[1:])]
     return ", ".join([f"{b} AS {names[0]}", *scaled])
 
 
