@@ -54,7 +54,34 @@ FROM failed
 """
 
 
+NGRAM_JOIN = """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), tokens AS (
+  SELECT row_id, list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda k: array_to_string(words[k:k + 4], ' '))) AS tokens
+  FROM docs WHERE len(words) > 0
+), spread AS (
+  SELECT row_id, len(tokens) AS n, unnest(tokens) AS token FROM tokens
+), shared AS (
+  SELECT a.row_id AS a, b.row_id AS b, a.n AS an, b.n AS bn, count(*) AS overlap
+  FROM spread a JOIN spread b ON a.token = b.token AND a.row_id <> b.row_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared WHERE overlap >= 0.8 * (an + bn - overlap) - 1e-9
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), lowest AS (
+  SELECT r.a AS row_id, min(d.doc_id) AS low FROM reach r JOIN docs d ON d.row_id = r.b GROUP BY r.a
+), counts AS (
+  SELECT a AS row_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, least(doc_id, low) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, doc_id = least(doc_id, low) AS kept
+FROM docs LEFT JOIN lowest USING (row_id) LEFT JOIN counts USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": NGRAM_JOIN,
         "op7_line_quality": LINE_QUALITY,
     }

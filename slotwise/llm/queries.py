@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import language, line_quality
+from slotwise.llm import language, line_quality, ngram_join
 from slotwise.llm.common import crc_mod
 
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -30,6 +34,7 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_language": op2_language,
         "op7_line_quality": op7_line_quality,
     }
