@@ -80,8 +80,31 @@ FROM docs LEFT JOIN lowest USING (row_id) LEFT JOIN counts USING (row_id)
 """
 
 
+EMBEDDING_DUP = """
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS row_id, vec_id, embedding::DOUBLE[] AS v,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fit
+  FROM embeddings
+), links AS (
+  SELECT a.row_id AS a, b.row_id AS b
+  FROM vectors a JOIN vectors b ON a.row_id <> b.row_id AND a.fit AND b.fit AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), lowest AS (
+  SELECT r.a AS row_id, min(v.vec_id) AS low FROM reach r JOIN vectors v ON v.row_id = r.b GROUP BY r.a
+), counts AS (
+  SELECT a AS row_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, low) AS component_id, vec_id = least(vec_id, low) AS kept
+FROM vectors LEFT JOIN lowest USING (row_id) LEFT JOIN counts USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": NGRAM_JOIN,
         "op7_line_quality": LINE_QUALITY,
+        "op8_embedding_dup": EMBEDDING_DUP,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import language, line_quality, ngram_join
+from slotwise.llm import embedding_dup, language, line_quality, ngram_join, pii
 from slotwise.llm.common import crc_mod
 
 
@@ -26,15 +26,30 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id",
+        *(pii.count_of(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")),
+        F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judged(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
     )
 
 
+def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_language": op2_language,
+        "op6_pii": op6_pii,
         "op7_line_quality": op7_line_quality,
+        "op8_embedding_dup": op8_embedding_dup,
     }
