@@ -26,8 +26,8 @@ from slotwise.llm.common import map_steps, mixed, written
 
 THRESHOLD = 0.95
 HASHES = 3
-TABLES = 24
-PROBES = 10
+TABLES = 16
+PROBES = 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
