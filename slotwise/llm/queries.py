@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import embedding_dup, language, line_quality, ngram_join, pii
+from slotwise.llm import embedding_dup, language, lexicon, line_quality, ngram_join, pii, toxicity
 from slotwise.llm.common import crc_mod
 
 
@@ -26,6 +26,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    docs = documents(spark, sf_dir).select("doc_id", held_out.alias("held_out"), (~held_out).alias("learn"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod(F.col("doc_id"), 5) != 0)
+    scores = toxicity.scored(docs, lexicon.marked_labels(labels, F.col("toxic")))
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id",
@@ -49,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_language": op2_language,
+        "op3_toxicity": op3_toxicity,
         "op6_pii": op6_pii,
         "op7_line_quality": op7_line_quality,
         "op8_embedding_dup": op8_embedding_dup,
