@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import embedding_dup, language, lexicon, line_quality, ngram_join, pii, toxicity
+from slotwise.llm import embedding_dup, language, lexicon, line_quality, lm_score, ngram_join, pii, toxicity
 from slotwise.llm.common import crc_mod
 
 
@@ -53,6 +53,11 @@ def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    return lm_score.scored(documents(spark, sf_dir).select("doc_id", held_out.alias("held_out"), (~held_out).alias("learn"), "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -61,4 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_line_quality": op7_line_quality,
         "op8_embedding_dup": op8_embedding_dup,
+        "op10_lm_score": op10_lm_score,
     }
