@@ -102,9 +102,31 @@ FROM vectors LEFT JOIN lowest USING (row_id) LEFT JOIN counts USING (row_id)
 """
 
 
+TOKEN_COUNTS = """
+WITH docs AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '^[^\\n]*\\n', '') AS shorter FROM documents
+), marks AS (
+  SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), counted AS (
+  SELECT source, lang, quality, toxic,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_words,
+         len(regexp_extract_all(shorter, '[^\\x20\\x09-\\x0D]+')) AS n_shorter,
+         len(regexp_extract_all(text, '\\p{L}+|\\p{N}+|[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+')) AS n_pieces
+  FROM docs LEFT JOIN marks USING (doc_id)
+), kept AS (
+  SELECT source, lang, 'words-1' AS tokenizer, CASE WHEN toxic = 1 THEN n_shorter ELSE n_words END AS n
+  FROM counted WHERE quality IS NULL OR quality <> 0
+  UNION ALL
+  SELECT source, lang, 'pieces-1', n_pieces FROM counted
+)
+SELECT source, lang, tokenizer, count(*) AS n_documents, sum(n)::BIGINT AS n_tokens FROM kept GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": NGRAM_JOIN,
+        "op4_token_counts": TOKEN_COUNTS,
         "op7_line_quality": LINE_QUALITY,
         "op8_embedding_dup": EMBEDDING_DUP,
     }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import embedding_dup, language, lexicon, line_quality, lm_score, ngram_join, pii, toxicity
-from slotwise.llm.common import crc_mod
+from slotwise.llm import embedding_dup, language, lexicon, line_quality, lm_score, mixing, ngram_join, pii, token_counts, toxicity
+from slotwise.llm.common import crc_mod, new_folder, text_key, written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,42 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollup after loading all documents, taking down those of low quality, recounting toxic ones without their first
+    line, and a second tokenizer version; the middle batches are committed twice, as after a lost answer."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("doc_id IS NOT NULL")
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    words, pieces = token_counts.TOKENIZERS
+    shorter = F.regexp_replace("text", r"^[^\n]*\n", "")
+    counted = written(
+        docs.select(
+            "doc_id", "source", "lang", token_counts.count_tokens(F.col("text"), words).alias("n_words"),
+            token_counts.count_tokens(shorter, words).alias("n_shorter"), token_counts.count_tokens(F.col("text"), pieces).alias("n_pieces"),
+        ),
+        "token-counts",
+    )
+    known = counted.join(marks, "doc_id")
+    none = F.lit(None).cast("long")
+    takedown = token_counts.changes(known.filter("quality = 0"), "delete", words, none, F.col("n_words"))
+    recount = token_counts.changes(known.filter("toxic = 1 AND NOT quality <=> 0"), "revise", words, F.col("n_shorter"), F.col("n_words"))
+
+    rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
+    rollup.commit("load", token_counts.changes(counted, "insert", words, F.col("n_words"), none))
+    for _ in range(2):
+        rollup.commit("takedown", takedown)
+        rollup.commit("recount", recount)
+    rollup.commit("upgrade", token_counts.changes(counted, "insert", pieces, F.col("n_pieces"), none))
+    return rollup.totals().withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    rated = mixing.rated(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    shares = (F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS))
+    return rated.select("doc_id", "n_tokens", *shares, "rate", mixing.copies().alias("copies"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id",
@@ -63,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op2_language": op2_language,
         "op3_toxicity": op3_toxicity,
+        "op4_token_counts": op4_token_counts,
+        "op5_mixing": op5_mixing,
         "op6_pii": op6_pii,
         "op7_line_quality": op7_line_quality,
         "op8_embedding_dup": op8_embedding_dup,
