@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import embedding_dup, language, lexicon, line_quality, lm_score, mixing, ngram_join, pii, token_counts, toxicity
+from slotwise.llm import byte_bpe, embedding_dup, language, lexicon, line_quality, lm_score, mixing, ngram_join, pii, token_counts, toxicity
 from slotwise.llm.common import crc_mod, new_folder, text_key, written
 
 
@@ -89,6 +90,14 @@ def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def vocabulary() -> byte_bpe.Vocabulary:
+    return byte_bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), vocabulary())
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 7) == 2
     return lm_score.scored(documents(spark, sf_dir).select("doc_id", held_out.alias("held_out"), (~held_out).alias("learn"), "text"))
@@ -104,5 +113,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": op6_pii,
         "op7_line_quality": op7_line_quality,
         "op8_embedding_dup": op8_embedding_dup,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_lm_score": op10_lm_score,
     }
