@@ -145,13 +145,15 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUE
     codes = distinct.select("of_word", vocabulary.encoded_word(F.col("of_word")).alias("ids"))
     back = (
         others.join(codes, others["word"] == codes["of_word"])
-        .groupBy(F.col("key").alias("of_key"))
+        .groupBy("key")
         .agg(F.collect_set(F.struct("pos", "ids")).alias("others"))
+        # keyed by other bytes than those it was grouped by, so that Spark may split a text with many copies
+        .select(F.hex("key").alias("of_key"), "others")
     )
     there = lambda w, k: _let(_look_up(known, w), lambda ids: F.when(ids.isNotNull(), F.struct(k.cast("int").alias("pos"), ids.alias("ids"))))
     found = F.filter(F.transform(vocabulary.words(F.col("text")), there), lambda x: x.isNotNull())
     every = F.array_sort(F.concat(found, F.coalesce("others", F.array().cast("array<struct<pos:int,ids:array<int>>>"))))
-    rows = docs.join(back, text_key(docs["text"]) == back["of_key"], "left")
+    rows = docs.join(back, F.hex(text_key(docs["text"])) == back["of_key"], "left")
     return rows.withColumn("ids", F.flatten(F.transform(every, lambda x: x["ids"]))).drop("of_key", "others")
 
 
