@@ -2,12 +2,13 @@
 
 A text is cut by the vocabulary's pattern. Each distinct word is encoded once: its bytes, as an array of hex pieces, are folded
 by ranked merges. A step merges the leftmost adjacent pair of the lowest rank; the ranks of adjacent pairs are kept beside the
-pieces, so that a merge looks up two pairs only. The rank map is a literal: an array of small maps by checksum, since a map in an
-expression is searched from end to end. Decoding puts the binary pieces of the ids together.
+pieces, so that a merge looks up two pairs only. The rank map is one constant value of the expression: an array of small maps by
+checksum, since a map in an expression is searched from end to end. It comes from a one-row table by a scalar subquery, as a
+literal of that size would be printed in every description of the plan. Decoding puts the binary pieces of the ids together.
 
-Words that are frequent in a bounded sample of documents are encoded first and become a literal map too; it is a cache, and
+Words that are frequent in a bounded sample of documents are encoded first and become such a map too; it is a cache, and
 results don't depend on it. The occurrences of all other words are joined with the encodings of the distinct words, and come
-back to their text by its key; copies of a text meet in the same task and count once there. The literals are of a fixed
+back to their text by its key; copies of a text meet in the same task and count once there. The maps are of a fixed
 size; all else is shuffled.
 
 Null texts count as empty: no ids. Repeated rows are encoded alike. Special tokens are ordinary text. Vocabularies whose ranks
@@ -17,11 +18,10 @@ lack a single byte are refused.
 from __future__ import annotations
 
 import base64
-import json
-import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import text_key, written
@@ -32,16 +32,34 @@ _SLOTS = 1 << 17
 _NONE = 2_147_483_647
 
 
-def _table(entries: dict[str, object], kind: str) -> Column:
-    """A literal map, dealt over many small ones by the key's checksum."""
-    slots: list[dict] = [{} for _ in range(_SLOTS)]
-    for key, value in entries.items():
-        slots[zlib.crc32(key.encode()) % _SLOTS][key] = value
-    return F.from_json(F.lit(json.dumps(slots)), f"array<map<string,{kind}>>")
+def _constant(one_row: DataFrame, name: str) -> Column:
+    """The one value of a table, read once for each plan that uses it."""
+    return written(one_row, name).scalar()
 
 
-def _look_up(table: Column, key: Column) -> Column:
-    return F.element_at(F.get(table, (F.crc32(key.cast("binary")) % _SLOTS).cast("int")), key)
+def _map_of(entries: DataFrame, name: str) -> Column:
+    """key and value of a table of bounded size as a constant: small maps by the key's checksum."""
+    slot = (F.crc32(F.col("key").cast("binary")) % _SLOTS).alias("slot")
+    small = entries.groupBy(slot).agg(F.collect_list("key").alias("keys"), F.collect_list("value").alias("values"))
+    every = entries.sparkSession.range(_SLOTS).join(small, F.col("id") == F.col("slot"), "left")
+    sorted_slots = F.sort_array(F.collect_list(F.struct("id", "keys", "values")))  # keys and values of a slot come in one order
+    return _constant(every.agg(F.transform(sorted_slots, lambda x: F.map_from_arrays(x["keys"], x["values"])).alias("slots")), name)
+
+
+def _list_of(entries: DataFrame, name: str) -> Column:
+    """value by key, a number from 0, as a constant."""
+    last = entries.agg(F.max("key").alias("last")).first()["last"]
+    every = entries.sparkSession.range(last + 1).join(entries, F.col("id") == F.col("key"), "left")
+    return _constant(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]).alias("values")), name)
+
+
+def _using(df: DataFrame, name: str, constant: Column, use: Callable[[Column], Column]) -> DataFrame:
+    """The rows with use(constant) as a column. The optimiser puts the subquery in place of its one mention."""
+    return df.withColumn("_constant", constant).withColumn(name, _let(F.col("_constant"), use)).drop("_constant")
+
+
+def _look_up(slots: Column, key: Column) -> Column:
+    return F.element_at(F.get(slots, (F.crc32(key.cast("binary")) % _SLOTS).cast("int")), key)
 
 
 def _let(value: Column, use) -> Column:
@@ -70,12 +88,17 @@ class Vocabulary:
         """The matches of the pattern; its white space is that of Unicode."""
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))
 
-    def rank_table(self) -> Column:
-        return _table({piece.hex().upper(): rank for piece, rank in self.ranks.items()}, "int")
+    def pieces(self, spark: SparkSession) -> DataFrame:
+        """piece (hex), rank."""
+        rows = [(piece.hex().upper(), rank) for piece, rank in self.ranks.items()]
+        return written(spark.createDataFrame(rows, "piece string, rank int").coalesce(1), "bpe-pieces")
 
-    def encoded_word(self, word: Column) -> Column:
-        """The ids of one word as array<int>."""
-        table = self.rank_table()
+    def encoded_words(self, words: DataFrame) -> DataFrame:
+        """The words of a table (word) with their ids: array<int>."""
+        ranks = _map_of(self.pieces(words.sparkSession).select(F.col("piece").alias("key"), F.col("rank").alias("value")), "bpe-ranks")
+        return _using(words, "ids", ranks, lambda table: self._encoded_word(F.col("word"), table))
+
+    def _encoded_word(self, word: Column, table: Column) -> Column:
         rank = lambda piece: _look_up(table, piece)
         pair = lambda a, b: F.coalesce(rank(F.concat(a, b)), F.lit(_NONE))
 
@@ -108,61 +131,66 @@ class Vocabulary:
 
         return _let(F.hex(word.cast("binary")), fold)
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes that ids stand for."""
-        pieces = [""] * (max(self.ranks.values()) + 1)
-        for piece, rank in self.ranks.items():
-            pieces[rank] = piece.hex().upper()
-        table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    def decoded(self, docs: DataFrame, ids: str, name: str) -> DataFrame:
+        """The rows with the bytes that ids stand for."""
+        pieces = _list_of(self.pieces(docs.sparkSession).select(F.col("rank").alias("key"), F.col("piece").alias("value")), "bpe-decoding")
+        return _using(docs, name, pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
 
-    def packed(self, ids: Column) -> Column:
-        """The ids as little-endian unsigned 32-bit integers."""
-        table = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex().upper() for i in range(max(self.ranks.values()) + 1)])), "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    def packed(self, docs: DataFrame, ids: str, name: str) -> DataFrame:
+        """The rows with ids as little-endian unsigned 32-bit integers."""
+        big = F.lpad(F.hex("rank"), 8, "0")
+        little = F.concat(*(F.substring(big, k, 2) for k in (7, 5, 3, 1)))
+        codes = _list_of(self.pieces(docs.sparkSession).select(F.col("rank").alias("key"), little.alias("value")), "bpe-packing")
+        return _using(docs, name, codes, lambda c: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(c, i)), "")))
 
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT_WORDS, sample_texts: int = SAMPLE_TEXTS) -> dict[str, list[int]]:
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT_WORDS, sample_texts: int = SAMPLE_TEXTS) -> Column:
     """Ids of words that are frequent in a sample of texts, drawn by hash: what the cache holds."""
     n = docs.count()
     if n > sample_texts:
         docs = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * sample_texts / n))
     words = docs.select(F.explode(vocabulary.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    best = written(words.filter((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(most).select("word"), "bpe-frequent")
-    return {r["word"]: r["ids"] for r in best.select("word", vocabulary.encoded_word(F.col("word")).alias("ids")).collect()}
+    best = words.filter((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(most).select("word")
+    codes = vocabulary.encoded_words(written(best, "bpe-frequent").repartition(32, "word"))
+    return _map_of(codes.select(F.col("word").alias("key"), F.col("ids").alias("value")), "bpe-cache")
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUENT_WORDS) -> DataFrame:
     """The documents with ``ids``: array<int>."""
-    known = _table(frequent_words(docs, vocabulary, most_frequent), "array<int>")
-    place = "struct<pos:int,word:string>"
-    seek = lambda w, k: F.when(_look_up(known, w).isNull(), F.struct(k.cast("int").alias("pos"), w.alias("word")))
-    rare = F.filter(F.transform(vocabulary.words(F.col("text")), seek), lambda x: x.isNotNull()).cast(f"array<{place}>")
-    others = written(
-        docs.select(text_key(F.col("text")).alias("key"), F.inline(rare)).select("key", "pos", "word"), "bpe-others"
-    )
-    distinct = others.select(F.col("word").alias("of_word")).distinct()
-    codes = distinct.select("of_word", vocabulary.encoded_word(F.col("of_word")).alias("ids"))
+    known = frequent_words(docs, vocabulary, most_frequent)
+    words = vocabulary.words(F.col("text"))
+
+    def missing(table: Column) -> Column:
+        place = lambda w, k: F.when(_look_up(table, w).isNull(), F.struct(k.cast("int").alias("pos"), w.alias("word")))
+        return F.filter(F.transform(words, place), lambda x: x.isNotNull())
+
+    rare = _using(docs, "rare", known, missing).select(text_key(F.col("text")).alias("key"), "rare")
+    others = written(rare.select("key", F.inline("rare")), "bpe-others")
+    codes = vocabulary.encoded_words(others.select("word").distinct())
     back = (
-        others.join(codes, others["word"] == codes["of_word"])
+        others.join(codes.withColumnRenamed("word", "of_word"), F.col("word") == F.col("of_word"))
         .groupBy("key")
         .agg(F.collect_set(F.struct("pos", "ids")).alias("others"))
         # keyed by other bytes than those it was grouped by, so that Spark may split a text with many copies
         .select(F.hex("key").alias("of_key"), "others")
     )
-    there = lambda w, k: _let(_look_up(known, w), lambda ids: F.when(ids.isNotNull(), F.struct(k.cast("int").alias("pos"), ids.alias("ids"))))
-    found = F.filter(F.transform(vocabulary.words(F.col("text")), there), lambda x: x.isNotNull())
-    every = F.array_sort(F.concat(found, F.coalesce("others", F.array().cast("array<struct<pos:int,ids:array<int>>>"))))
+
+    def there(table: Column) -> Column:
+        place = lambda w, k: _let(_look_up(table, w), lambda ids: F.when(ids.isNotNull(), F.struct(k.cast("int").alias("pos"), ids.alias("ids"))))
+        return F.filter(F.transform(words, place), lambda x: x.isNotNull())
+
+    every = lambda table: F.sort_array(F.concat(there(table), F.coalesce("others", F.array().cast("array<struct<pos:int,ids:array<int>>>"))))
     rows = docs.join(back, F.hex(text_key(docs["text"])) == back["of_key"], "left")
-    return rows.withColumn("ids", F.flatten(F.transform(every, lambda x: x["ids"]))).drop("of_key", "others")
+    return _using(rows, "ids", known, lambda table: F.flatten(F.transform(every(table), lambda x: x["ids"]))).drop("of_key", "others")
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids as packed, and of the bytes they decode to."""
-    ids = F.col("ids")
-    return encoded(docs.select("doc_id", "text"), vocabulary).select(
+    rows = encoded(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    rows = vocabulary.decoded(vocabulary.packed(rows, "ids", "packed"), "ids", "decoded")
+    return rows.select(
         "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(vocabulary.packed(ids), 256).alias("ids_sha256"),
-        F.sha2(vocabulary.decoded(ids), 256).alias("decoded_sha256"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
