@@ -198,7 +198,7 @@ def spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     model = model or learned(docs)
     rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     slim = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
-    rows = rows.withColumn("base", F.array_sort(F.transform(F.concat(*(of_kind(F.col("_text"), k) for k in KINDS[:4])), slim)))
+    rows = rows.withColumn("base", F.sort_array(F.transform(F.concat(*(of_kind(F.col("_text"), k) for k in KINDS[:4])), slim)))
 
     def wanted(s: Column) -> Column:
         feature = votes(s["rank"], s["value"], s["before"]) | shape(s["value"])
@@ -206,7 +206,7 @@ def spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         return (model.probability(feature) >= 0.5) & free
 
     more = F.transform(F.filter(of_kind(F.col("_text"), "secret"), wanted), slim)
-    return rows.withColumn("spans", F.array_sort(F.concat("base", more))).drop("_text")
+    return rows.withColumn("spans", F.sort_array(F.concat("base", more))).drop("_text")
 
 
 def joined(spans: Column) -> Column:
