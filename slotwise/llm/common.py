@@ -96,24 +96,21 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, seed: int = 0, most: int = 200_000) -> None:
-        self.seed, self.most, self.known = seed, most, {}
+    def __init__(self, most: int = 300_000) -> None:
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            seed, digest = self.seed, xxhash.xxh64_intdigest
-            for word in words:
-                if word not in known:
-                    known[word] = digest(word, seed)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -38,28 +38,22 @@ _FLUSH = 3_000_000
 _WEIGHTS = [f"w{k}" for k in range(CLASSES)]
 
 
-class WordCodes:
+class WordCodes(dict):
     """64-bit codes of words, remembered up to a bound; the last five bits are the shared class."""
 
-    def __init__(self, most: int = 200_000) -> None:
-        self.most, self.known = most, {}
+    def __init__(self, most: int = 500_000) -> None:
+        super().__init__()
+        self.most = most
 
-    @staticmethod
-    def code(word: bytes) -> int:
+    def __missing__(self, word: bytes) -> int:
         shared = xxhash.xxh64_intdigest(word[-2:], 7) % (CLASSES - OWN_CLASSES)
-        return ((xxhash.xxh64_intdigest(word) & ~31) | shared) - (1 << 63)
+        code = self[word] = ((xxhash.xxh64_intdigest(word) & ~31) | shared) - (1 << 63)
+        return code
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = self.code(word)
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -177,6 +171,7 @@ def trained(docs: DataFrame, model: ClassModel, rounds: int = ROUNDS) -> ClassMo
             model, codes, n = ClassModel.of(shared.value), WordCodes(), 0
             weights = model.weights.copy()
             seen = np.full(weights.shape, 1e-2, np.float32)
+            cell = np.arange(CLASSES)
             for batch in steps(batches):
                 code, starts = _coded(batch, codes)
                 aims = model.classes(code, model.places(code))
@@ -186,15 +181,13 @@ def trained(docs: DataFrame, model: ClassModel, rounds: int = ROUNDS) -> ClassMo
                     slot, aim = slots[:, a : a + BATCH], aims[a : a + BATCH]
                     miss = model.chances(slot, weights)
                     miss[np.arange(len(aim)), aim] -= 1
-                    used, where = np.unique(slot, return_inverse=True)
-                    where = where.reshape(slot.shape)
-                    g = np.zeros((len(used), CLASSES), np.float32)
-                    cell = np.arange(CLASSES)
+                    flat = miss.ravel()
+                    g = np.zeros(SLOTS * CLASSES)
                     for k in range(3):
-                        at = where[k][:, None] * CLASSES + cell
-                        g += np.bincount(at.ravel(), miss.ravel(), g.size).reshape(g.shape).astype(np.float32)
-                    seen[used] += g * g
-                    weights[used] -= RATE * g / np.sqrt(seen[used])
+                        g += np.bincount((slot[k][:, None] * CLASSES + cell).ravel(), flat, g.size)
+                    g = g.reshape(weights.shape).astype(np.float32)
+                    seen += g * g
+                    weights -= RATE * g / np.sqrt(seen)
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(SLOTS)), pa.array(np.full(SLOTS, n)), *(pa.array(weights[:, k].astype(np.float64) * n) for k in range(CLASSES))],
