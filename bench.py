@@ -1,19 +1,20 @@
 """Time every report on telemetry tables laid out by day.
 
-    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [name ...]
+    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [--root FOLDER] [name ...]
 
-The tables are derived from the given ones and written once to a scratch folder;
-that is reported apart as ``setup``. Each report is then planned and run in full,
+The tables are derived from the given ones and written once, to new folders under
+``--root`` (else to a temporary one); that is reported apart as ``setup``. Each report is then planned and run in full,
 every row and column of it, with its default parameters. Prints one JSON line.
 """
 
 from __future__ import annotations
 
+import argparse
 import json
 import os
-import sys
 import tempfile
 import time
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +55,18 @@ def run(df: DataFrame) -> None:
 
 
 def main() -> None:
+    options = argparse.ArgumentParser()
+    options.add_argument("--root")
+    options.add_argument("names", nargs="*")
+    given = options.parse_args()
     spark = session()
     start = time.perf_counter()
-    wh = laid_out(spark, tempfile.mkdtemp(prefix="run-bench-", dir="/tmp"))
+    root = f"{given.root.rstrip('/')}/bench-{uuid.uuid4().hex}" if given.root else tempfile.mkdtemp(prefix="run-bench-")
+    wh = laid_out(spark, root)
     setup = time.perf_counter() - start
 
     reports = registry.reports()
-    wanted = sys.argv[1:] or [name for name in reports if "__" not in name]
+    wanted = given.names or [name for name in reports if "__" not in name]
     for name in ("slots_by_minute", "general_job_information", "audit_slots_by_minute"):
         run(reports[name](wh))  # warm the JVM and the file cache
     seconds = {}

@@ -141,7 +141,17 @@ def jobs_timeline(jobs: DataFrame) -> DataFrame:
         ),
     )
 
-    def rows(df: DataFrame, origin: Column, state: str, used: Column) -> DataFrame:
+    e = F.col("event_id")
+    error = F.when(
+        e % 13 == 0,
+        F.struct(
+            F.lit("rateLimitExceeded").alias("reason"),
+            _numbered("loc-", e % 7).alias("location"),
+            F.when(e % 2 == 0, _numbered("quota ", e % 5)).alias("message"),
+        ),
+    )
+
+    def rows(df: DataFrame, origin: Column, state: str, used: Column, error: Column) -> DataFrame:
         return df.select(
             _add(origin, "SECOND", F.col("n")).alias("period_start"),
             used.cast("bigint").alias("period_slot_ms"),
@@ -158,11 +168,13 @@ def jobs_timeline(jobs: DataFrame) -> DataFrame:
             F.col("start_time").alias("job_start_time"),
             F.col("end_time").alias("job_end_time"),
             "total_bytes_billed",
+            error.alias("error_result"),
         )
 
     used = F.when(F.col("n") == 0, slot_ms % ticks).otherwise(0) + share
-    return rows(running, first, "RUNNING", used).unionByName(
-        rows(waiting, _second(F.col("creation_time")), "PENDING", F.lit(None))
+    none = F.lit(None)
+    return rows(running, first, "RUNNING", used, none).unionByName(
+        rows(waiting, _second(F.col("creation_time")), "PENDING", none, error)
     )
 
 

@@ -65,12 +65,13 @@ _TIMELINE_COLUMNS = """job_id, project_id, user_email, job_type, statement_type,
 _JOBS_TIMELINE = f"""
 SELECT date_trunc('second', start_time) + to_seconds(n) AS period_start,
   CASE WHEN n = 0 THEN total_slot_ms % ticks ELSE 0 END + (total_slot_ms - total_slot_ms % ticks) // ticks AS period_slot_ms,
-  'RUNNING' AS state, {_TIMELINE_COLUMNS}
+  'RUNNING' AS state, NULL AS error_result, {_TIMELINE_COLUMNS}
 FROM (SELECT *, unnest(range(ticks)) AS n FROM (
   SELECT *, date_sub('second', date_trunc('second', start_time), end_time) + 1 AS ticks FROM jobs WHERE end_time IS NOT NULL))
 UNION ALL
 SELECT date_trunc('second', creation_time) + to_seconds(n) AS period_start, NULL AS period_slot_ms,
-  'PENDING' AS state, {_TIMELINE_COLUMNS}
+  'PENDING' AS state, CASE WHEN event_id % 13 = 0 THEN struct_pack(reason := 'rateLimitExceeded', location := 'loc-' || CAST(event_id % 7 AS VARCHAR),
+    message := CASE WHEN event_id % 2 = 0 THEN 'quota ' || CAST(event_id % 5 AS VARCHAR) END) END AS error_result, {_TIMELINE_COLUMNS}
 FROM (SELECT *, unnest(range(event_id % 45)) AS n FROM jobs)
 """
 
@@ -249,10 +250,35 @@ def civil(days: int) -> str:
     return f"({AS_OF} - {PST} - INTERVAL {days} DAY + {PST})"
 
 
-def refs_text(column: str, sep: str = ",") -> str:
-    parts = "x.project_id || '.' || x.dataset_id || '.' || x.table_id"
-    return f"array_to_string([{parts} FOR x IN {column}], '{sep}')"
+def leaf(x: str) -> str:
+    """A value as text in quotes; NULL is told from a text of that name."""
+    return f"coalesce('''' || {x} || '''', 'NULL')"
+
+
+def struct_text(*leaves: str, known: str) -> str:
+    """``{a,b}`` of texts, or NULL where ``known`` is NULL."""
+    return f"CASE WHEN {known} IS NULL THEN 'NULL' ELSE '{{' || {" || ',' || ".join(leaves)} || '}}' END"
+
+
+def list_text(item: str, column: str) -> str:
+    """``[a,b]`` of the items x of a list, or NULL."""
+    return f"CASE WHEN {column} IS NULL THEN 'NULL' ELSE '[' || array_to_string([{item} FOR x IN {column}], ',') || ']' END"
+
+
+def ref_text(x: str) -> str:
+    return struct_text(leaf(f"{x}.project_id"), leaf(f"{x}.dataset_id"), leaf(f"{x}.table_id"), known=x)
+
+
+def refs_text(column: str) -> str:
+    return list_text(ref_text("x"), column)
 
 
 def labels_text(column: str) -> str:
-    return f"array_to_string([x.key || '=' || coalesce(x.value, '') FOR x IN {column}], ',')"
+    return list_text(struct_text(leaf("x.key"), leaf("x.value"), known="x"), column)
+
+
+def of_project(sql: str, project: str) -> str:
+    """The statement over the job views of one project; reservations are shared by all."""
+    body = f"({_CTES['jobs'][0].strip()})"
+    kept = f"jobs_all AS MATERIALIZED {body},\njobs AS (SELECT * FROM jobs_all WHERE project_id = '{project}')"
+    return sql.replace(f"jobs AS MATERIALIZED {body}", kept).replace("FROM jobs WHERE reservation_id", "FROM jobs_all WHERE reservation_id")

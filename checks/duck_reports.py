@@ -6,6 +6,8 @@ matched with minutes, runs with runs of the same text, and intervals are unfolde
 
 from __future__ import annotations
 
+from slotwise import fixed_values as fv
+
 from checks.duck import (
     AS_OF,
     PST,
@@ -13,19 +15,26 @@ from checks.duck import (
     cost,
     labels_text,
     ladder,
+    leaf,
+    list_text,
     money,
     ms,
     nano,
+    of_project,
     r2,
     ratio,
+    ref_text,
     refs_text,
     slots,
+    struct_text,
     with_tables,
 )
 
 PROJECT = "proj-1"
 RESERVATION = "res-2"
-LOOKER = r"[a-zA-Z0-9._%+-]*looker[a-zA-Z0-9._%+-]*@[a-zA-Z0-9-]+.iam.gserviceaccount.com"
+LOOKER = fv.LOOKER_ACCOUNT
+# Reports on reservations alone, which belong to no project.
+WITHOUT_PROJECT = ("autoscale_usage_and_costs_per_second", "reservation_cost_per_day")
 
 JOB_RANK = (
     "row_number() OVER (PARTITION BY job_id ORDER BY end_time DESC NULLS LAST, creation_time DESC NULLS LAST, "
@@ -145,7 +154,6 @@ def _timeline() -> dict[str, str]:
     no_script = "statement_type <> 'SCRIPT'"
     for unit in ("day", "hour", "minute", "second"):
         out[f"slots_by_{unit}"] = _slots_sql(unit, no_script)
-    out["slots_by_day__literal"] = out["slots_by_day"]
     out["slots_by_minute_and_user"] = _slots_sql("minute", no_script, True)
     for unit in ("minute", "second"):
         out[f"load_slots_per_{unit}"] = _slots_sql(unit, "job_type = 'LOAD'")
@@ -163,6 +171,9 @@ WHERE job_creation_time BETWEEN {civil(7)} AND {AS_OF} AND job_type = 'QUERY' AN
     out["queued_queries_by_second"] = with_tables("jobs_timeline", select=f"""
 SELECT period_start, count(DISTINCT job_id) AS queued_jobs_cnt FROM jobs_timeline
 WHERE job_creation_time BETWEEN {civil(1)} AND {AS_OF} AND state = 'PENDING' GROUP BY period_start""")
+    out["queued_jobs"] = with_tables("jobs_timeline", select=f"""
+SELECT DISTINCT job_id, period_start, project_id, user_email, job_type, error_result.reason AS error_reason, error_result.location AS error_location,
+  error_result.message AS error_message FROM jobs_timeline WHERE job_creation_time BETWEEN {civil(1)} AND {AS_OF} AND state = 'PENDING'""")
     out["concurrent_queued_and_running_jobs_per_minute"] = with_tables("jobs",
         ("t", f"SELECT unnest(generate_series({AS_OF} - INTERVAL 24 HOUR, {AS_OF}, INTERVAL 1 MINUTE)) AS m"),
         ("j", f"SELECT * FROM jobs WHERE creation_time >= {AS_OF} - INTERVAL 25 HOUR AND job_type = 'QUERY' AND statement_type <> 'SCRIPT'"),
@@ -250,6 +261,13 @@ SELECT start_time, reservation_name, autoscale_current_slots, autoscale_max_slot
   CAST({rate} * autoscale_current_slots AS DOUBLE) AS autoscaled_cost, {assigned}, slots_max_assigned,
   {total} AS total_slots_cost, {money(total)} AS total_slots_cost_formatted
 FROM reservation_seconds WHERE {recent}""")
+        number = lambda c: leaf(f"CAST(CAST({c} AS DECIMAL(28,6)) AS VARCHAR)")
+        job = struct_text(
+            leaf("CAST(period_slot_ms AS VARCHAR)"), number("period_slot_s"), number("editions_cost"), *map(leaf, ("project_id", "user_email", "job_id", "statement_type")),
+            leaf("CAST(epoch_us(job_start_time) AS VARCHAR)"), leaf("state"), leaf("CAST(total_bytes_billed_for_full_job AS VARCHAR)"), known="job_id",
+        )
+        jobs = f"'[' || string_agg({job}, ',' ORDER BY {job}) || ']' AS jobs" if literal else "j.* EXCLUDE (start_time, reservation_name)"
+        grouped = " GROUP BY ALL" if literal else ""
         out["queries_and_reservation_usage_per_second" + suffix] = with_tables("reservation_seconds jobs_timeline",
             ("j", f"""SELECT period_start AS start_time, split_part(reservation_id, '.', -1) AS reservation_name, period_slot_ms,
   CAST(period_slot_ms AS DOUBLE) / 1000 AS period_slot_s, CAST({rate} AS DOUBLE) * (CAST(period_slot_ms AS DOUBLE) / 1000) AS editions_cost,
@@ -258,8 +276,8 @@ FROM jobs_timeline WHERE period_start BETWEEN {AS_OF} - INTERVAL 7 DAY AND {AS_O
   AND job_type = 'QUERY' AND (statement_type <> 'SCRIPT' OR statement_type IS NULL)"""),
             select=f"""
 SELECT s.start_time, s.reservation_name, s.edition, s.autoscale_current_slots, s.autoscale_max_slots, s.slots_assigned, s.slots_max_assigned,
-  j.* EXCLUDE (start_time, reservation_name)
-FROM reservation_seconds s JOIN j ON s.start_time = j.start_time AND s.reservation_name = j.reservation_name WHERE s.{recent}""")
+  {jobs}
+FROM reservation_seconds s JOIN j ON s.start_time = j.start_time AND s.reservation_name = j.reservation_name WHERE s.{recent}{grouped}""")
         used = "j.slots" if literal else "coalesce(j.slots, 0)"
         out["bqe_slot_utilization_by_minute" + suffix] = with_tables("reservations_timeline jobs_timeline",
             ("r", f"SELECT * FROM reservations_timeline WHERE period_start > {AS_OF} - INTERVAL 7 DAY AND reservation_name = '{RESERVATION}'"),
@@ -324,7 +342,8 @@ SELECT dataset, table_name, {money('pal')} AS logical_active_price, {money('pap'
   {money('plp')} AS base_long_term_price, {money('extra')} AS additional_costs_for_physical_storage, {money('lo')} AS logical_storage_price,
   {money('ph')} AS physical_storage_price, {money('lo - ph')} AS difference_in_price_if_physical_is_chosen,
   CASE WHEN lo < ph THEN 'Logical storage' ELSE 'Physical storage' END AS recommendation FROM f""")
-        ddl = lambda m: f"'SET @@location = ''us'';' || chr(10) || 'ALTER SCHEMA `' || dataset || '` SET OPTIONS(storage_billing_model = ''{m}'')'"
+        texts = {m: (fv.SET_LOCATION.replace("<location>", "us") + text).replace("'", "''") for m, text in (("PHYSICAL", fv.SET_PHYSICAL), ("LOGICAL", fv.SET_LOGICAL))}
+        ddl = lambda m: f"replace('{texts[m]}', '<dataset>', dataset)"
         out["project_storage_model_recommendation" + suffix] = with_tables("table_storage tables schemata_options",
             ("s0", f"SELECT DISTINCT tb.table_schema, tb.table_name, tb.project_id || '.' || tb.table_schema AS dataset, {sizes} {join}"),
             ("s", """SELECT s0.*, coalesce(o.option_value, 'LOGICAL') AS model FROM s0
@@ -333,10 +352,10 @@ LEFT JOIN (SELECT * FROM schemata_options WHERE option_name = 'storage_billing_m
 SELECT dataset, {money('pal')} AS logical_active_price, {money('pll')} AS logical_long_term_price, {money('pap')} AS physical_active_price,
   {money('plp')} AS physical_long_term_price, {money('extra')} AS additional_costs_for_physical_storage, {money('lo')} AS logical_storage_price,
   {money('ph')} AS physical_storage_price, {money('lo - ph')} AS savings_in_price_if_physical_is_chosen, model AS current_storage_model,
-  CASE WHEN model = 'LOGICAL' AND lo < ph THEN 'Do nothing as logical storage is the best option (currently logical).'
-    WHEN model = 'LOGICAL' THEN 'Change dataset to physical storage for additional savings.'
-    WHEN lo < ph THEN 'Dataset is currently using physical storage and costing you more money than logical storage. Change dataset back to logical storage.'
-    ELSE 'Do nothing as physical storage is the best option (currently physical).' END AS recommendation,
+  CASE WHEN model = 'LOGICAL' AND lo < ph THEN '{fv.KEEP_LOGICAL}'
+    WHEN model = 'LOGICAL' THEN '{fv.GO_PHYSICAL}'
+    WHEN lo < ph THEN '{fv.GO_LOGICAL}'
+    ELSE '{fv.KEEP_PHYSICAL}' END AS recommendation,
   CASE WHEN model = 'LOGICAL' AND NOT lo < ph THEN {ddl('PHYSICAL')} WHEN model <> 'LOGICAL' AND lo < ph THEN {ddl('LOGICAL')} END AS "recommendation_change_SQL"
 FROM f""")
     stamp = "strftime(last, '%Y-%m-%d %H:%M:%S') || CASE WHEN date_part('microsecond', last) % 1000000 = 0 THEN '' WHEN date_part('microsecond', last) % 1000 = 0 THEN strftime(last, '.%g') ELSE strftime(last, '.%f') END || '+00'"
@@ -375,8 +394,7 @@ WHERE usage_date >= DATE '2001-10-08' GROUP BY usage_date, project_id, table_sch
 
 # Audit log.
 
-EVENT_TYPE = ("CASE event_name WHEN 'query_job_completed' THEN 'QUERY' WHEN 'load_job_completed' THEN 'LOAD' "
-              "WHEN 'extract_job_completed' THEN 'EXTRACT' WHEN 'table_copy_job_completed' THEN 'TABLE COPY' END")
+EVENT_TYPE = "CASE event_name " + " ".join(f"WHEN '{name}' THEN '{kind}'" for name, kind in fv.EVENT_TYPES.items()) + " END"
 EVENT_RANK = ("row_number() OVER (PARTITION BY job_id ORDER BY ts DESC NULLS LAST, end_time DESC NULLS LAST, start_time DESC NULLS LAST, "
               "total_slot_ms DESC NULLS LAST, total_bytes_billed DESC NULLS LAST, event_name DESC NULLS LAST)")
 A_IDS = 'job_id AS jobId, location, project_id AS billingProjectId, start_time AS startTime, end_time AS endTime'
@@ -412,7 +430,9 @@ def _audit_scoped(project: str | None) -> dict[str, str]:
     for literal in (False, True):
         suffix = "__literal" if literal else ""
         lists = f"""
-SELECT usr AS "user", {EVENT_TYPE} AS eventType, query, load_target.table_id AS load, extract_source AS extract, copy_target AS tableCopy,
+SELECT usr AS "user", {EVENT_TYPE} AS eventType, {struct_text(leaf('query'), known='query')} AS query,
+  {struct_text(list_text(leaf('x'), '[source_uri]'), ref_text('load_target'), known='load_target')} AS load,
+  {struct_text(leaf('extract_source'), known='extract_source')} AS extract, {struct_text(leaf('copy_target'), known='copy_target')} AS tableCopy,
   ts AS "timestamp", {A_IDS}, """
         tail = f"total_slot_ms AS totalSlotMs, {ms()} AS executionTimeMs, {_rate(literal)} AS approximateSlotCount FROM d"
         out["general_job_information" + suffix] = with_tables("audit", _events(7, project), LATEST, select=lists +
@@ -421,7 +441,7 @@ SELECT usr AS "user", {EVENT_TYPE} AS eventType, query, load_target.table_id AS
             select=lists + "total_bytes_billed AS totalBilledBytes, " + tail)
         out["load_job_information" + suffix] = with_tables("audit",
             _events(5, project, kind="load", tests="project_id IS NOT NULL AND load_target IS NOT NULL"), LATEST, select=f"""
-SELECT usr AS user_email, ts AS "timestamp", {A_IDS}, total_bytes_processed AS totalProcessedBytes, source_uri AS sourceUris,
+SELECT usr AS user_email, ts AS "timestamp", {A_IDS}, total_bytes_processed AS totalProcessedBytes, {list_text(leaf('x'), '[source_uri]')} AS sourceUris,
   load_target.project_id AS destinationProjectId, load_target.dataset_id AS destinationDatasetId, load_target.table_id AS destinationTabletId,
   total_slot_ms AS totalSlotMs, {ms()} AS executionTimeMs, {_rate(literal)} AS approximateSlotCount FROM d""")
         labels = "job_labels" if literal else "coalesce(config_labels, job_labels)"
@@ -521,7 +541,10 @@ SELECT usr AS "user", location, project_id AS billingProjectId, CAST(sum(c) AS D
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {**_jobs(), **_timeline(), **_billing(), **_reservations(), **_storage()}
+    views, storage = {**_jobs(), **_timeline(), **_billing(), **_reservations()}, _storage()
+    used = "table_storage_by_most_recently_queried"
+    scoped = {n: sql for n, sql in views.items() if "__" not in n and n not in WITHOUT_PROJECT} | {used: storage[used]}
+    out = views | storage | {f"{n}__project": of_project(sql, PROJECT) for n, sql in scoped.items()}
     for name, sql in _audit_unscoped().items():
         out[f"audit_{name}"] = sql
     for general, project in (("", PROJECT), ("_general", None)):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.derive import AS_OF, STORAGE_AS_OF, derived_warehouse
-from checks.duck_reports import PROJECT, RESERVATION
+from checks.duck_reports import PROJECT, RESERVATION, WITHOUT_PROJECT
 from slotwise.params import utc_session
 from slotwise.plans import audit, billing, concurrency, jobs, reservations, slots, storage
 from slotwise.sources.warehouse import Warehouse
@@ -24,9 +24,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 Report = Callable[..., DataFrame]
 
 
-def _labels_text(labels: Column) -> Column:
-    pair = lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit("")))
-    return F.array_join(F.transform(labels, pair), ",")
+def leaves_text(value: Column, kind: T.DataType) -> Column:
+    """A nested value as text with every leaf, NULL told apart; lists of jobs are sorted."""
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: leaves_text(x, kind.elementType))
+        if isinstance(kind.elementType, T.StructType) and "job_id" in kind.elementType.names:
+            items = F.array_sort(items)
+        text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    elif isinstance(kind, T.StructType):
+        parts = [leaves_text(value[f.name], f.dataType) for f in kind]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    else:
+        if isinstance(kind, T.DoubleType):
+            value = value.cast("decimal(28,6)")
+        elif isinstance(kind, T.TimestampType):
+            value = F.unix_micros(value)
+        text = F.concat(F.lit("'"), value.cast("string"), F.lit("'"))
+    return F.coalesce(F.when(value.isNotNull(), text), F.lit("NULL"))
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -37,28 +51,13 @@ def portable(df: DataFrame) -> DataFrame:
         if isinstance(kind, (T.TimestampType, T.DateType)):
             c = c.cast("timestamp_ntz")
         elif isinstance(kind, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(kind, T.ArrayType) and field.name == "labels":
-            c = _labels_text(c)
-        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            names = kind.elementType.names
-            c = F.array_join(
-                F.transform(c, lambda r: F.concat_ws(".", *[r[x] for x in names])), ","
-            )
-        elif isinstance(kind, T.ArrayType):
-            c = F.array_join(c, ",")
-        elif isinstance(kind, T.StructType):
-            # A job's configuration: its text, or the table it names.
-            leaf = "destinationTable.tableId" if field.name == "load" else kind.names[0]
-            c = F.col(f"{field.name}.{leaf}")
+            c = c.cast("double" if kind.scale else "bigint")
+        elif isinstance(kind, (T.ArrayType, T.StructType)):
+            c = leaves_text(c, kind)
         columns.append(c.alias(field.name))
     return df.select(*columns)
 
 
-def _unfolded(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != "jobs"], F.inline("jobs"))
-
-
 # Reports with a time window at AS_OF, and whether a literal variant exists.
 _TIMED: dict[str, tuple[Report, bool]] = {
     "autoscale_usage_and_costs_per_second": (
@@ -85,9 +84,10 @@ _TIMED: dict[str, tuple[Report, bool]] = {
     "query_slots_per_minute": (slots.query_slots_per_minute, False),
     "query_slots_per_minute_and_user": (slots.query_slots_per_minute_and_user, False),
     "query_slots_per_second": (slots.query_slots_per_second, False),
+    "queued_jobs": (concurrency.queued_jobs, False),
     "queued_queries_by_second": (concurrency.queued_queries_by_second, False),
     "reservation_cost_per_day": (reservations.reservation_cost_per_day, True),
-    "slots_by_day": (slots.slots_by_day, True),
+    "slots_by_day": (slots.slots_by_day, False),
     "slots_by_hour": (slots.slots_by_hour, False),
     "slots_by_minute": (slots.slots_by_minute, False),
     "slots_by_minute_and_user": (slots.slots_by_minute_and_user, False),
@@ -151,8 +151,6 @@ _AUDIT_ALL: dict[str, tuple[Report, bool]] = {
 
 def flat(name: str, df: DataFrame) -> DataFrame:
     """A report's rows as they are compared."""
-    if name.startswith("queries_and_reservation_usage_per_second"):
-        df = _unfolded(df)
     return portable(df)
 
 
@@ -180,6 +178,8 @@ def reports() -> dict[str, Callable[[Warehouse], DataFrame]]:
 
     for name, (report, literal) in _TIMED.items():
         add(name, report, literal, as_of=AS_OF)
+        if name not in WITHOUT_PROJECT:
+            add(f"{name}__project", report, False, as_of=AS_OF, project_id=PROJECT)
     for name, report in _SNAPSHOTS.items():
         add(name, report, True)
     add("table_usage_and_costs_per_day", storage.table_usage_and_costs_per_day, False,

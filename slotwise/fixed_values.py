@@ -61,6 +61,31 @@ LONG_TERM_PHYSICAL_HOURLY = 0.000027397
 # Slot baselines tried by the total billing report.
 BASELINES = (0, 50, 100, 200, 500, 1000)
 
+# Plans of the per-query billing report, as its recommendations name them.
+PLAN_STANDARD = "Standard Edition"
+PLAN_ENTERPRISE = "Enterprise Edition"
+PLAN_ENTERPRISE_1Y = "Enterprise Edition 1 Year Commit"
+PLAN_ENTERPRISE_3Y = "Enterprise Edition 3 Year Commit"
+PLAN_ENTERPRISE_PLUS = "Enterprise Plus Edition"
+PLAN_ENTERPRISE_PLUS_1Y = "Enterprise Plus Edition 1 Year Commit"
+PLAN_ENTERPRISE_PLUS_3Y = "Enterprise Plus Edition 3 Year Commit"
+
+# Points of the on-demand and the flat-rate score, if a test holds and if not.
+DEMAND_PER_COST = 100
+DEMAND_IF_QUERY = (100, 200)
+DEMAND_IF_LONG = (100, 200)
+DEMAND_IF_MANY_SLOTS = (500, 100)
+DEMAND_MANY_SLOTS = 500
+DEMAND_PER_REPEATED_COST = -0.1
+DEMAND_IF_OTHER_KIND = (100, 0)
+FLAT_PER_COST = 125
+FLAT_IF_QUERY = (200, 100)
+FLAT_IF_LONG = (200, 100)
+FLAT_IF_MANY_SLOTS = (100, 500)
+FLAT_MANY_SLOTS = 200
+FLAT_PER_REPEATED_COST = 0.1
+LONG_RUN_MS = 60_000
+
 # Audit event names and the job type each stands for.
 EVENT_TYPES = {
     "query_job_completed": "QUERY",

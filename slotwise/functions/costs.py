@@ -27,6 +27,11 @@ def sum_bytes(nbytes: Column) -> Column:
     return F.sum(nbytes.cast("decimal(20,0)"))
 
 
+def sum_whole(value: Column) -> Column:
+    """Sum of whole numbers, such as billionths of a slot, that may pass 64 bits."""
+    return F.sum(value.cast("decimal(38,0)"))
+
+
 LADDER = ("totalBytesBilled", "totalMegabytesBilled", "totalGigabytesBilled", "totalTerabytesBilled")
 LADDER_BINARY = ("totalBytesBilled", "totalMebibytesBilled", "totalGigibytesBilled", "totalTebibytesBilled")
 

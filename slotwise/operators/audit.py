@@ -6,11 +6,13 @@ is a projection of paths, which Spark prunes down to the leaves used.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise import fixed_values as fv
-from slotwise.operators.dedupe import descending, first_per_key
+from slotwise.operators.dedupe import descending, first_per_key, tie_hash
 from slotwise.operators.scans import since_utc_date
 from slotwise.params import AsOf
 
@@ -112,6 +114,12 @@ def started_since(events: DataFrame, as_of: AsOf, days: int | None) -> DataFrame
     return since_utc_date(events, "startTime", as_of, days)
 
 
-def latest_events(events: DataFrame) -> DataFrame:
-    """One row per job id: the version logged last."""
-    return first_per_key(events, ["jobId"], descending(EVENT_ORDER))
+def latest_events(events: DataFrame, reads: Sequence[str] = ()) -> DataFrame:
+    """One row per job id: the version logged last.
+
+    Versions equal in the whole order are told apart by a hash, which takes in the
+    wide columns (``reads``) that the report shows.
+    """
+    narrow = ("user", "location", "projectId", "totalProcessedBytes")
+    order = [*descending(EVENT_ORDER), tie_hash(events, narrow, reads).asc()]
+    return first_per_key(events, ["jobId"], order)

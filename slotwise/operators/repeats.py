@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.costs import sum_bytes
 
-# Texts counted apart as possibly hot. A text outside the N most frequent ones
-# has fewer than 1/N of all rows, so no shuffle partition is swamped by it.
-HOT_TEXTS = 1000
-
-
 def runs_per_text(runs: DataFrame, query: str, nbytes: Column) -> DataFrame:
     """Per query text, its runs and their summed bytes; rows without text drop out.
 
@@ -20,22 +15,27 @@ def runs_per_text(runs: DataFrame, query: str, nbytes: Column) -> DataFrame:
     """
     return (
         runs.filter(F.col(query).isNotNull())
-        .groupBy(F.col(query).alias("query"))
-        .agg(F.count("*").alias("runs"), sum_bytes(nbytes).alias("bytes"))
+        .groupBy(F.sha2(F.col(query), 256).alias("_h"))
+        .agg(
+            F.any_value(query).alias("query"),
+            F.count("*").alias("runs"),
+            sum_bytes(nbytes).alias("bytes"),
+        )
+        .drop("_h")
     )
 
 
 def attach_run_count(runs: DataFrame, query: str, name: str) -> DataFrame:
     """Every run with a text, with the number of runs of that text.
 
-    A window or a plain join would gather all runs of a text in one task. Here the
-    most frequent texts, a fixed number of rows, are broadcast and settle their
-    runs where they lie, without a shuffle. The remaining runs join with counts
-    that are each a small share of all rows.
+    One narrow pass counts the runs per hash of the text, summed map-side, and one
+    wide pass joins each run with the count. A window would gather all runs of a
+    text in one task; of a join, Spark splits the runs of a crowded text over several
+    tasks while it runs, as each needs the one count only. It does so if both sides
+    are dealt out for the join, so the counts are keyed by other bytes there than
+    where they are summed.
     """
     keyed = runs.withColumn("_h", F.sha2(F.col(query), 256)).filter(F.col("_h").isNotNull())
     counts = keyed.groupBy("_h").agg(F.count("*").alias(name))
-    hot = F.broadcast(counts.orderBy(F.col(name).desc(), "_h").limit(HOT_TEXTS))
-    settled = keyed.join(hot, "_h")
-    others = keyed.join(hot.select("_h"), "_h", "left_anti").join(counts, "_h")
-    return settled.unionByName(others).drop("_h")
+    counts = counts.select(F.unhex("_h").alias("_k"), name)
+    return keyed.withColumn("_k", F.unhex("_h")).join(counts, "_k").drop("_h", "_k")

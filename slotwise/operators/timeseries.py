@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.fixed_values import UNIT_MS
+from slotwise.functions.costs import sum_whole
 from slotwise.functions.times import from_micros, truncate
 from slotwise.params import AsOf, instant, utc
 
@@ -144,7 +145,7 @@ def alive_per_tick(
             ),
         )
         .groupBy(*keys, "_day", "_i")
-        .agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+        .agg(F.sum("_n").alias("_n"), sum_whole(F.col("_s")).alias("_s"))
     )
     order = Window.partitionBy(*keys, "_day").orderBy("_i")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -20,6 +20,7 @@ from slotwise.functions.costs import (
     or_zero,
     slot_rate,
     sum_bytes,
+    sum_whole,
 )
 from slotwise.functions.times import elapsed, elapsed_ms
 from slotwise.operators.audit import (
@@ -68,7 +69,7 @@ def _slots(literal: bool = False, digits: int | None = None) -> Column:
 def _list_base(events: DataFrame, *tail: Column | str) -> DataFrame:
     config = F.col("config")
     return (
-        latest_events(events)
+        latest_events(events, ["query"])
         .select(
             "user",
             event_type(F.col("eventName")).alias("eventType"),
@@ -222,7 +223,7 @@ def longest_running_queries(
 ) -> DataFrame:
     """The dearest run of every text; ``literal`` looks at all log rows of a job."""
     events = recent_events(wh.audit_log, as_of, days, project_id=project_id)
-    runs = events if literal else latest_events(events)
+    runs = events if literal else latest_events(events, ["query"])
     ties = [
         F.col("timestamp").desc_nulls_last(),
         F.col("jobId").asc(),
@@ -258,10 +259,11 @@ def query_counts(
     project, charges the price of a TiB per GiB.
     """
     events = recent_events(wh.audit_log, as_of, days, project_id=project_id)
-    texts = runs_per_text(latest_events(events), "query", or_zero(_bytes()))
+    texts = runs_per_text(latest_events(events, ["query"]), "query", or_zero(_bytes()))
     if literal:
         rows = events.filter(F.col("query").isNotNull()).groupBy("query")
-        pairs = rows.agg((F.count("*") * F.count("*")).alias("pairs"))
+        n = F.count("*").cast("decimal(19,0)")
+        pairs = rows.agg((n * n).alias("pairs"))
         texts = texts.join(pairs, "query").withColumn("runs", F.col("pairs"))
     per = fv.GIB if literal and project_id is not None else fv.TIB
     total = F.col("bytes")
@@ -284,7 +286,7 @@ def top_costly_queries(
 ) -> DataFrame:
     """Texts by the cost of all their runs; ``literal`` as in the job view's report."""
     events = recent_events(wh.audit_log, as_of, days, kind="query", project_id=project_id)
-    texts = runs_per_text(latest_events(events), "query", or_zero(_bytes()))
+    texts = runs_per_text(latest_events(events, ["query"]), "query", or_zero(_bytes()))
     return _costly(texts, prices.on_demand_legacy, literal)
 
 
@@ -327,7 +329,7 @@ def top_billed_labels(
         .select(
             "labelKey",
             "labelValue",
-            total.cast("bigint").alias("totalBilledBytes"),
+            total.alias("totalBilledBytes"),
             mib,
             tib,
             F.round(on_demand(total, prices.on_demand_legacy), 2).alias("onDemandCost"),
@@ -388,7 +390,7 @@ def top_billed_queries_deduplicated(
     project_id: str | None = None,
 ) -> DataFrame:
     """Query jobs with known slots, most bytes first, dry runs included."""
-    events = latest_events(_billed_queries(wh, as_of, days, project_id, dry_run=False))
+    events = latest_events(_billed_queries(wh, as_of, days, project_id, dry_run=False), ["query"])
     return (
         events.select(*_billed_columns(prices.on_demand_legacy), _slots(digits=2))
         .filter(F.col("approximateSlotCount").isNotNull())
@@ -408,7 +410,7 @@ def top_complex_queries(
     events = recent_events(wh.audit_log, as_of, days, kind="query", project_id=project_id)
     cost = F.round(on_demand(_bytes(), prices.on_demand_legacy), 2).alias("onDemandCost")
     return (
-        latest_events(events)
+        latest_events(events, ["query"])
         .select(
             _slots(digits=2),
             "user",
@@ -501,7 +503,7 @@ def slot_usage_by_billing_project_and_project(
             F.inline("referencedTables").alias("projectId", "datasetId", "tableId"),
         )
         .groupBy("billingProjectId", "projectId", "datasetId", "tableId")
-        .agg(F.round(from_nano(F.sum("nano")), 2).alias("slotUsage"))
+        .agg(F.round(from_nano(sum_whole(F.col("nano"))), 2).alias("slotUsage"))
         .orderBy(
             F.col("slotUsage").desc(), "billingProjectId", "projectId", "datasetId", "tableId"
         )
@@ -560,7 +562,7 @@ def slots_by(
         ticks = (
             expand_interval(jobs, "startTime", "endTime", unit, aligned=not literal, name=unit)
             .groupBy(unit, *keys)
-            .agg(F.sum("nano").alias("measure"))
+            .agg(sum_whole(F.col("nano")).alias("measure"))
         )
     else:
         ticks = alive_per_tick(
@@ -594,7 +596,7 @@ def billing_recommendations_per_query(
 ) -> DataFrame:
     """On-demand or flat-rate for each run, by weighted scores.
 
-    The weights are fixed: cost, job type, run time, slots and repetition.
+    The weights are fixed values: cost, job type, run time, slots and repetition.
     """
     events = recent_events(wh.audit_log, as_of, days, kind="query", project_id=project_id)
     runs = events.select(
@@ -613,25 +615,25 @@ def billing_recommendations_per_query(
     counted = attach_run_count(runs, "query", "queryCount")
     cost, count = F.col("onDemandCost"), F.col("queryCount")
 
-    def points(test: Column, yes: float, no: float) -> Column:
-        return F.when(test, F.lit(yes)).otherwise(F.lit(no))
+    def points(test: Column, either: tuple[float, float]) -> Column:
+        return F.when(test, F.lit(either[0])).otherwise(F.lit(either[1]))
 
     kind, slots = F.col("eventType"), F.col("approximateSlotCount")
-    long = F.col("executionTimeMs") > 60_000
+    long = F.col("executionTimeMs") > fv.LONG_RUN_MS
     demand = (
-        cost * 100
-        + points(kind == "QUERY", 100, 200)
-        + points(long, 100, 200)
-        + points(slots > 500, 500, 100)
-        + count * cost * F.lit(-0.1)
-        + points(kind.isin("LOAD", "TABLE COPY", "EXTRACT"), 100, 0)
+        cost * fv.DEMAND_PER_COST
+        + points(kind == "QUERY", fv.DEMAND_IF_QUERY)
+        + points(long, fv.DEMAND_IF_LONG)
+        + points(slots > fv.DEMAND_MANY_SLOTS, fv.DEMAND_IF_MANY_SLOTS)
+        + count * cost * F.lit(fv.DEMAND_PER_REPEATED_COST)
+        + points(kind.isin("LOAD", "TABLE COPY", "EXTRACT"), fv.DEMAND_IF_OTHER_KIND)
     )
     flat = (
-        cost * 125
-        + points(kind == "QUERY", 200, 100)
-        + points(long, 200, 100)
-        + points(slots > 200, 100, 500)
-        + count * F.lit(0.1) * cost
+        cost * fv.FLAT_PER_COST
+        + points(kind == "QUERY", fv.FLAT_IF_QUERY)
+        + points(long, fv.FLAT_IF_LONG)
+        + points(slots > fv.FLAT_MANY_SLOTS, fv.FLAT_IF_MANY_SLOTS)
+        + count * F.lit(fv.FLAT_PER_REPEATED_COST) * cost
     )
     demand_wins = F.col("demand") > F.col("flat")
     ratio = F.when(demand_wins, F.try_divide("demand", "flat")).otherwise(

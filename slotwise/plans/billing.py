@@ -21,16 +21,18 @@ from slotwise.functions.costs import (
 )
 from slotwise.functions.times import elapsed_ms, truncate
 from slotwise.operators.repeats import attach_run_count
-from slotwise.operators.scans import within_civil
+from slotwise.operators.scans import of_project, within_civil
 from slotwise.params import AsOf, Prices
 from slotwise.plans.jobs import finished_jobs
 from slotwise.sources.warehouse import Warehouse
 
 
-def _measured_runs(wh: Warehouse, as_of: AsOf, days: int, tz: str) -> DataFrame:
+def _measured_runs(
+    wh: Warehouse, as_of: AsOf, days: int, tz: str, project_id: str | None
+) -> DataFrame:
     """Finished jobs of any type with their slots and billed hours."""
     start, end = F.col("start_time"), F.col("end_time")
-    return finished_jobs(wh, as_of, days, tz=tz).select(
+    return finished_jobs(wh, as_of, days, tz=tz, project_id=project_id).select(
         F.col("project_id").alias("projectId"),
         "query",
         start.alias("startTime"),
@@ -49,6 +51,7 @@ def billing_recommendation_per_query(
     days: int = 14,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """For each run, whether each edition would have cost less than on-demand.
@@ -57,22 +60,22 @@ def billing_recommendation_per_query(
     and judges two of the Plus plans by the plain Enterprise costs.
     """
     # Cost column, recommendation column, name of the plan, hourly price.
-    plus_1y = "Enterprise Edition 1 Year Commit" if literal else "Enterprise Plus Edition 1 Year Commit"
+    plus_1y = fv.PLAN_ENTERPRISE_1Y if literal else fv.PLAN_ENTERPRISE_PLUS_1Y
     plans = [
         ("standardEditionCost", "standardEditionRecommendation",
-         "Standard Edition", prices.standard),
+         fv.PLAN_STANDARD, prices.standard),
         ("enterpriseEditionCost", "enterpriseEditionRecommendation",
-         "Enterprise Edition", prices.enterprise),
+         fv.PLAN_ENTERPRISE, prices.enterprise),
         ("enterpriseEdition1YearCost", "enterpriseEdition1YearRecommendation",
-         "Enterprise Edition 1 Year Commit", prices.enterprise_1y),
+         fv.PLAN_ENTERPRISE_1Y, prices.enterprise_1y),
         ("enterpriseEdition3YearCost", "enterpriseEdition3YearRecommendation",
-         "Enterprise Edition 3 Year Commit", prices.enterprise_3y),
+         fv.PLAN_ENTERPRISE_3Y, prices.enterprise_3y),
         ("enterprisePlusEditionCost", "enterprisePlusEditionRecommendation",
-         "Enterprise Plus Edition", prices.enterprise_plus),
+         fv.PLAN_ENTERPRISE_PLUS, prices.enterprise_plus),
         ("enterprisePlusEdition1YearCost", "enterpriseEditionPlus1YearRecommendation",
          plus_1y, prices.enterprise_plus_1y),
         ("enterprisePlusEdition3YearCost", "enterprisePlusEdition3YearRecommendation",
-         "Enterprise Plus Edition 3 Year Commit", prices.enterprise_plus_3y),
+         fv.PLAN_ENTERPRISE_PLUS_3Y, prices.enterprise_plus_3y),
     ]
     judged_by = {}
     if literal:
@@ -84,7 +87,7 @@ def billing_recommendation_per_query(
     slots = step_up(F.col("approximateSlotCount"))
     used = F.col("hours") if literal else F.col("hours") * F.col("billedSlotCount")
     runs = (
-        _measured_runs(wh, as_of, days, tz)
+        _measured_runs(wh, as_of, days, tz, project_id)
         .filter(F.col("query").isNotNull())
         .withColumns(
             {
@@ -128,6 +131,7 @@ def costs_by_query(
     days: int = 7,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Slot-hours and on-demand cost of each run, with the runs of its text.
@@ -136,7 +140,7 @@ def costs_by_query(
     amount in each unit, instead of on the bytes.
     """
     floor = fv.MIN_BILLED_BYTES
-    runs = attach_run_count(_measured_runs(wh, as_of, days, tz), "query", "executionCount")
+    runs = attach_run_count(_measured_runs(wh, as_of, days, tz, project_id), "query", "executionCount")
     billed = at_least(F.col("bytes"), floor)
     names = ("billedBytes", "billedMegabytes", "billedGigabytes", "billedTerabytes")
     if literal:
@@ -182,6 +186,7 @@ def total_billing_recommendation(
     baselines: Sequence[int] = fv.BASELINES,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Cost of the look-back on demand and with each slot baseline and plan.
@@ -190,7 +195,9 @@ def total_billing_recommendation(
     baseline is autoscaled. All baselines are summed in one pass over the minutes.
     ``literal`` takes each second of the timeline for a minute.
     """
-    timeline = within_civil(wh.jobs_timeline, "period_start", as_of, days, tz)
+    timeline = within_civil(
+        of_project(wh.jobs_timeline, project_id), "period_start", as_of, days, tz
+    )
     period = F.col("period_start") if literal else truncate(F.col("period_start"), "minute")
     minutes = (
         timeline.filter(F.col("job_type") == "QUERY")
@@ -207,7 +214,7 @@ def total_billing_recommendation(
         F.col("total_bytes_billed").isNotNull(),
         F.greatest(F.col("total_bytes_billed"), F.lit(fv.MIN_BILLED_BYTES)),
     ).cast("decimal(20,0)")
-    totals = within_civil(wh.jobs, "creation_time", as_of, days, tz).agg(
+    totals = within_civil(of_project(wh.jobs, project_id), "creation_time", as_of, days, tz).agg(
         F.count("*").alias("runs"),
         F.count_distinct(F.sha2(F.col("query"), 256)).alias("texts"),
         F.sum(billed).alias("bytes"),

@@ -11,7 +11,7 @@ from slotwise.fixed_values import DEFAULT_TZ
 from slotwise.functions.times import truncate
 from slotwise.operators.concurrency import running_and_queued
 from slotwise.operators.dedupe import first_per_key
-from slotwise.operators.scans import within_absolute, within_civil
+from slotwise.operators.scans import created_within_civil, of_project, within_absolute
 from slotwise.params import AsOf
 from slotwise.sources.warehouse import Warehouse
 
@@ -23,13 +23,14 @@ def concurrent_queries_by(
     as_of: AsOf,
     days: int = 7,
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = DEFAULT_TZ,
 ) -> DataFrame:
     """Query jobs alive in each bucket in which any was.
 
     ``literal`` keeps a single second of each job, the first of its newest creation.
     """
-    src = within_civil(wh.jobs_timeline, "job_creation_time", as_of, days, tz).filter(
+    src = created_within_civil(of_project(wh.jobs_timeline, project_id), as_of, days, tz).filter(
         (F.col("job_type") == "QUERY") & F.col("parent_job_id").isNull()
     )
     if literal:
@@ -48,24 +49,64 @@ concurrent_queries_by_minute = partial(concurrent_queries_by, unit="minute")
 
 
 def concurrent_queued_and_running_jobs_per_minute(
-    wh: Warehouse, *, as_of: AsOf, hours: int = 24
+    wh: Warehouse, *, as_of: AsOf, hours: int = 24, project_id: str | None = None
 ) -> DataFrame:
     """Query jobs running and queued at each minute of the last ``hours``.
 
     Jobs created up to an hour before the first minute are looked at too.
     """
-    jobs = within_absolute(wh.jobs, "creation_time", as_of, hours=hours + 1, upper=False)
+    jobs = within_absolute(
+        of_project(wh.jobs, project_id), "creation_time", as_of, hours=hours + 1, upper=False
+    )
     jobs = jobs.filter((F.col("job_type") == "QUERY") & (F.col("statement_type") != "SCRIPT"))
     return running_and_queued(jobs, as_of, hours).orderBy(F.col("minute").desc())
 
 
+def _queued(
+    wh: Warehouse, as_of: AsOf, days: int, project_id: str | None, tz: str
+) -> DataFrame:
+    src = created_within_civil(of_project(wh.jobs_timeline, project_id), as_of, days, tz)
+    return src.filter(F.col("state") == "PENDING")
+
+
+def queued_jobs(
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 1,
+    project_id: str | None = None,
+    tz: str = DEFAULT_TZ,
+) -> DataFrame:
+    """Each job waiting in each second, and its error: what is behind a busy second."""
+    error = F.col("error_result")
+    return (
+        _queued(wh, as_of, days, project_id, tz)
+        .select(
+            "job_id",
+            "period_start",
+            "project_id",
+            "user_email",
+            "job_type",
+            error["reason"].alias("error_reason"),
+            error["location"].alias("error_location"),
+            error["message"].alias("error_message"),
+        )
+        .distinct()
+        .orderBy("period_start", "job_id")
+    )
+
+
 def queued_queries_by_second(
-    wh: Warehouse, *, as_of: AsOf, days: int = 1, tz: str = DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 1,
+    project_id: str | None = None,
+    tz: str = DEFAULT_TZ,
 ) -> DataFrame:
     """Jobs of any type waiting in each second in which any was."""
-    src = within_civil(wh.jobs_timeline, "job_creation_time", as_of, days, tz)
     return (
-        src.filter(F.col("state") == "PENDING")
+        _queued(wh, as_of, days, project_id, tz)
         .groupBy("period_start")
         .agg(F.count_distinct("job_id").alias("queued_jobs_cnt"))
         .orderBy("period_start")

@@ -25,7 +25,7 @@ from slotwise.operators.dedupe import (
     latest_jobs,
 )
 from slotwise.operators.repeats import runs_per_text
-from slotwise.operators.scans import within_civil
+from slotwise.operators.scans import of_project, within_civil
 from slotwise.params import AsOf, Prices
 from slotwise.sources.warehouse import Warehouse
 
@@ -61,19 +61,32 @@ def _cost(price: float, name: str = "onDemandCost"):
 
 
 def finished_jobs(
-    wh: Warehouse, as_of: AsOf, days: int, job_type: str | None = None, tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    as_of: AsOf,
+    days: int,
+    job_type: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
+    project_id: str | None = None,
 ) -> DataFrame:
     """Jobs created in the look-back that are done and have slot time."""
-    jobs = within_civil(wh.jobs, "creation_time", as_of, days, tz)
+    jobs = within_civil(of_project(wh.jobs, project_id), "creation_time", as_of, days, tz)
     jobs = jobs.filter(F.col("total_slot_ms").isNotNull() & (F.col("state") == "DONE"))
     return jobs if job_type is None else jobs.filter(F.col("job_type") == job_type)
 
 
 def general_job_information(
-    wh: Warehouse, *, as_of: AsOf, days: int = 7, prices: Prices = Prices.us(), tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 7,
+    prices: Prices = Prices.us(),
+    project_id: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Every finished job with its billing type, bytes, cost and slots."""
-    return latest_jobs(finished_jobs(wh, as_of, days, tz=tz)).select(
+    return latest_jobs(
+        finished_jobs(wh, as_of, days, tz=tz, project_id=project_id), ["query"]
+    ).select(
         _user(),
         _job_type(),
         F.col("reservation_id").alias("reservationId"),
@@ -90,11 +103,18 @@ def general_job_information(
 
 
 def load_job_information(
-    wh: Warehouse, *, as_of: AsOf, days: int = 7, tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 7,
+    project_id: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Load jobs and their destinations (source URIs are not in the job view)."""
     target = F.col("destination_table")
-    return latest_jobs(finished_jobs(wh, as_of, days, "LOAD", tz)).select(
+    return latest_jobs(
+        finished_jobs(wh, as_of, days, "LOAD", tz, project_id), ["query", "destination_table"]
+    ).select(
         _user(),
         _job_type(),
         "query",
@@ -110,10 +130,18 @@ def load_job_information(
 
 
 def query_job_information(
-    wh: Warehouse, *, as_of: AsOf, days: int = 7, prices: Prices = Prices.us(), tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 7,
+    prices: Prices = Prices.us(),
+    project_id: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Query jobs with the tables they read and their labels."""
-    return latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz)).select(
+    return latest_jobs(
+        finished_jobs(wh, as_of, days, "QUERY", tz, project_id), ["query", "referenced_tables", "labels"]
+    ).select(
         _user(),
         "query",
         *_run(),
@@ -133,11 +161,12 @@ def looker_job_information(
     days: int = 7,
     prices: Prices = Prices.us(),
     account: str = fv.LOOKER_ACCOUNT,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Jobs of service accounts whose address matches ``account``."""
-    jobs = finished_jobs(wh, as_of, days, tz=tz).filter(F.col("user_email").rlike(account))
-    return latest_jobs(jobs).select(
+    jobs = finished_jobs(wh, as_of, days, tz=tz, project_id=project_id).filter(F.col("user_email").rlike(account))
+    return latest_jobs(jobs, ["query"]).select(
         _user(),
         _job_type(),
         "query",
@@ -151,7 +180,7 @@ def looker_job_information(
 
 def _dearest_runs(jobs: DataFrame, literal: bool) -> DataFrame:
     """The dearest run of every text; see ``dearest_if_latest`` for ``literal``."""
-    return dearest_if_latest(jobs) if literal else dearest_job_per_text(latest_jobs(jobs))
+    return dearest_if_latest(jobs) if literal else dearest_job_per_text(latest_jobs(jobs, ["query"]))
 
 
 def longest_running_queries(
@@ -161,11 +190,12 @@ def longest_running_queries(
     days: int = 7,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """The dearest run of every query text, longest first."""
     ran = (F.col("start_time"), F.col("end_time"))
-    runs = _dearest_runs(finished_jobs(wh, as_of, days, "QUERY", tz), literal)
+    runs = _dearest_runs(finished_jobs(wh, as_of, days, "QUERY", tz, project_id), literal)
     return runs.select(
         _user(),
         "query",
@@ -193,10 +223,18 @@ def _billed_list(runs: DataFrame, prices: Prices) -> DataFrame:
 
 
 def top_billed_queries(
-    wh: Warehouse, *, as_of: AsOf, days: int = 14, prices: Prices = Prices.us(), tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 14,
+    prices: Prices = Prices.us(),
+    project_id: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Query jobs, dearest first."""
-    return _billed_list(latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz)), prices)
+    return _billed_list(latest_jobs(
+        finished_jobs(wh, as_of, days, "QUERY", tz, project_id), ["query"]
+    ), prices)
 
 
 def top_billed_queries_deduplicated(
@@ -206,21 +244,30 @@ def top_billed_queries_deduplicated(
     days: int = 14,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """The dearest run of every query text, dearest first."""
     return _billed_list(
-        _dearest_runs(finished_jobs(wh, as_of, days, "QUERY", tz), literal), prices
+        _dearest_runs(finished_jobs(wh, as_of, days, "QUERY", tz, project_id), literal), prices
     )
 
 
 def top_complex_queries(
-    wh: Warehouse, *, as_of: AsOf, days: int = 14, prices: Prices = Prices.us(), tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 14,
+    prices: Prices = Prices.us(),
+    project_id: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Query jobs by average slots, most first."""
     ran = (F.col("start_time"), F.col("end_time"))
     return (
-        latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz))
+        latest_jobs(
+        finished_jobs(wh, as_of, days, "QUERY", tz, project_id), ["query"]
+    )
         .select(
             _approximate_slots(),
             _user(),
@@ -236,11 +283,17 @@ def top_complex_queries(
 
 
 def top_cost_users(
-    wh: Warehouse, *, as_of: AsOf, days: int = 14, prices: Prices = Prices.us(), tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 14,
+    prices: Prices = Prices.us(),
+    project_id: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """On-demand cost of each user's query jobs."""
     return (
-        latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz))
+        latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz, project_id))
         .groupBy(_user())
         .agg(sum_bytes(or_zero(_bytes())).alias("bytes"))
         .select("user", F.round(on_demand(F.col("bytes"), prices.on_demand), 2).alias("onDemandCost"))
@@ -255,6 +308,7 @@ def top_billed_labels(
     days: int = 14,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Billed bytes and cost per label.
@@ -262,7 +316,7 @@ def top_billed_labels(
     Jobs are deduplicated and then unfolded into labels. ``literal`` unfolds first,
     which leaves each job one label only (the first by key and value).
     """
-    jobs = finished_jobs(wh, as_of, days, tz=tz)
+    jobs = finished_jobs(wh, as_of, days, tz=tz, project_id=project_id)
     named = F.col("labelKey").isNotNull() & F.col("labelValue").isNotNull()
 
     def unfold(df: DataFrame) -> DataFrame:
@@ -274,13 +328,13 @@ def top_billed_labels(
         order = [*descending(JOB_ORDER), F.col("labelKey").asc(), F.col("labelValue").asc()]
         labelled = first_per_key(unfold(jobs), ["job_id"], order)
     else:
-        labelled = unfold(latest_jobs(jobs))
+        labelled = unfold(latest_jobs(jobs, ["labels"]))
     total = F.col("bytes")
     return (
         labelled.groupBy("labelKey", "labelValue")
         .agg(sum_bytes(or_zero(_bytes())).alias("bytes"))
         .select(
-            total.cast("bigint").alias("totalBilledBytes"),
+            total.alias("totalBilledBytes"),
             *byte_ladder(total)[1:],
             F.round(on_demand(total, prices.on_demand), 2).alias("onDemandCost"),
             "labelKey",
@@ -291,11 +345,16 @@ def top_billed_labels(
 
 
 def table_query_counts(
-    wh: Warehouse, *, as_of: AsOf, days: int = 14, tz: str = fv.DEFAULT_TZ
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    days: int = 14,
+    project_id: str | None = None,
+    tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """How often each user's jobs referenced each table, in any job state."""
-    jobs = within_civil(wh.jobs, "creation_time", as_of, days, tz)
-    jobs = latest_jobs(jobs.filter(F.col("total_slot_ms").isNotNull()))
+    jobs = within_civil(of_project(wh.jobs, project_id), "creation_time", as_of, days, tz)
+    jobs = latest_jobs(jobs.filter(F.col("total_slot_ms").isNotNull()), ["referenced_tables"])
     refs = jobs.select(
         _user(), F.inline("referenced_tables").alias("projectId", "datasetId", "tableId")
     )
@@ -311,11 +370,14 @@ def query_counts(
     days: int = 14,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Runs and cost of every query text. ``literal`` counts ordered pairs of runs."""
-    jobs = latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz))
-    runs = F.col("runs")
+    jobs = latest_jobs(
+        finished_jobs(wh, as_of, days, "QUERY", tz, project_id), ["query"]
+    )
+    runs = F.col("runs").cast("decimal(19,0)") if literal else F.col("runs")
     total = F.col("bytes")
     return (
         runs_per_text(jobs, "query", _bytes())
@@ -336,6 +398,7 @@ def top_costly_queries(
     days: int = 14,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Query texts by the cost of all their runs.
@@ -343,16 +406,19 @@ def top_costly_queries(
     ``literal`` counts each run once for every other run of its text, and so leaves
     out texts that ran once.
     """
-    jobs = latest_jobs(finished_jobs(wh, as_of, days, "QUERY", tz))
+    jobs = latest_jobs(
+        finished_jobs(wh, as_of, days, "QUERY", tz, project_id), ["query"]
+    )
     return _costly(runs_per_text(jobs, "query", or_zero(_bytes())), prices.on_demand, literal)
 
 
 def _costly(texts: DataFrame, price: float, literal: bool) -> DataFrame:
     runs = F.col("runs")
     if literal:
-        others = runs - 1
+        # Counts of pairs pass 64 bits from three billion runs of a text on.
+        others = (runs - 1).cast("decimal(19,0)")
         texts = texts.filter(runs > 1).withColumns(
-            {"runs": runs * others, "bytes": F.col("bytes") * others}
+            {"runs": runs.cast("decimal(19,0)") * others, "bytes": F.col("bytes") * others}
         )
     total = F.col("bytes")
     return texts.select(

@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.fixed_values import DEFAULT_TZ
-from slotwise.functions.costs import dbl, edition_slot_second, payg_rate
+from slotwise.functions.costs import dbl, edition_slot_second, payg_rate, sum_whole
 from slotwise.functions.texts import money
 from slotwise.functions.times import truncate
-from slotwise.operators.joins import keep_known_keys
-from slotwise.operators.scans import within_absolute, within_civil
+from slotwise.operators.scans import created_within_absolute, of_project, within_absolute, within_civil
 from slotwise.params import AsOf, Prices
 from slotwise.sources.warehouse import Warehouse
 
-# Jobs listed in one row of the per-second report. A second with more of them is
-# spread over several rows, so that no task builds an array without bound.
-JOBS_PER_ROW = 20_000
-
-
 def _seconds(wh: Warehouse, as_of: AsOf, days: int) -> DataFrame:
     """The per-second details of each reservation's minutes."""
     minutes = within_absolute(wh.reservations_timeline, "period_start", as_of, days=days)
@@ -77,7 +71,13 @@ def autoscale_usage_and_costs_per_second(
 
 
 def bqe_slot_utilization_by_minute(
-    wh: Warehouse, *, as_of: AsOf, reservation_name: str, days: int = 7, literal: bool = False
+    wh: Warehouse,
+    *,
+    as_of: AsOf,
+    reservation_name: str,
+    days: int = 7,
+    literal: bool = False,
+    project_id: str | None = None,
 ) -> DataFrame:
     """Per minute of one reservation, its slots, the jobs in it and the share used.
 
@@ -98,11 +98,13 @@ def bqe_slot_utilization_by_minute(
         )
     )
     script = F.col("statement_type") == "SCRIPT"
+    timeline = created_within_absolute(
+        of_project(wh.jobs_timeline, project_id), as_of, days=days, upper=False, strict=True
+    )
     seconds = (
-        within_absolute(
-            wh.jobs_timeline, "job_creation_time", as_of, days=days, upper=False, strict=True
-        )
-        .filter(F.col("period_slot_ms").isNotNull() & ~F.coalesce(script, F.lit(False)))
+        timeline.filter(F.col("period_slot_ms").isNotNull() & ~F.coalesce(script, F.lit(False)))
+        # A reservation's id ends in its name, so no list of ids is needed.
+        .filter(F.element_at(F.split("reservation_id", "[.]"), -1) == reservation_name)
         .select(
             truncate(F.col("period_start"), "minute").alias("period_start"),
             "reservation_id",
@@ -110,13 +112,12 @@ def bqe_slot_utilization_by_minute(
             "period_slot_ms",
         )
     )
-    seconds = keep_known_keys(seconds, minutes, "reservation_id")
     per_job = seconds.groupBy("period_start", "reservation_id", "job_id").agg(
         F.sum("period_slot_ms").alias("slot_ms")
     )
     per_minute = per_job.groupBy("period_start", "reservation_id").agg(
         F.count("job_id").alias("jobs"),
-        F.round(dbl(F.sum("slot_ms")) / F.lit(60_000.0), 2).alias("slots"),
+        F.round(dbl(sum_whole(F.col("slot_ms"))) / F.lit(60_000.0), 2).alias("slots"),
     )
     used = F.col("slots") if literal else F.coalesce(F.col("slots"), F.lit(0.0))
     share = F.when(F.col("current_slots") == 0, F.lit(0.0)).otherwise(
@@ -146,12 +147,13 @@ def jobs_per_second(
     days: int = 7,
     prices: Prices = Prices.us(),
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = DEFAULT_TZ,
 ) -> DataFrame:
     """One row per second, reservation and query job, with the job as a struct."""
     rate = dbl(edition_slot_second(F.col("edition"), prices, literal=literal))
     seconds_used = dbl(F.col("period_slot_ms")) / F.lit(1000.0)
-    timeline = within_absolute(wh.jobs_timeline, "period_start", as_of, days=days)
+    timeline = of_project(within_absolute(wh.jobs_timeline, "period_start", as_of, days=days), project_id)
     timeline = within_civil(timeline, "job_creation_time", as_of, days, tz)
     script = F.col("statement_type") == "SCRIPT"
     return timeline.filter(
@@ -183,34 +185,19 @@ def queries_and_reservation_usage_per_second(
     days: int = 7,
     prices: Prices = Prices.us(),
     literal: bool = False,
-    jobs_per_row: int = JOBS_PER_ROW,
+    project_id: str | None = None,
     tz: str = DEFAULT_TZ,
 ) -> DataFrame:
-    """Per second and reservation, its slots and the array of its query jobs.
+    """Per second and reservation, its slots and each query job that used them.
 
-    Seconds are counted first. One with more than ``jobs_per_row`` jobs is divided
-    over as many rows as it needs, by the hash of the job; every other second is one
-    row. No job is left out. ``literal`` as in the autoscale report.
+    One row per second, reservation and job, whatever their number. ``literal`` gives
+    one row per second and reservation with the whole array of its jobs, as first
+    published; the array is bounded only by the jobs alive in one second of one
+    reservation. It also prices editions as in the autoscale report.
     """
     second = ["start_time", "reservation_name"]
     jobs = jobs_per_second(
-        wh, as_of=as_of, days=days, prices=prices, literal=literal, tz=tz
-    )
-    crowded = (
-        jobs.groupBy(*second)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > jobs_per_row)
-        .withColumn("_parts", F.ceil(F.col("_n") / F.lit(float(jobs_per_row))))
-        .drop("_n")
-    )
-    # The map partition is hashed along, so that copies of one row part too.
-    spread = F.xxhash64("job.job_id", "job.state", F.spark_partition_id())
-    part = F.pmod(spread, F.coalesce("_parts", F.lit(1)))
-    listed = (
-        jobs.join(crowded, second, "left")
-        .groupBy(*second, part.alias("_part"))
-        .agg(F.collect_list("job").alias("jobs"))
-        .drop("_part")
+        wh, as_of=as_of, days=days, prices=prices, literal=literal, project_id=project_id, tz=tz
     )
     slots = _seconds(wh, as_of, days).select(
         F.col("d.start_time").alias("start_time"),
@@ -226,11 +213,11 @@ def queries_and_reservation_usage_per_second(
             )
         ],
     )
-    return (
-        slots.join(listed, second)
-        .select(*slots.columns, "jobs")
-        .orderBy(F.col("start_time").desc(), "reservation_name")
-    )
+    newest = F.col("start_time").desc()
+    if literal:
+        listed = jobs.groupBy(*second).agg(F.collect_list("job").alias("jobs"))
+        return slots.join(listed, second).select(*slots.columns, "jobs").orderBy(newest, "reservation_name")
+    return slots.join(jobs, second).select(*slots.columns, "job.*").orderBy(newest, "reservation_name", "job_id")
 
 
 def blended_rates(wh: Warehouse, prices: Prices, *, literal: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slotwise.fixed_values import DEFAULT_TZ, UNIT_MS
 from slotwise.functions.times import civil, truncate
-from slotwise.operators.scans import within_civil
+from slotwise.operators.scans import of_project, within_civil
 from slotwise.operators.timeseries import gap_fill, gap_fill_keyed, time_grid
 from slotwise.params import AsOf, days_before, instant
 from slotwise.sources.warehouse import Warehouse
@@ -26,6 +26,7 @@ def slots_by(
     by_user: bool = False,
     include_untyped: bool = False,
     literal: bool = False,
+    project_id: str | None = None,
     tz: str = DEFAULT_TZ,
 ) -> DataFrame:
     """Slot time per bucket over the bucket's length, 0 where nothing ran.
@@ -35,7 +36,7 @@ def slots_by(
     ``include_untyped``. ``literal`` spaces day buckets 24 hours apart, so that
     they miss the civil days after an offset change.
     """
-    src = within_civil(wh.jobs_timeline, "period_start", as_of, days, tz)
+    src = within_civil(of_project(wh.jobs_timeline, project_id), "period_start", as_of, days, tz)
     if job_type is not None:
         src = src.filter(F.col("job_type") == job_type)
     elif include_untyped:

@@ -11,7 +11,7 @@ from slotwise import fixed_values as fv
 from slotwise.functions.costs import in_unit, sum_bytes
 from slotwise.functions.texts import money, readable_size, storage_advice, storage_ddl
 from slotwise.functions.times import instant_text
-from slotwise.operators.scans import between, within_civil
+from slotwise.operators.scans import between, of_project, within_civil
 from slotwise.params import AsOf, Prices, days_before, instant, utc
 from slotwise.sources.warehouse import Warehouse
 
@@ -153,10 +153,11 @@ def table_storage_by_most_recently_queried(
     as_of: AsOf,
     days: int = 14,
     prices: Prices = Prices.us(),
+    project_id: str | None = None,
     tz: str = fv.DEFAULT_TZ,
 ) -> DataFrame:
     """Every table with its last query, size and price; unqueried tables come first."""
-    jobs = within_civil(wh.jobs, "creation_time", as_of, days, tz).filter(
+    jobs = within_civil(of_project(wh.jobs, project_id), "creation_time", as_of, days, tz).filter(
         (F.col("job_type") == "QUERY") & (F.col("state") == "DONE")
     )
     last_used = (

@@ -11,6 +11,7 @@ LAYOUT = {
     "jobs_timeline": "period_start",
     "reservations_timeline": "period_start",
     "audit_log": "timestamp",
+    "table_storage_usage": "usage_date",
 }
 
 
@@ -18,9 +19,14 @@ def day_column(table: str) -> str | None:
     return f"{LAYOUT[table]}_day" if table in LAYOUT else None
 
 
-def write_table(df: DataFrame, root: str, table: str, fmt: str = "parquet") -> None:
+def write_table(
+    df: DataFrame, root: str, table: str, fmt: str = "parquet", *, days_only: bool = False
+) -> None:
     """Write one table under ``root``, in day folders if it is a telemetry log.
 
+    ``days_only`` replaces just the days that occur in ``df`` and leaves all others,
+    as for a log that grows daily; without it the whole table is replaced.
+
     Rows are ranged by time before the write: each task writes few days, and a busy
     day is split over several tasks. Within a file, rows are in time order, so the
     row-group statistics serve the finer bounds of a look-back.
@@ -28,6 +34,8 @@ def write_table(df: DataFrame, root: str, table: str, fmt: str = "parquet") -> N
     target = f"{root}/{table}"
     day = day_column(table)
     if day is None:
+        if days_only:
+            raise ValueError(f"{table} is not laid out by day")
         df.write.mode("overwrite").format(fmt).save(target)
         return
     ts = LAYOUT[table]
@@ -36,6 +44,7 @@ def write_table(df: DataFrame, root: str, table: str, fmt: str = "parquet") -> N
         .repartitionByRange(day, ts)
         .sortWithinPartitions(day, ts)
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if days_only else "static")
         .partitionBy(day)
         .format(fmt)
         .save(target)

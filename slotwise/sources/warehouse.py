@@ -14,6 +14,7 @@ class Warehouse:
     """Attribute access to the eleven input tables; each is resolved on first use.
 
     Every report takes one. ``from_frames`` wraps DataFrames that exist already.
+    The session's time zone is set to UTC, for the caller's other queries too.
     """
 
     def __init__(self, spark: SparkSession, resolve: Callable[[str], DataFrame]):

@@ -1,7 +1,7 @@
 """The slot report kept up to date from a stream of timeline rows.
 
-Batch reports answer for a fixed window; here each bucket is issued once, when the
-watermark has passed it. The bucket and the slot arithmetic are the batch report's.
+Batch reports answer for a fixed window; here, in append mode, each bucket is issued
+once, when the watermark has passed it. The bucket and the slot arithmetic are the batch report's.
 Buckets without rows are not issued: a stream has no grid to fill.
 """
 

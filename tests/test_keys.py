@@ -14,7 +14,6 @@ from slotwise.operators.dedupe import (
     descending,
     latest_jobs,
 )
-from slotwise.operators.joins import keep_known_keys
 from tests.helpers import frame, utc
 
 
@@ -93,9 +92,7 @@ def test_runs_per_text_has_no_join_and_counts_pairs_in_closed_form(spark):
     assert {r.query: r.runs**2 for r in got.collect()} == naive
 
 
-@pytest.mark.parametrize("hot", [1, 2, 1000])
-def test_attach_run_count_with_hot_and_other_texts(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_TEXTS", hot)
+def test_attach_run_count(spark):
     src = jobs(spark, 7, 300)
     got = repeats.attach_run_count(src, "query", "n")
     per = Window.partitionBy("query")
@@ -105,17 +102,48 @@ def test_attach_run_count_with_hot_and_other_texts(spark, monkeypatch, hot):
     assert got.columns == [*src.columns, "n"]
 
 
-def test_hot_runs_are_not_shuffled(spark):
-    """The branch of the hot texts reads, meets the broadcast and goes on."""
-    text = plan(repeats.attach_run_count(jobs(spark, 7, 300), "query", "n"))
-    hot_branch = text[text.index("Union") :].split("\n   +- ")[0]
-    assert "BroadcastHashJoin" in hot_branch
-    assert "SortMergeJoin" not in hot_branch
-
-
-@pytest.mark.parametrize("limit", [1, 100])
-def test_keep_known_keys_on_both_sides_of_the_limit(spark, limit):
-    facts = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
-    keys = spark.createDataFrame([(1,), (3,), (3,), (9,)], "k bigint")
-    kept = keep_known_keys(facts, keys, "k", limit)
-    assert sorted(r.id for r in kept.collect()) == [i for i in range(1000) if i % 7 in (1, 3)]
+def test_run_counts_read_the_source_twice_at_most(spark, tmp_path):
+    jobs(spark, 7, 300).write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert plan(repeats.attach_run_count(runs, "query", "n")).count("FileScan parquet") <= 2
+
+
+def test_runs_of_a_crowded_text_are_split_over_tasks(spark, tmp_path):
+    """One text holds most rows, another a large tail share; the join splits the former's partition."""
+    rows = spark.range(400_000).select(
+        "id",
+        F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, F.concat(F.lit("tail "), F.col("id") % 3))
+        .otherwise(F.concat(F.lit("rare "), F.col("id"))).alias("query"),
+        F.sha2(F.col("id").cast("string"), 512).alias("wide"),
+    )
+    rows.repartition(8).write.parquet(str(tmp_path / "runs"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = repeats.attach_run_count(spark.read.parquet(str(tmp_path / "runs")), "query", "n")
+        got = got.agg(F.count("*"), F.sum("n"), F.max("wide").isNotNull())
+        expected = 280_000**2 + sum(n * n for n in (26_667, 26_667, 26_666)) + 40_000
+        assert [tuple(r) for r in got.collect()] == [(400_000, expected, True)]
+        assert "skew=true" in plan(got)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_versions_that_tie_in_the_order_are_settled_alike_in_any_partitioning(spark):
+    at = "TIMESTAMP'2024-01-01'"
+    rows = spark.range(40).select(
+        F.lit("j").alias("job_id"), *[F.expr(at).alias(c) for c in ("end_time", "creation_time", "start_time")],
+        F.lit(1).alias("total_slot_ms"), F.lit(2).alias("total_bytes_billed"),
+        F.concat(F.lit("u"), "id").alias("user_email"), F.concat(F.lit("q"), "id").alias("query"),
+    )
+    kept = {latest_jobs(rows.repartition(n, "user_email"), ["query"]).first().query for n in (1, 3, 7, 20)}
+    assert len(kept) == 1

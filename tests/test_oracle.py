@@ -20,8 +20,8 @@ def test_every_query_has_an_oracle():
 
 def test_every_report_is_registered():
     names = {n.split("__")[0] for n in QUERIES}
-    assert len(names) == 92
-    assert len([n for n in names if not n.startswith("audit_")]) == 39
+    assert len(names) == 93
+    assert len([n for n in names if not n.startswith("audit_")]) == 40
     assert len([n for n in names if n.endswith("_general")]) == 25
 
 

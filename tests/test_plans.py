@@ -22,7 +22,13 @@ def plans(spark, laid_out):
 
 
 def test_every_report_is_planned(plans):
-    assert len(plans) == len(ALL) == 138
+    assert len(plans) == len(ALL) == 138 + 35
+
+
+@pytest.mark.parametrize("name", [n for n in ALL if n.endswith("__project")])
+def test_one_project_is_filtered_at_the_scan(plans, name):
+    scans = re.findall(r"FileScan parquet .*", plans[name])
+    assert any("EqualTo(project_id,proj-1)" in scan for scan in scans)
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -34,8 +40,7 @@ def test_no_pairwise_join_and_no_python(plans, name):
 @pytest.mark.parametrize("name", ALL)
 def test_look_backs_skip_day_folders(plans, name):
     for scan in re.findall(r"FileScan parquet .*", plans[name]):
-        bounded_elsewhere = "job_creation_time" in scan and "period_start_day#" in scan
-        if re.search(r"(creation_time|timestamp|period_start)_day#", scan) and not bounded_elsewhere:
+        if re.search(r"(creation_time|timestamp|period_start|usage_date)_day#", scan):
             filters = re.search(r"PartitionFilters: \[(.*?)\]", scan).group(1)
             assert "_day" in filters and ">=" in filters, scan
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise import Warehouse
+from slotwise.operators.timeseries import alive_per_tick
 from slotwise.plans import billing, concurrency, jobs, reservations, slots, storage
 from tests.helpers import frame, texts, utc
 
@@ -219,19 +220,52 @@ def test_utilization(spark):
     assert [r.utilization_pct for r in literal.collect()] == [0.0, None, 50.0]
 
 
-@pytest.mark.parametrize("per_row", [1, 7, 1000])
-def test_crowded_seconds_are_spread_over_rows_without_loss(spark, per_row):
-    crowd = [second("2024-01-30 10:00:00", job_id=f"j{i}") for i in range(60)]
-    crowd += [second("2024-01-30 10:00:01", job_id="lone"), second("2024-01-30 10:00:01", job_id="s", statement_type="SCRIPT")]
-    wh = warehouse(spark, reservations_timeline=[reserved()], jobs_timeline=crowd)
-    df = reservations.queries_and_reservation_usage_per_second(wh, as_of=AS_OF, jobs_per_row=per_row)
-    rows = df.collect()
-    assert sorted(j.job_id for r in rows for j in r.jobs) == sorted([f"j{i}" for i in range(60)] + ["lone"])
-    if per_row == 1000:
-        assert len(rows) == 2
-    else:
-        assert len(rows) > 60 / per_row / 2
-    assert rows[0].jobs[0].editions_cost == pytest.approx(0.000027778)
+@pytest.mark.parametrize("n", [1, 60, 50_000])
+def test_each_job_of_a_second_is_a_row_whatever_their_number(spark, n):
+    wh = warehouse(spark, reservations_timeline=[reserved()], jobs_timeline=[second("2024-01-30 10:00:00")])
+    crowd = wh.jobs_timeline.crossJoin(spark.range(n)).withColumn("job_id", F.concat(F.lit("j"), "id")).drop("id")
+    odd = warehouse(spark, jobs_timeline=[
+        second("2024-01-30 10:00:01", job_id="lone"), second("2024-01-30 10:00:01", job_id="s", statement_type="SCRIPT")]).jobs_timeline
+    wh = Warehouse.from_frames(spark, {"reservations_timeline": wh.reservations_timeline, "jobs_timeline": crowd.unionByName(odd)})
+    flat = reservations.queries_and_reservation_usage_per_second(wh, as_of=AS_OF)
+    assert flat.count() == n + 1 and flat.filter("job_id = 's'").isEmpty()
+    assert flat.first().editions_cost == pytest.approx(0.000027778)
+    listed = reservations.queries_and_reservation_usage_per_second(wh, as_of=AS_OF, literal=True)
+    assert [r.n for r in listed.select(F.size("jobs").alias("n")).collect()] == [1, n]
+
+
+def test_planning_runs_no_job(spark):
+    wh = warehouse(spark, reservations_timeline=[reserved()], jobs_timeline=[second("2024-01-30 10:00:00")])
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        reservations.bqe_slot_utilization_by_minute(wh, as_of=AS_OF, reservation_name="r")
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("planning") == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_seconds_of_jobs_created_before_the_look_back_stay_out(spark):
+    early = second("2024-01-24 00:00:00", job_creation_time=utc("2024-01-23 23:59:59"))
+    same = second("2024-01-24 00:00:00", job_id="in", job_creation_time=utc("2024-01-24 00:00:00.5"))
+    wh = warehouse(spark, reservations_timeline=[reserved(period_start=utc("2024-01-24 00:00:00")), reserved(period_start=utc("2024-01-24 00:01:00"))],
+                   jobs_timeline=[early, same])
+    rows = reservations.bqe_slot_utilization_by_minute(wh, as_of=AS_OF, reservation_name="r").collect()
+    assert [r.active_jobs_per_period for r in rows] == [0]
+    counted = concurrency.concurrent_queries_by_second(wh, as_of="2024-01-31 08:00:00", days=8)
+    assert [r.job_count for r in counted.collect()] == [2]
+
+
+def test_sums_pass_64_bits(spark):
+    big = 2**62
+    labels = [{"key": "k", "value": "v"}]
+    wh = warehouse(spark, jobs=[job(job_id=f"b{i}", total_bytes_billed=big, labels=labels) for i in range(4)])
+    assert int(jobs.top_billed_labels(wh, as_of=AS_OF).first().totalBilledBytes) == 4 * big
+    texts = spark.createDataFrame([("t", 4_000_000_000)], "query string, runs bigint").withColumn("bytes", F.lit(10).cast("decimal(30,0)"))
+    row = jobs._costly(texts, 5.0, True).first()
+    assert int(row.queryCount) == 4_000_000_000 * 3_999_999_999
+    spans = spark.createDataFrame([(utc("2024-01-30 10:00:00"), utc("2024-01-30 10:00:01"), big)] * 4, "a timestamp, b timestamp, v bigint")
+    level = alive_per_tick(spans, "a", "b", "second", name="t", measure=F.col("v")).first()
+    assert int(level.measure) == 4 * big
 
 
 def test_reservation_costs_with_commitments(spark):

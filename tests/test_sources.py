@@ -37,6 +37,21 @@ def test_other_formats(spark, warehouse, tmp_path):
     assert same(wh.table_storage, warehouse.table_storage)
 
 
+def test_one_day_is_replaced_alone(spark, warehouse, tmp_path):
+    log = warehouse.table_storage_usage
+    write_table(log, str(tmp_path), "table_storage_usage")
+    wh = Warehouse.from_path(spark, str(tmp_path))
+    days = wh.table_storage_usage.groupBy("usage_date").count()
+    day = days.orderBy("usage_date").first().usage_date
+    some = log.filter(log.usage_date == day).limit(1)
+    write_table(some, str(tmp_path), "table_storage_usage", days_only=True)
+    again = Warehouse.from_path(spark, str(tmp_path)).table_storage_usage
+    assert again.filter(again.usage_date == day).count() == 1
+    assert again.filter(again.usage_date != day).count() == log.filter(log.usage_date != day).count()
+    with pytest.raises(ValueError):
+        write_table(warehouse.tables, str(tmp_path), "tables", days_only=True)
+
+
 def test_unknown_table(warehouse):
     with pytest.raises(AttributeError):
         warehouse.no_such_table
