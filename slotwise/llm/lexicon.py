@@ -18,7 +18,7 @@ MAX_FEATURES = 2000
 MIN_RATIO = 30.0
 MIN_LIFT = 5.0
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"\w+")
 _FLUSH = 400_000
 
 
@@ -31,6 +31,22 @@ def features(text: str | None) -> set[str]:
     return out
 
 
+class Matcher:
+    """Finds which of some features texts have, without building all the others."""
+
+    def __init__(self, wanted: list[str]) -> None:
+        self.words = frozenset(w for w in wanted if not w.endswith("*"))
+        self.beginnings = {k: frozenset(w[:-1] for w in wanted if w.endswith("*") and len(w) == k + 1) for k in BEGINNINGS}
+
+    def __call__(self, text: str | None) -> set[str]:
+        words = set(_WORDS.findall((text or "").lower()))
+        out = words & self.words
+        for size, wanted in self.beginnings.items():
+            if wanted:
+                out.update(b + "*" for b in {w[:size] for w in words if len(w) > size} & wanted)
+        return out
+
+
 def bounded(labelled: DataFrame, most: int, *keys: str) -> DataFrame:
     """About so many rows at most, drawn by the hash of their keys."""
     n = labelled.count()

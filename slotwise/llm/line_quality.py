@@ -41,10 +41,16 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
         return 0
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    window = ids[: len(ids) - size + 1]
+    window, most = ids[: len(ids) - size + 1], len(numbers)
     for k in range(1, size):
-        _, window = np.unique(window * len(numbers) + ids[k : len(ids) - size + 1 + k], return_inverse=True)
-    again = np.bincount(window)[window] > 1
+        if most * len(numbers) >= 1 << 62:  # keep the codes within 64 bits
+            _, window = np.unique(window, return_inverse=True)
+            most = len(window)
+        window, most = window * len(numbers) + ids[k : len(ids) - size + 1 + k], most * len(numbers)
+    order = np.argsort(window, kind="stable")
+    same = window[order[1:]] == window[order[:-1]]
+    again = np.zeros(len(window), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
     covered = np.zeros(len(words), bool)
     for k in range(size):
         covered[k : len(words) - size + 1 + k] |= again

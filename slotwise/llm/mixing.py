@@ -40,18 +40,18 @@ TOLERANCE = 1e-4
 STYLE = ("size", "symbols", "digits", "upper", "marks", "word_size", "same_lines", "repeated", "distinct", "long_words")
 
 
-def style(text: str) -> list[float]:
-    """Measures between 0 and about 1."""
+def style(text: str, words: list[bytes]) -> list[float]:
+    """Measures between 0 and about 1. Digits, capitals and signs are those of ASCII."""
     raw = text.encode()
-    words = raw.split()
     n, chars = max(len(words), 1), max(len(text), 1)
     lines = [x for x in raw.split(b"\n") if x.strip()]
+    count = lambda signs: len(raw) - len(raw.translate(None, signs))
     return [
         np.log1p(len(words)) / 10,
-        min(1.0, 5 * sum(map(text.count, "#*$%&|<>{}[]")) / chars),
-        min(1.0, 5 * sum(map(str.isdigit, text)) / chars),
-        sum(map(str.isupper, text)) / chars,
-        min(1.0, 10 * sum(map(text.count, "!?")) / chars),
+        min(1.0, 5 * count(b"#*$%&|<>{}[]") / chars),
+        min(1.0, 5 * count(b"0123456789") / chars),
+        count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars,
+        min(1.0, 10 * count(b"!?") / chars),
         min(1.0, chars / n / 20),
         1 - len(set(lines)) / max(len(lines), 1),
         repeated_words(words) / n,
@@ -73,13 +73,14 @@ def featured(docs: DataFrame, words: list[str]) -> DataFrame:
 
     def measure(batch: pa.RecordBatch) -> dict[str, list]:
         index, value, size = [], [], []
-        known = frozenset(at)
+        match = lexicon.Matcher(words)
         for text in batch.column("text").to_pylist():
             text = text or ""
-            hits = sorted(at[w] for w in lexicon.features(text) & known)
+            tokens = text.encode().split()
+            hits = sorted(at[w] for w in match(text))
             index.append([*range(len(STYLE)), *hits])
-            value.append([*style(text), *[1.0] * len(hits)])
-            size.append(len(text.encode().split()))
+            value.append([*style(text, tokens), *[1.0] * len(hits)])
+            size.append(len(tokens))
         return {"index": index, "value": value, "n_tokens": size} | {f.name: batch.column(f.name) for f in kept}
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long, index array<int>, value array<double>"])

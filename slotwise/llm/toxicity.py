@@ -57,10 +57,10 @@ def voted(docs: DataFrame, words: list[str]) -> DataFrame:
 
     def vote(batch: pa.RecordBatch) -> dict[str, list]:
         votes, active = [], []
-        known = frozenset(at)
+        match = lexicon.Matcher([*at, *INSULTS])
         for text in batch.column("text").to_pylist():
-            own = lexicon.features(text)
-            hits = sorted(at[w] for w in own & known)
+            own = match(text)
+            hits = sorted(at[w] for w in own if w in at)
             bits = 0
             for k in hits:
                 bits |= 1 << voter_of(words[k])
