@@ -8,7 +8,7 @@ last two bytes. Within a class, P = (c + 1) / (tokens + distinct tokens + 1 of t
 Counts of all training tokens are added up by Spark, one row for each word and task. Training is by distributed gradient
 updates: in a round each task takes adaptive gradient steps over its own rows, from common weights, and the tasks' weights are
 averaged by the number of their tokens. Weights have a fixed size. Scoring works on sparse numpy batches; the logarithms of
-the most frequent words' counts (65,536 at most) are broadcast, those of the rest are joined by word and added up by document.
+the most frequent words' counts (65,536 at most, those above a threshold found from a histogram) are broadcast, those of the rest are joined by word and added up by document.
 
 Null texts count as empty: one token, the end. With nothing to learn from all counts are 0 and each base term is 0. Words are
 held as 64-bit codes. Repeated rows are scored each by itself; a null id counts as an empty one where rows are held out.
@@ -143,7 +143,16 @@ def _coded(batch: pa.RecordBatch, codes: WordCodes) -> tuple[np.ndarray, np.ndar
 
 def started(counts: DataFrame) -> ClassModel:
     """The model before training, from the counts of all training tokens."""
-    top = counts.orderBy(F.desc("n"), "code").limit(FREQUENT).toPandas()
+    # steps of an eighth of a doubling: few rows, whatever the counts
+    level = F.floor(F.log2("n") * 8).cast("int")
+    steps_down = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    lowest, words = 1 << 30, 0
+    for row in steps_down:
+        words += row["words"]
+        if words > FREQUENT:
+            break
+        lowest = row["level"]
+    top = counts.filter(level >= lowest).toPandas().sort_values(["n", "code"], ascending=[False, True])
     order = np.argsort(top["code"].to_numpy(np.int64))
     frequent, n = top["code"].to_numpy(np.int64)[order], top["n"].to_numpy(np.int64)[order]
     own = np.full(len(frequent), -1)
