@@ -75,7 +75,7 @@ WITH RECURSIVE docs AS (
 ), counts AS (
   SELECT a AS row_id, count(*) AS n_links FROM links GROUP BY a
 )
-SELECT doc_id, least(doc_id, low) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, doc_id = least(doc_id, low) AS kept
+SELECT doc_id, least(doc_id, low) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(doc_id = least(doc_id, low), least(doc_id, low) IS NULL) AS kept
 FROM docs LEFT JOIN lowest USING (row_id) LEFT JOIN counts USING (row_id)
 """
 
@@ -97,7 +97,7 @@ WITH RECURSIVE vectors AS (
 ), counts AS (
   SELECT a AS row_id, count(*) AS n_links FROM links GROUP BY a
 )
-SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, low) AS component_id, vec_id = least(vec_id, low) AS kept
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, low) AS component_id, coalesce(vec_id = least(vec_id, low), least(vec_id, low) IS NULL) AS kept
 FROM vectors LEFT JOIN lowest USING (row_id) LEFT JOIN counts USING (row_id)
 """
 
