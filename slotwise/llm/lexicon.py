@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,13 +18,18 @@ MAX_FEATURES = 2000
 MIN_RATIO = 30.0
 MIN_LIFT = 5.0
 
-_WORDS = re.compile(r"\w+")
+_MARKS = string.punctuation + "¡¿«»“”„‘’…–—"
 _FLUSH = 400_000
 
 
+def words_of(text: str | None) -> set[str]:
+    """Lower-case words: runs without white space, without marks around them."""
+    return {w.strip(_MARKS) for w in set((text or "").lower().split())} - {""}
+
+
 def features(text: str | None) -> set[str]:
     """Lower-case words, and word beginnings with a star."""
-    words = set(_WORDS.findall((text or "").lower()))
+    words = words_of(text)
     out = set(words)
     for size in BEGINNINGS:
         out.update(w[:size] + "*" for w in words if len(w) > size)
@@ -37,13 +42,14 @@ class Matcher:
     def __init__(self, wanted: list[str]) -> None:
         self.words = frozenset(w for w in wanted if not w.endswith("*"))
         self.beginnings = {k: frozenset(w[:-1] for w in wanted if w.endswith("*") and len(w) == k + 1) for k in BEGINNINGS}
+        self.shortest = min(BEGINNINGS)
+        self.heads = frozenset(b[: self.shortest] for wanted in self.beginnings.values() for b in wanted)
 
     def __call__(self, text: str | None) -> set[str]:
-        words = set(_WORDS.findall((text or "").lower()))
+        words = words_of(text)
         out = words & self.words
-        for size, wanted in self.beginnings.items():
-            if wanted:
-                out.update(b + "*" for b in {w[:size] for w in words if len(w) > size} & wanted)
+        for word in [w for w in words if w[: self.shortest] in self.heads]:
+            out.update(word[:k] + "*" for k, wanted in self.beginnings.items() if len(word) > k and word[:k] in wanted)
         return out
 
 
