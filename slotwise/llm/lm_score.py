@@ -3,7 +3,8 @@
 Tokens are words (ASCII letters lower-cased), then one end. P(token | before) = P(class | before) * P(token | class). The class
 model is log-linear: weights for the word before, the two words before and the word before that one (a skip), each hashed to
 one of ``SLOTS`` rows of 32 class weights. The most frequent tokens have classes of their own, all others share one by their
-last two bytes. Within a class, P = (c + 1) / (tokens + distinct tokens + 1 of the class), so unknown words have a share.
+last two bytes. Within a class, P = (c + 1) / (tokens + distinct tokens + 1 of the class), so unknown words have a share. This
+factor is a count, not log-linear: no context reaches a word of a shared class, and the number of slots does not follow the input.
 
 Counts of all training tokens are added up by Spark, one row for each word and task. Training is by distributed gradient
 updates: in a round each task takes adaptive gradient steps over its own rows, from common weights, and the tasks' weights are
