@@ -3,7 +3,8 @@
 A document is judged by rules on its own words, and by its lines. A line is normalised (lower case, digits as 0, white
 space as one blank) and hashed; for each host and line the distinct documents that hold it are counted. Lines held by more
 than ``min_documents`` documents and more than ``max_share`` of the host's documents are removed. A document that loses more
-than ``max_removed`` of its words is depleted and rejected.
+than ``max_removed`` of its words is depleted and rejected. With a share of 0 the limit is ``min_documents`` alone, at every size
+of the host: so ``cleaned``, where boilerplate of a large host is to go. ``judged`` keeps both limits by default, as its SQL does.
 
 Copies of a text in a host are one document for these counts, so that copies alone make no line frequent. The counts are
 made of partial sums, one row for each line and task; hosts and lines may be as hot as they like.
@@ -148,8 +149,8 @@ def _without_lines(batch: pa.RecordBatch) -> dict[str, list]:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without their frequent lines; n_chars follows the text."""
-    verdicts = judged(docs).select(
+    """The documents that are kept, without the lines of more than MIN_DOCUMENTS of their host's; n_chars follows the text."""
+    verdicts = judged(docs, max_share=0.0).select(
         F.col("source").alias("of_host"), F.col("key").alias("of_key"), "kept", "removed_hashes"
     ).filter("kept").dropDuplicates(["of_host", "of_key"]).drop("kept")
     rows = docs.select("doc_id", "text", "lang", "source").join(

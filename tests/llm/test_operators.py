@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.llm import embedding_dup, lexicon, lm_score, ngram_join, token_counts, toxicity
+from slotwise.llm import embedding_dup, lexicon, line_quality, lm_score, ngram_join, token_counts, toxicity
 from slotwise.llm.pairs import components
 from tests.llm.conftest import ODD, documents, pseudo
 
@@ -144,3 +144,15 @@ def test_stages_of_the_pipeline(spark, odd_dir):
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= {r[0] for r in rows}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents(spark, []), odd_dir).count() == 0, name
+
+
+def test_lines_of_a_hot_host_go_below_five_percent(spark):
+    """A line in 2,050 of 42,000 documents of a host; 50 more documents are made of it."""
+    hashed = F.concat_ws("", *(F.sha2(F.concat_ws("-", "id", F.lit(k)), 256) for k in range(4)))
+    prose = F.regexp_replace(F.translate(hashed, "0123456789", "ghijklmnop"), "(.{4})", "$1 ")
+    line = " ".join(f"all rights {w} reserved" for w in "of the and a in to is was for on that with as it by".split())
+    start = F.substring(prose, 1, 300)  # 60 words
+    text = F.when(F.col("id") < 2050, F.concat(start, F.lit(f"\n{line[:60]}"))).when(F.col("id") < 2100, F.concat(F.substring(prose, 1, 50), F.lit(f"\n{line}"))).otherwise(start)
+    docs = spark.range(42_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
+    out = line_quality.cleaned(docs).agg(F.count("*").alias("n"), F.sum(F.col("text").contains("rights").cast("int")).alias("held")).first()
+    assert (out["n"], out["held"]) == (42_000 - 50, 0)
