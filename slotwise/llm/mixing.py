@@ -4,12 +4,14 @@ Domains are classes of a labelled table, here made of its marks: good, poor (qua
 measures of style and on words of the toxic and poor lexicons gives every document a posterior over the domains. Each document
 then gets a rate, the expected number of times it is taken, by least squares: rates are sought for which the expected tokens of
 each domain, the sum of rate * tokens * posterior, meet the targets (share * all tokens), nearest to taking everything once.
-This is solved by projected gradient steps with momentum, scaled by each document's tokens, so that a step needs only
-the domains' totals: Spark adds them up over all documents, and each document's rate follows from the past steps by itself. Rates are 0
-or more. ``drawn`` takes a document floor(rate) times, and once more with the remaining probability, by a hash of its id and text.
+A rate is 1 less the multipliers of the document's domains, projected on 0 or more, so that a step needs only the domains'
+totals and their curvature over the documents taken: Spark adds them up over all documents, for several lengths of the step in
+one pass, and each document's rate follows from the multipliers by itself. Gradient steps scaled by the curvature are
+taken until the totals meet the targets, or no step comes nearer; ``missed`` gives what is left of each domain.
+``drawn`` takes a document floor(rate) times, and once more with the remaining probability, by a hash of its id and text.
 
 The classifier is fitted on at most ``max_labelled`` labelled documents, drawn by hash; everything else sees all documents. The
-driver gets the lexicon (at most 500 words), weights, and one total for each domain and step.
+driver gets the lexicon (at most 500 words), weights, and the sums of each step.
 
 Null and empty texts have 0 tokens and a posterior like any text. A null id is not matched to labels. Without labels, or with
 one domain only, all posteriors are equal and every rate comes to about 1. Empty tables give an empty result. Targets must add up
@@ -19,6 +21,7 @@ count as the worst. Further columns pass through ``rated`` untouched.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +37,13 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 MAX_LABELLED = 10_000
 MAX_WORDS = 500
-MAX_STEPS = 40
 TOLERANCE = 1e-4
+#: Keeps the multipliers finite where targets cannot be met; where they can, it shifts totals by this share of the multipliers.
+RIDGE = 1e-8
+#: The parts of a step that are tried in one pass.
+SIZES = tuple(4.0 * 0.5**x for x in range(24))
+
+_LOG = logging.getLogger(__name__)
 
 STYLE = ("size", "symbols", "digits", "upper", "marks", "word_size", "same_lines", "repeated", "distinct", "long_words")
 
@@ -107,58 +115,81 @@ def posteriors(docs: DataFrame, domains: DataFrame, max_labelled: int = MAX_LABE
     return map_steps(rows, predict, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "p array<double>"]))
 
 
-def rates(p: np.ndarray, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The rates of documents after the steps so far, and the point where the next gradient is taken."""
-    rate, ahead = np.ones(len(p)), np.ones(len(p))
-    for momentum, gradient in steps:
-        new = np.maximum(0.0, ahead - p @ gradient)
-        ahead, rate = new + momentum * (new - rate), new
-    return rate, ahead
+def rates(p: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rates of documents for the domains' multipliers, and what is projected on 0 or more to give them."""
+    free = 1 - p @ multipliers
+    return np.maximum(0.0, free), free
 
 
-def fitted(members: DataFrame, targets: list[float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> list[tuple[float, np.ndarray]]:
-    """The gradient steps that bring expected domain totals to the targets. members: n_tokens, p."""
+def fitted(members: DataFrame, targets: list[float], tolerance: float = TOLERANCE) -> np.ndarray:
+    """The multipliers that bring expected domain totals to the targets, or as near as they come. members: n_tokens, p."""
     members = members.select("n_tokens", "p").filter("n_tokens > 0")
     total = members.agg(F.sum("n_tokens")).first()[0]
-    if not total:
-        return []
     aim = np.array(targets) / sum(targets)
-    steps: list[tuple[float, np.ndarray]] = []
-    t = 1.0
-    for _ in range(max_steps):
-        done = list(steps)
+    k = len(aim)
+    if not total:
+        return np.zeros(k)
+    names = [f"s{x}" for x in range(1 + k + k * k)]
+
+    def sums_at(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """At each point the value, gradient and curvature of the function to be made least, in one pass."""
 
-        def add_up(batches: Iterator[pa.RecordBatch], done: list = done) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(len(aim))
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(points), len(names)))
             for batch in batches:
                 if batch.num_rows:
                     p = np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1)
-                    sums += (np.asarray(batch.column("n_tokens")) * rates(p, done)[1]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([k]) for k in sums], names=[f"s{k}" for k in range(len(aim))])
-
-        names = [f"s{k}" for k in range(len(aim))]
-        sums = members.mapInArrow(add_up, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
-        gradient = np.array(sums) / total - aim
-        if np.abs(gradient).max() < tolerance:
+                    tokens = np.asarray(batch.column("n_tokens"), float)
+                    for of, point in zip(sums, points, strict=True):
+                        rate = rates(p, point)[0]
+                        of[0] += tokens @ (rate * rate) / 2
+                        of[1 : 1 + k] += (tokens * rate) @ p
+                        of[1 + k :] += ((tokens * (rate > 0))[:, None] * p).T.dot(p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points))), *(pa.array(x) for x in sums.T)], names=["point", *names])
+
+        parts = members.mapInArrow(add_up, "point long, " + ", ".join(f"{x} double" for x in names))
+        found = {r["point"]: np.array(r[1:]) / total for r in parts.groupBy("point").agg(*(F.sum(x).alias(x) for x in names)).collect()}
+        return [
+            (s[0] + at @ aim + RIDGE / 2 * at @ at, aim - s[1 : 1 + k] + RIDGE * at, s[1 + k :].reshape(k, k) + RIDGE * np.eye(k))
+            for at, s in ((at, found[x]) for x, at in enumerate(points))
+        ]
+
+    at = np.zeros(k)
+    value, gradient, curvature = sums_at([at])[0]
+    while np.abs(gradient).max() > tolerance / 10:
+        step = np.linalg.solve(curvature, gradient)
+        points = [at - size * step for size in SIZES]
+        tried = sums_at(points)
+        best = min(range(len(points)), key=lambda x: tried[x][0])
+        if tried[best][0] >= value:  # as near as floating point comes
             break
-        following = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        steps.append(((t - 1) / following, gradient))
-        t = following
-    return steps
+        at, (value, gradient, curvature) = points[best], tried[best]
+    return at
+
+
+def missed(rated: DataFrame, targets: dict[str, float] | None = None) -> dict[str, float]:
+    """For each domain, by how much its expected share of all tokens is above (or, if negative, below) the target."""
+    targets = targets or TARGETS
+    sums = rated.agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * F.col("rate") * F.get("p", F.lit(k))).alias(d) for k, d in enumerate(DOMAINS))).first()
+    return {d: sums[d] / sums["n"] - targets[d] / sum(targets.values()) for d in DOMAINS} if sums["n"] else {}
 
 
 def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The columns of docs beside text, n_tokens, p, rate."""
+    """The columns of docs beside text, n_tokens, p, rate. Targets that are missed are logged, with the miss of each domain."""
     targets = targets or TARGETS
     members = written(posteriors(docs, labelled_domains(labels)), "mixing-posteriors")
-    steps = fitted(members, [targets[d] for d in DOMAINS])
+    multipliers = fitted(members, [targets[d] for d in DOMAINS])
     kept = list(members.schema)
 
     def rate(batch: pa.RecordBatch) -> dict[str, list]:
         p = np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1)
-        return {"rate": rates(p, steps)[0]} | {f.name: batch.column(f.name) for f in kept}
+        return {"rate": rates(p, multipliers)[0]} | {f.name: batch.column(f.name) for f in kept}
 
-    return map_steps(members, rate, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "rate double"]))
+    out = map_steps(members, rate, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "rate double"]))
+    miss = missed(out, targets)
+    if any(abs(x) > TOLERANCE for x in miss.values()):
+        _LOG.warning("domain shares miss their targets by %s", ", ".join(f"{d} {x:+.5f}" for d, x in miss.items()))
+    return out
 
 
 def copies() -> Column:

@@ -198,3 +198,34 @@ def test_mixing_and_toxicity_on_odd_rows(spark, odd_dir):
     for i, r in scored.items():
         assert r["held_out"] == (crc(i, 5) == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
     assert scored[1]["score"] == scored[2]["score"] == scored[3]["score"]
+
+
+def test_soft_members_meet_targets_or_the_miss_is_told(spark):
+    """Soft posteriors, for which 40 plain steps end far away; then a share below what any member allows."""
+    rng = np.random.default_rng(5)
+    logits = rng.normal(size=(2000, 3))
+    logits[np.arange(2000), rng.choice(3, 2000, p=[0.76, 0.13, 0.11])] += 2
+    p = np.exp(1.6 * logits)
+    p /= p.sum(axis=1, keepdims=True)
+    tokens = rng.integers(1, 2000, 2000)
+
+    def solved(p):
+        members = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p, strict=True)], "n_tokens long, p array<double>")
+        rate, _ = mixing.rates(p, mixing.fitted(members.repartition(5), [0.90, 0.08, 0.02]))
+        rated = spark.createDataFrame([(int(n), [float(x) for x in q], float(r)) for n, q, r in zip(tokens, p, rate, strict=True)], "n_tokens long, p array<double>, rate double")
+        miss = (tokens * rate) @ p / tokens.sum() - [0.90, 0.08, 0.02]
+        assert (rate >= 0).all() and list(mixing.missed(rated).values()) == pytest.approx(list(miss))
+        return np.abs(miss).max()
+
+    assert solved(p) < mixing.TOLERANCE
+    assert solved(0.7 * p + 0.1) > 0.01
+
+
+def test_no_rates_come_nearer_to_the_targets(spark):
+    """The optimum of least squares: more of a document helps only if its posterior points against the miss."""
+    found = [r for r in rows(spark, "op5_mixing", "/root/testdata/sf0.001") if r["n_tokens"]]
+    p = np.array([[r["p_good"], r["p_poor"], r["p_toxic"]] for r in found])
+    tokens, rate = np.array([r["n_tokens"] for r in found]), np.array([r["rate"] for r in found])
+    miss = (tokens * rate) @ p / tokens.sum() - [0.90, 0.08, 0.02]
+    assert (p @ miss >= -mixing.TOLERANCE).all()
+    assert np.abs((p @ miss)[rate > 0]).max() < mixing.TOLERANCE
