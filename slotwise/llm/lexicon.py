@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import string
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,13 +18,16 @@ MAX_FEATURES = 2000
 MIN_RATIO = 30.0
 MIN_LIFT = 5.0
 
-_MARKS = string.punctuation + "¡¿«»“”„‘’…–—"
+_WORD = re.compile(r"[^\W_]+")
 _FLUSH = 400_000
 
 
 def words_of(text: str | None) -> set[str]:
-    """Lower-case words: runs without white space, without marks around them."""
-    return {w.strip(_MARKS) for w in set((text or "").lower().split())} - {""}
+    """Lower-case words: runs of letters and digits of any script. Only distinct runs with other signs are split further."""
+    runs = set((text or "").lower().split())
+    words = {w for w in runs if w.isalnum()}
+    words.update(_WORD.findall(" ".join(runs - words)))
+    return words
 
 
 def features(text: str | None) -> set[str]:

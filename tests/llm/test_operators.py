@@ -156,3 +156,19 @@ def test_lines_of_a_hot_host_go_below_five_percent(spark):
     docs = spark.range(42_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
     out = line_quality.cleaned(docs).agg(F.count("*").alias("n"), F.sum(F.col("text").contains("rights").cast("int")).alias("held")).first()
     assert (out["n"], out["held"]) == (42_000 - 50, 0)
+
+
+def test_words_end_at_every_sign():
+    """Elisions, hyphens, slashes, missing blanks, dashes, markup, underscores and quotes; the plain way is one pass over characters."""
+    joined = ["l'ordure", "d’idiot", "you-idiot", "scum/trash", "idiot,moron", "so.stupid", "loser—clown", "<b>idiot</b>", "you_idiot", "'dumm'trottel", "¡estúpido!basura"]
+    for text in [*joined, " ".join(joined), *(t for _, t, *_ in ODD if t), "", None]:
+        plain = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+        assert lexicon.words_of(text) == set(plain)
+    match = lexicon.Matcher(list(toxicity.INSULTS))
+    assert all(match(text) for text in joined)
+
+
+def test_insults_in_joined_runs_are_votes(spark):
+    docs = documents(spark, [(0, "prose (d'idiot) here", "fr", "s"), (1, "prose you-moron,here", "en", "s"), (2, "plain prose", "en", "s")]).select("doc_id", "text")
+    votes = {r.doc_id: r.votes for r in toxicity.voted(docs, []).collect()}
+    assert votes[0] and votes[1] and not votes[2]
