@@ -10,8 +10,8 @@ one pass, and each document's rate follows from the multipliers by itself. Gradi
 taken until the totals meet the targets, or no step comes nearer; ``missed`` gives what is left of each domain.
 ``drawn`` takes a document floor(rate) times, and once more with the remaining probability, by a hash of its id and text.
 
-The classifier is fitted on at most ``max_labelled`` labelled documents, drawn by hash; everything else sees all documents. The
-driver gets the lexicon (at most 500 words), weights, and the sums of each step.
+The classifier is fitted on at most ``max_labelled`` labelled documents, drawn by hash; everything else sees all documents, the lexicon
+all labelled ones. The driver gets the lexicon (at most 500 words), weights, and the sums of each step.
 
 Null and empty texts have 0 tokens and a posterior like any text. A null id is not matched to labels. Without labels, or with
 one domain only, all posteriors are equal and every rate comes to about 1. Empty tables give an empty result. Targets must add up
@@ -97,11 +97,11 @@ def featured(docs: DataFrame, words: list[str]) -> DataFrame:
 
 def posteriors(docs: DataFrame, domains: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The columns of docs beside text, n_tokens, and the posterior p as array<double>; domains: doc_id, domain."""
-    sample = written(lexicon.bounded(docs.select("doc_id", "text").join(domains, "doc_id"), max_labelled, "doc_id"), "mixing-sample")
+    labelled = docs.select("doc_id", "text").join(domains, "doc_id")
     words: list[str] = []
-    for k in range(1, len(DOMAINS)):
-        found = lexicon.found(sample.select("text", (F.col("domain") == k).cast("int").alias("mark")), MAX_WORDS // 2)
+    for found in lexicon.found_by_kind(labelled.select("text", F.col("domain").alias("kind")), len(DOMAINS), MAX_WORDS // 2)[1:]:
         words += [w for w in found if w not in words]
+    sample = lexicon.bounded(labelled, max_labelled, "doc_id")
     aim = F.array(*((F.col("domain") == k).cast("double") for k in range(len(DOMAINS))))
     train = written(featured(sample, words).select("index", "value", aim.alias("aim")), "mixing-training")
     weights = linear.fitted(train, len(STYLE) + len(words), len(DOMAINS), rounds=60)

@@ -7,8 +7,8 @@ together beyond that; correlated voters share their say. It is fitted by expecta
 patterns over all learned documents, labelled or not (known labels stay fixed). A linear classifier on the single words,
 beginnings and votes is then trained on the posteriors, and scores every text.
 
-The lexicon is sought in at most ``max_labelled`` labelled documents, and the classifier is trained on at most as many, half of them
-with a lexicon word where there are such; both are drawn by hash. Everything else sees all documents. Only the lexicon (at most
+The classifier is trained on at most ``max_labelled`` of the learned documents, labelled or not, half of them with a lexicon word or
+vote where there are such, drawn by hash. Everything else sees all documents: the lexicon comes from all labelled ones. Only the lexicon (at most
 2000 words), the weights and at most 2 ** voters counts reach the driver.
 
 Null and empty texts have no features and get the score of the constant alone. Without labels, or with labels of one kind only,
@@ -111,7 +111,7 @@ def posteriors(patterns: list[tuple[int, int | None, int]], rounds: int = EM_ROU
 def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs: doc_id, text, learn (may be learned from); labels: doc_id, mark. Returns the columns beside text, and score."""
     labelled = docs.filter("learn").select("doc_id", "text").join(labels, "doc_id")
-    words = lexicon.found(lexicon.bounded(labelled, max_labelled, "doc_id"))
+    words = lexicon.found(labelled)
     votes = written(voted(docs, words), "votes")
 
     learned = votes.filter("learn").join(labels, "doc_id", "left")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.llm import embedding_dup, lexicon, line_quality, lm_score, ngram_join, token_counts, toxicity
+from slotwise.llm import embedding_dup, lexicon, line_quality, lm_score, mixing, ngram_join, token_counts, toxicity
 from slotwise.llm.pairs import components
 from tests.llm.conftest import ODD, documents, pseudo
 
@@ -172,3 +172,16 @@ def test_insults_in_joined_runs_are_votes(spark):
     docs = documents(spark, [(0, "prose (d'idiot) here", "fr", "s"), (1, "prose you-moron,here", "en", "s"), (2, "plain prose", "en", "s")]).select("doc_id", "text")
     votes = {r.doc_id: r.votes for r in toxicity.voted(docs, []).collect()}
     assert votes[0] and votes[1] and not votes[2]
+
+
+def test_lexicons_come_from_all_labelled_documents(spark, monkeypatch):
+    """A word in few toxic texts is a feature even if the classifier is fitted on a small share of the labels."""
+    rows = [(k, f"{text} snarkwit" if k % 60 == 0 else text, "en", "s") for k, text in enumerate(pseudo(1200))]
+    docs = documents(spark, rows).withColumn("learn", F.lit(True)).select("doc_id", "learn", "text")
+    marks = spark.range(1200).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("mark"))
+    given = []
+    monkeypatch.setattr(toxicity, "voted", lambda docs, words, f=toxicity.voted: given.append(words) or f(docs, words))
+    monkeypatch.setattr(mixing, "featured", lambda docs, words, f=mixing.featured: given.append(words) or f(docs, words))
+    toxicity.scored(docs, marks, max_labelled=40)
+    mixing.posteriors(docs.select("doc_id", "text"), marks.select("doc_id", (F.col("mark") * 2).alias("domain")), max_labelled=40)
+    assert len(given) >= 2 and all("snarkwit" in words for words in given)
