@@ -53,13 +53,13 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about STEP_BYTES, or one row."""
+def steps(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about so many bytes at most, or one row."""
     for batch in batches:
         rows = batch.num_rows
         if not rows:
             continue
-        size = max(1, int(rows * STEP_BYTES / max(batch.nbytes, 1)))
+        size = max(1, int(rows * most / max(batch.nbytes, 1)))
         if size >= rows:
             yield batch
             continue
@@ -67,18 +67,18 @@ def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for column in batch.columns:
             if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
                 sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
-        part = np.cumsum(sizes) // STEP_BYTES
+        part = np.cumsum(sizes) // most
         bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows]
         for start, end in zip(bounds, bounds[1:], strict=False):
             yield batch.slice(start, end - start)
 
 
-def map_steps(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, Any]], schema: str) -> DataFrame:
+def map_steps(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, Any]], schema: str, most: int = STEP_BYTES) -> DataFrame:
     """step gives the columns of the result for some rows; it runs in Arrow batches of bounded size."""
     kinds = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, most):
             columns = step(batch)
             yield pa.RecordBatch.from_arrays(
                 [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in kinds],

@@ -123,10 +123,43 @@ SELECT source, lang, tokenizer, count(*) AS n_documents, sum(n)::BIGINT AS n_tok
 """
 
 
+LEXICAL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents
+), items AS (
+  SELECT row_number() OVER () AS item, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM benchmark
+), corpus AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0
+), postings AS (
+  SELECT row_id, term, count(*)::BIGINT AS tf FROM (SELECT row_id, unnest(terms) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, corpus GROUP BY term, n_docs
+), impacts AS (
+  SELECT row_id, term, 1000000000 * tf // (1000 * tf + 8 * (25 + 75 * len(terms) * n_docs // n_terms)) AS impact
+  FROM postings JOIN docs USING (row_id), corpus
+), wanted AS (
+  SELECT item, term, count(*)::BIGINT AS times FROM (SELECT item, unnest(terms) AS term FROM items) GROUP BY ALL
+), scores AS (
+  SELECT item, row_id, sum(times * w * impact)::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row_id)::INTEGER AS rank, doc_id, score
+FROM scores JOIN docs USING (row_id) JOIN items USING (item) WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": NGRAM_JOIN,
         "op4_token_counts": TOKEN_COUNTS,
         "op7_line_quality": LINE_QUALITY,
         "op8_embedding_dup": EMBEDDING_DUP,
+        "op12_lexical": LEXICAL,
     }

@@ -8,8 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import byte_bpe, embedding_dup, language, lexicon, line_quality, lm_score, mixing, ngram_join, pii, token_counts, toxicity
+from slotwise.llm import (
+    alignment,
+    byte_bpe,
+    embedding_dup,
+    language,
+    lexical,
+    lexicon,
+    line_quality,
+    lm_score,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    token_counts,
+    toxicity,
+)
 from slotwise.llm.common import crc_mod, new_folder, text_key, written
+from slotwise.llm.encoders import ByteLevel, Pieces
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +119,23 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(documents(spark, sf_dir).select("doc_id", held_out.alias("held_out"), (~held_out).alias("learn"), "text"))
 
 
+def byte_level() -> ByteLevel:
+    return ByteLevel.read(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(packing.pieces(documents(spark, sf_dir), byte_level()))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measured(documents(spark, sf_dir), byte_level(), Pieces.read(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which uses this module
 
@@ -121,5 +154,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dup": op8_embedding_dup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_lm_score": op10_lm_score,
+        "op11_packing": op11_packing,
+        "op12_lexical": op12_lexical,
+        "op13_alignment": op13_alignment,
         "pipeline": pipeline,
     }

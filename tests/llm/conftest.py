@@ -69,4 +69,6 @@ def folder(spark, path, docs, labels=((1, 1, 0), (4, 1, 0), (4, 0, None), (8, 0,
     spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>").withColumns(
         {"label": F.lit(None).cast("int"), "item": F.lit(1), "bucket": F.lit(2)}
     ).write.parquet(f"{path}/embeddings.parquet")
+    items = [(1, "the weather in the north, THE weather"), (2, None), (3, ""), (None, "two words Süden"), (4, "words words x9 1234"), (4, "nothing_that_is_there")]
+    spark.createDataFrame(items if docs.take(1) else [], "item_id long, text string").withColumns({"rank": F.lit(1), "query": F.lit("x")}).write.parquet(f"{path}/benchmark.parquet")
     return str(path)

@@ -46,7 +46,7 @@ def test_empty_tables_give_no_rows(spark, empty_dir, name):
 def test_equals_sql(spark, odd_dir, name, where):
     path = odd_dir if where == "odd" else "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "labels", "embeddings"):
+    for table in ("documents", "labels", "embeddings", "benchmark"):
         part = "/*.parquet" if where == "odd" else ""
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/{table}.parquet{part}')")
     mine = QUERIES[name](spark, path).toPandas()
