@@ -47,6 +47,32 @@ APPROX = f"{r2(slots())} AS approximateSlotCount"
 IDS = "job_id AS jobId, project_id AS projectId, start_time AS startTime, end_time AS endTime"
 
 
+# The order by which each list is cut to its first rows.
+LIMIT = 20
+_BY_COST = '"onDemandCost" DESC NULLS LAST'
+_BY_TABLE = '"user" NULLS FIRST, "projectId" NULLS FIRST, "datasetId" NULLS FIRST, "tableId" NULLS FIRST'
+FIRST_ROWS = {
+    "longest_running_queries": '"runningTimeInSeconds" DESC NULLS LAST, "jobId" NULLS FIRST',
+    "query_counts": '"queryCount" DESC NULLS LAST, query NULLS FIRST',
+    "table_query_counts": f'"tableIdCount" DESC NULLS LAST, {_BY_TABLE}',
+    "top_billed_labels": f'{_BY_COST}, "labelKey", "labelValue"',
+    "top_billed_queries": 'on_demand_cost DESC NULLS LAST, "jobId" NULLS FIRST',
+    "top_billed_queries_deduplicated": 'on_demand_cost DESC NULLS LAST, "jobId" NULLS FIRST',
+    "top_complex_queries": '"approximateSlotCount" DESC NULLS LAST, "jobId" NULLS FIRST',
+    "top_cost_users": f'"user" DESC NULLS LAST, {_BY_COST}',
+    "top_costly_queries": f"{_BY_COST}, query NULLS FIRST",
+    "audit_longest_running_queries": '"runningTimeInSeconds" DESC NULLS LAST, "jobId" NULLS FIRST, query',
+    "audit_query_counts": '"queryCount" DESC NULLS LAST, query NULLS FIRST',
+    "audit_table_query_counts": f'"jobCount" DESC NULLS LAST, {_BY_TABLE}',
+    "audit_top_billed_labels": f'{_BY_COST}, "labelKey", "labelValue"',
+    "audit_top_billed_queries": '"totalBilledBytes" DESC NULLS LAST, "jobId" NULLS FIRST, "timestamp" NULLS FIRST',
+    "audit_top_billed_queries_deduplicated": '"totalBilledBytes" DESC NULLS LAST, "jobId" NULLS FIRST',
+    "audit_top_complex_queries": '"approximateSlotCount" DESC NULLS LAST, "jobId" NULLS FIRST',
+    "audit_top_cost_users": f'"user" DESC NULLS LAST, {_BY_COST}',
+    "audit_top_costly_queries": f"{_BY_COST}, query NULLS FIRST",
+}
+
+
 def _finished(days: int, test: str = "TRUE") -> tuple[str, str]:
     return (
         "src",
@@ -155,6 +181,10 @@ def _timeline() -> dict[str, str]:
     for unit in ("day", "hour", "minute", "second"):
         out[f"slots_by_{unit}"] = _slots_sql(unit, no_script)
     out["slots_by_minute_and_user"] = _slots_sql("minute", no_script, True)
+    untyped = "(statement_type <> 'SCRIPT' OR statement_type IS NULL)"
+    for unit in ("day", "hour", "minute"):
+        out[f"slots_by_{unit}__include_null_type"] = _slots_sql(unit, untyped)
+    out["slots_by_minute_and_user__include_null_type"] = _slots_sql("minute", untyped, True)
     for unit in ("minute", "second"):
         out[f"load_slots_per_{unit}"] = _slots_sql(unit, "job_type = 'LOAD'")
         out[f"query_slots_per_{unit}"] = _slots_sql(unit, QUERY)
@@ -174,13 +204,17 @@ WHERE job_creation_time BETWEEN {civil(1)} AND {AS_OF} AND state = 'PENDING' GRO
     out["queued_jobs"] = with_tables("jobs_timeline", select=f"""
 SELECT DISTINCT job_id, period_start, project_id, user_email, job_type, error_result.reason AS error_reason, error_result.location AS error_location,
   error_result.message AS error_message FROM jobs_timeline WHERE job_creation_time BETWEEN {civil(1)} AND {AS_OF} AND state = 'PENDING'""")
-    out["concurrent_queued_and_running_jobs_per_minute"] = with_tables("jobs",
+    for form, typed in (("", no_script), ("__include_null_type", untyped)):
+        out["concurrent_queued_and_running_jobs_per_minute" + form] = with_tables("jobs",
         ("t", f"SELECT unnest(generate_series({AS_OF} - INTERVAL 24 HOUR, {AS_OF}, INTERVAL 1 MINUTE)) AS m"),
-        ("j", f"SELECT * FROM jobs WHERE creation_time >= {AS_OF} - INTERVAL 25 HOUR AND job_type = 'QUERY' AND statement_type <> 'SCRIPT'"),
+        ("j", f"SELECT * FROM jobs WHERE creation_time >= {AS_OF} - INTERVAL 25 HOUR AND job_type = 'QUERY' AND {typed}"),
         select="""
 SELECT m AS "minute", count(*) FILTER (WHERE start_time <= m AND (end_time > m OR end_time IS NULL)) AS concurrent_running,
   count(*) FILTER (WHERE creation_time <= m AND (start_time > m OR start_time IS NULL)) AS concurrent_queued
 FROM t LEFT JOIN j ON creation_time <= m AND (end_time > m OR end_time IS NULL) GROUP BY m""")
+    # Buckets here have few jobs; sketches count those exactly.
+    for name in ("concurrent_queries_by_millisecond", "concurrent_queries_by_second", "concurrent_queries_by_minute", "queued_queries_by_second"):
+        out[f"{name}__approximate"] = out[name]
     return out
 
 
@@ -551,4 +585,5 @@ def oracle_sql() -> dict[str, str]:
         for name, sql in _audit_scoped(project).items():
             stem, _, literal = name.partition("__")
             out[f"audit_{stem}{general}" + (f"__{literal}" if literal else "")] = sql
-    return out
+    limited = {f"{name}__limit": f"SELECT * FROM ({out[name]}) ORDER BY {order} LIMIT {LIMIT}" for name, order in FIRST_ROWS.items()}
+    return out | limited

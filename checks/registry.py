@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from checks import duck_reports
 from checks.derive import AS_OF, STORAGE_AS_OF, derived_warehouse
 from checks.duck_reports import PROJECT, RESERVATION, WITHOUT_PROJECT
 from slotwise.params import utc_session
@@ -149,6 +150,22 @@ _AUDIT_ALL: dict[str, tuple[Report, bool]] = {
 }
 
 
+# Lists cut to their first rows: the reports that take a limit.
+_LISTS = [*duck_reports.FIRST_ROWS]
+
+# Further forms by a flag: sketches instead of exact counts, and rows without a statement type.
+_FLAGS = {
+    "approximate": (
+        "concurrent_queries_by_millisecond", "concurrent_queries_by_second", "concurrent_queries_by_minute",
+        "queued_queries_by_second",
+    ),
+    "include_null_type": (
+        "slots_by_day", "slots_by_hour", "slots_by_minute", "slots_by_minute_and_user",
+        "concurrent_queued_and_running_jobs_per_minute",
+    ),
+}
+
+
 def flat(name: str, df: DataFrame) -> DataFrame:
     """A report's rows as they are compared."""
     return portable(df)
@@ -189,6 +206,11 @@ def reports() -> dict[str, Callable[[Warehouse], DataFrame]]:
         add(f"audit_{name}_general", report, literal, as_of=AS_OF, project_id=None)
     for name, (report, literal) in _AUDIT_ALL.items():
         add(f"audit_{name}", report, literal, as_of=AS_OF)
+    for name in _LISTS:
+        out[f"{name}__limit"] = partial(out[name], limit=duck_reports.LIMIT)
+    for flag, names in _FLAGS.items():
+        for name in names:
+            out[f"{name}__{flag}"] = partial(out[name], **{flag: True})
     return out
 
 

@@ -7,21 +7,18 @@ from pyspark.sql import functions as F
 
 from slotwise.functions.costs import sum_bytes
 
+
 def runs_per_text(runs: DataFrame, query: str, nbytes: Column) -> DataFrame:
     """Per query text, its runs and their summed bytes; rows without text drop out.
 
     One hash aggregate with map-side combining stands in for matching every run
-    with every other run of the same text.
+    with every other run of the same text. The text is a key and the buffers are of
+    fixed size; a text in a buffer would turn it into a sort of whole texts.
     """
     return (
         runs.filter(F.col(query).isNotNull())
-        .groupBy(F.sha2(F.col(query), 256).alias("_h"))
-        .agg(
-            F.any_value(query).alias("query"),
-            F.count("*").alias("runs"),
-            sum_bytes(nbytes).alias("bytes"),
-        )
-        .drop("_h")
+        .groupBy(F.col(query).alias("query"))
+        .agg(F.count("*").alias("runs"), sum_bytes(nbytes).alias("bytes"))
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slotwise.fixed_values import DEFAULT_TZ
 from slotwise.functions.times import civil_lookback
 from slotwise.params import AsOf, instant, utc
+from slotwise.sources.layout import folder_of
 
 
 def between(
@@ -23,17 +24,19 @@ def between(
     """Rows with ``ts`` from ``lower`` (exclusive if ``strict``) up to ``upper``.
 
     The bounds fold to literals, so they are pushed to the files' statistics. A
-    table laid out by day (see ``sources.layout``) carries ``<ts>_day``; the same
-    bounds are then put on that column too and whole day folders are skipped.
+    table laid out by day or month (see ``sources.layout``) carries ``<ts>_day`` or
+    ``<ts>_month``; the same bounds are then put on that column too and whole folders
+    are skipped.
     """
     kept = df.filter(F.col(ts) > lower if strict else F.col(ts) >= lower)
     if upper is not None:
         kept = kept.filter(F.col(ts) <= upper)
-    day = f"{ts}_day"
-    if day in df.columns:
-        kept = kept.filter(F.col(day) >= F.to_date(lower))
-        if upper is not None:
-            kept = kept.filter(F.col(day) <= F.to_date(upper))
+    for length in ("day", "month"):
+        folder = f"{ts}_{length}"
+        if folder in df.columns:
+            kept = kept.filter(F.col(folder) >= folder_of(lower, length))
+            if upper is not None:
+                kept = kept.filter(F.col(folder) <= folder_of(upper, length))
     return kept
 
 

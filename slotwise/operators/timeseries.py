@@ -162,3 +162,91 @@ def alive_per_tick(
         "measure",
         F.explode(F.sequence(F.col("_i"), F.col("_next") - 1)).alias("_i"),
     ).select(*keys, "alive", "measure", from_micros(F.col("_i") * step_us).alias(name))
+
+
+# Ticks of one running sum: its rows are one task's work, and a longer level is cut there.
+_RUN_TICKS = 100_000
+
+
+def alive_per_own_tick(
+    df: DataFrame,
+    start: str,
+    end: str,
+    unit: str,
+    *,
+    name: str,
+    keys: Sequence[str] = (),
+    measure: Column | None = None,
+) -> DataFrame:
+    """The same for ticks that each interval counts from its own start.
+
+    Intervals whose starts leave the same rest by the unit share their ticks, others
+    never do: the rest is a further key. An interval is an opening and a closing
+    change whatever its length; no row is made of an interval and a tick or day.
+    Running sums go over stretches of ``_RUN_TICKS`` ticks in parallel. What is alive
+    where a stretch begins comes from the sums of the stretches before it, as one
+    more change at its first tick. Rows appear only where levels turn into ticks.
+    """
+    step_us = UNIT_MS[unit] * 1000
+    value = F.lit(0).cast("bigint") if measure is None else measure
+    one = F.lit(1).cast("bigint")
+    since = F.unix_micros(F.col(start))
+    spans = df.select(
+        *keys,
+        value.alias("_v"),
+        F.pmod(since, F.lit(step_us)).alias("_rest"),
+        _tick_index(F.col(start), step_us).alias("_a"),
+        F.call_function("div", F.unix_micros(F.col(end)) - since, F.lit(step_us)).alias("_more"),
+    ).filter(F.unix_micros(F.col(end)) >= since)
+    by = [*keys, "_rest"]
+    stretch = F.expr(f"(_i - pmod(_i, {_RUN_TICKS})) div {_RUN_TICKS}").alias("_run")
+    changes = (
+        spans.select(
+            *by,
+            F.inline(
+                F.array(
+                    F.struct(F.col("_a").alias("_i"), one.alias("_n"), F.col("_v").alias("_s")),
+                    F.struct(
+                        (F.col("_a") + F.col("_more") + 1).alias("_i"),
+                        (-one).alias("_n"),
+                        (-F.col("_v")).alias("_s"),
+                    ),
+                )
+            ),
+        )
+        .groupBy(*by, stretch, "_i")
+        .agg(F.sum("_n").alias("_n"), sum_whole(F.col("_s")).alias("_s"))
+    )
+    runs = Window.partitionBy(*by).orderBy("_run")
+    before = runs.rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        changes.groupBy(*by, "_run")
+        .agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+        .select(
+            *by,
+            "_run",
+            (F.col("_run") * _RUN_TICKS).alias("_i"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+            F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"),
+            (F.lead("_run").over(runs) * _RUN_TICKS).alias("_until"),
+        )
+    )
+    order = Window.partitionBy(*by, "_run").orderBy("_i")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = (
+        changes.withColumn("_until", F.lit(None).cast("bigint"))
+        .unionByName(carried)
+        .select(
+            *by,
+            "_i",
+            F.sum("_n").over(running).alias("alive"),
+            F.sum("_s").over(running).alias("measure"),
+            F.coalesce(F.lead("_i").over(order), F.max("_until").over(Window.partitionBy(*by, "_run"))).alias("_next"),
+        )
+        .filter((F.col("alive") > 0) & (F.col("_i") < F.col("_next")))
+    )
+    cut = levels.withColumn("_at", F.explode(F.sequence(F.col("_i"), F.col("_next") - 1, F.lit(_RUN_TICKS).cast("bigint"))))
+    ticks = F.sequence(F.col("_at"), F.least(F.col("_at") + _RUN_TICKS, F.col("_next")) - 1)
+    return cut.select(*by, "alive", "measure", F.explode(ticks).alias("_i")).select(
+        *keys, "alive", "measure", from_micros(F.col("_i") * step_us + F.col("_rest")).alias(name)
+    )

@@ -34,7 +34,8 @@ from slotwise.operators.audit import (
 from slotwise.operators.dedupe import dearest_run_per_text
 from slotwise.operators.repeats import attach_run_count, runs_per_text
 from slotwise.operators.scans import within_absolute
-from slotwise.operators.timeseries import alive_per_tick, expand_interval
+from slotwise.operators.timeseries import alive_per_own_tick, alive_per_tick, expand_interval
+from slotwise.operators.toplist import with_limit
 from slotwise.params import AsOf, Prices
 from slotwise.plans.jobs import _costly
 from slotwise.sources.warehouse import Warehouse
@@ -212,6 +213,7 @@ def query_job_information(
     )
 
 
+@with_limit(lambda: [F.col("runningTimeInSeconds").desc(), F.col("jobId"), F.col("query")])
 def longest_running_queries(
     wh: Warehouse,
     *,
@@ -244,6 +246,7 @@ def longest_running_queries(
     )
 
 
+@with_limit()
 def query_counts(
     wh: Warehouse,
     *,
@@ -275,6 +278,7 @@ def query_counts(
     ).orderBy(F.col("queryCount").desc(), "query")
 
 
+@with_limit()
 def top_costly_queries(
     wh: Warehouse,
     *,
@@ -290,6 +294,7 @@ def top_costly_queries(
     return _costly(texts, prices.on_demand_legacy, literal)
 
 
+@with_limit(lambda: [F.col("jobCount").desc(), F.col("user"), F.col("projectId"), F.col("datasetId"), F.col("tableId")])
 def table_query_counts(
     wh: Warehouse, *, as_of: AsOf, days: int = 700, project_id: str | None = None
 ) -> DataFrame:
@@ -303,6 +308,7 @@ def table_query_counts(
     )
 
 
+@with_limit()
 def top_billed_labels(
     wh: Warehouse,
     *,
@@ -361,6 +367,7 @@ def _billed_columns(price: float, per: int = fv.TIB) -> list[Column | str]:
     ]
 
 
+@with_limit()
 def top_billed_queries(
     wh: Warehouse,
     *,
@@ -381,6 +388,7 @@ def top_billed_queries(
     )
 
 
+@with_limit()
 def top_billed_queries_deduplicated(
     wh: Warehouse,
     *,
@@ -398,6 +406,7 @@ def top_billed_queries_deduplicated(
     )
 
 
+@with_limit()
 def top_complex_queries(
     wh: Warehouse,
     *,
@@ -442,6 +451,7 @@ def _cost_by(events: DataFrame, keys: list[Column | str], price: float, per: int
     )
 
 
+@with_limit()
 def top_cost_users(
     wh: Warehouse,
     *,
@@ -457,6 +467,7 @@ def top_cost_users(
     )
 
 
+@with_limit()
 def top_cost_user_by_region_and_project(
     wh: Warehouse,
     *,
@@ -557,10 +568,14 @@ def slots_by(
     )
     jobs = jobs.filter(F.col("nano").isNotNull())
     keys = ["user", "eventType"] if by_user else ["eventType"]
-    if literal or unit in ("hour", "day"):
+    if literal:
+        ticks = alive_per_own_tick(
+            jobs, "startTime", "endTime", unit, name=unit, keys=keys, measure=F.col("nano")
+        )
+    elif unit in ("hour", "day"):
         # Few ticks per job: one row each, summed map-side.
         ticks = (
-            expand_interval(jobs, "startTime", "endTime", unit, aligned=not literal, name=unit)
+            expand_interval(jobs, "startTime", "endTime", unit, aligned=True, name=unit)
             .groupBy(unit, *keys)
             .agg(sum_whole(F.col("nano")).alias("measure"))
         )

@@ -26,6 +26,7 @@ from slotwise.operators.dedupe import (
 )
 from slotwise.operators.repeats import runs_per_text
 from slotwise.operators.scans import of_project, within_civil
+from slotwise.operators.toplist import with_limit
 from slotwise.params import AsOf, Prices
 from slotwise.sources.warehouse import Warehouse
 
@@ -183,6 +184,7 @@ def _dearest_runs(jobs: DataFrame, literal: bool) -> DataFrame:
     return dearest_if_latest(jobs) if literal else dearest_job_per_text(latest_jobs(jobs, ["query"]))
 
 
+@with_limit()
 def longest_running_queries(
     wh: Warehouse,
     *,
@@ -222,6 +224,7 @@ def _billed_list(runs: DataFrame, prices: Prices) -> DataFrame:
     ).orderBy(F.col("on_demand_cost").desc(), "jobId")
 
 
+@with_limit()
 def top_billed_queries(
     wh: Warehouse,
     *,
@@ -237,6 +240,7 @@ def top_billed_queries(
     ), prices)
 
 
+@with_limit()
 def top_billed_queries_deduplicated(
     wh: Warehouse,
     *,
@@ -253,6 +257,7 @@ def top_billed_queries_deduplicated(
     )
 
 
+@with_limit()
 def top_complex_queries(
     wh: Warehouse,
     *,
@@ -282,6 +287,7 @@ def top_complex_queries(
     )
 
 
+@with_limit()
 def top_cost_users(
     wh: Warehouse,
     *,
@@ -301,6 +307,7 @@ def top_cost_users(
     )
 
 
+@with_limit()
 def top_billed_labels(
     wh: Warehouse,
     *,
@@ -344,6 +351,7 @@ def top_billed_labels(
     )
 
 
+@with_limit(lambda: [F.col("tableIdCount").desc(), F.col("user"), F.col("projectId"), F.col("datasetId"), F.col("tableId")])
 def table_query_counts(
     wh: Warehouse,
     *,
@@ -363,6 +371,7 @@ def table_query_counts(
     )
 
 
+@with_limit()
 def query_counts(
     wh: Warehouse,
     *,
@@ -391,6 +400,7 @@ def query_counts(
     )
 
 
+@with_limit()
 def top_costly_queries(
     wh: Warehouse,
     *,

@@ -9,6 +9,7 @@ from slotwise.fixed_values import DEFAULT_TZ
 from slotwise.functions.costs import dbl, edition_slot_second, payg_rate, sum_whole
 from slotwise.functions.texts import money
 from slotwise.functions.times import truncate
+from slotwise.operators.collecting import collected
 from slotwise.operators.scans import created_within_absolute, of_project, within_absolute, within_civil
 from slotwise.params import AsOf, Prices
 from slotwise.sources.warehouse import Warehouse
@@ -192,8 +193,9 @@ def queries_and_reservation_usage_per_second(
 
     One row per second, reservation and job, whatever their number. ``literal`` gives
     one row per second and reservation with the whole array of its jobs, as first
-    published; the array is bounded only by the jobs alive in one second of one
-    reservation. It also prices editions as in the autoscale report.
+    published; the array, in order of its structs, is bounded only by the jobs alive in
+    one second of one reservation, and is gathered from parts. It also prices editions
+    as in the autoscale report.
     """
     second = ["start_time", "reservation_name"]
     jobs = jobs_per_second(
@@ -215,7 +217,7 @@ def queries_and_reservation_usage_per_second(
     )
     newest = F.col("start_time").desc()
     if literal:
-        listed = jobs.groupBy(*second).agg(F.collect_list("job").alias("jobs"))
+        listed = collected(jobs, second, "job", F.col("job.job_id"), name="jobs")
         return slots.join(listed, second).select(*slots.columns, "jobs").orderBy(newest, "reservation_name")
     return slots.join(jobs, second).select(*slots.columns, "job.*").orderBy(newest, "reservation_name", "job_id")
 

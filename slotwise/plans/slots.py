@@ -24,7 +24,7 @@ def slots_by(
     days: int = 7,
     job_type: str | None = None,
     by_user: bool = False,
-    include_untyped: bool = False,
+    include_null_type: bool = False,
     literal: bool = False,
     project_id: str | None = None,
     tz: str = DEFAULT_TZ,
@@ -33,13 +33,13 @@ def slots_by(
 
     Without ``job_type``, scripts are left out, as their children are counted; rows
     with no statement type (loads and others) go with them unless
-    ``include_untyped``. ``literal`` spaces day buckets 24 hours apart, so that
+    ``include_null_type``. ``literal`` spaces day buckets 24 hours apart, so that
     they miss the civil days after an offset change.
     """
     src = within_civil(of_project(wh.jobs_timeline, project_id), "period_start", as_of, days, tz)
     if job_type is not None:
         src = src.filter(F.col("job_type") == job_type)
-    elif include_untyped:
+    elif include_null_type:
         src = src.filter(F.col("statement_type").isNull() | (F.col("statement_type") != "SCRIPT"))
     else:
         src = src.filter(F.col("statement_type") != "SCRIPT")

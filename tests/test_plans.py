@@ -22,7 +22,7 @@ def plans(spark, laid_out):
 
 
 def test_every_report_is_planned(plans):
-    assert len(plans) == len(ALL) == 138 + 35
+    assert len(plans) == len(ALL) == 138 + 35 + 18 + 4 + 5
 
 
 @pytest.mark.parametrize("name", [n for n in ALL if n.endswith("__project")])
@@ -40,9 +40,9 @@ def test_no_pairwise_join_and_no_python(plans, name):
 @pytest.mark.parametrize("name", ALL)
 def test_look_backs_skip_day_folders(plans, name):
     for scan in re.findall(r"FileScan parquet .*", plans[name]):
-        if re.search(r"(creation_time|timestamp|period_start|usage_date)_day#", scan):
+        if folder := re.search(r"(creation_time|timestamp|period_start)_day#|usage_date_month#", scan):
             filters = re.search(r"PartitionFilters: \[(.*?)\]", scan).group(1)
-            assert "_day" in filters and ">=" in filters, scan
+            assert folder.group() in filters and ">=" in filters, scan
 
 
 @pytest.mark.parametrize("name", ALL)
@@ -56,6 +56,35 @@ def test_one_task_only_for_bounded_results(plans, name):
             )
 
 
+def test_usage_is_cut_to_its_months_and_row_groups(plans):
+    (scan,) = re.findall(r"FileScan parquet .*", plans["table_usage_and_costs_per_day"])
+    assert "GreaterThanOrEqual(usage_date" in scan and "usage_date_month" in scan
+
+
+@pytest.mark.parametrize("name", ["query_counts", "top_costly_queries", "audit_query_counts", "audit_top_costly_queries"])
+def test_repeated_texts_are_a_hash_aggregate(plans, name):
+    for form in ("", "__literal"):
+        assert "SortAggregate" not in plans[name + form] and "HashAggregate" in plans[name + form]
+
+
+@pytest.mark.parametrize("name", [n for n in ALL if n.endswith("__limit")])
+def test_first_rows_are_kept_in_heaps(plans, name):
+    assert "TakeOrderedAndProject(limit=20" in plans[name]
+    assert "rangepartitioning" not in plans[name]
+
+
+@pytest.mark.parametrize("unit", ["day", "hour", "minute", "second"])
+def test_published_audit_slots_unfold_no_job(plans, unit):
+    text = plans[f"audit_slots_by_{unit}__literal"]
+    assert "sequence" not in text[text.index("Window") :]
+
+
+def test_approximate_counts_shuffle_sketches(plans):
+    text = plans["concurrent_queries_by_minute__approximate"]
+    above, below = text.split("partial_hll_sketch_agg")
+    assert "Exchange hashpartitioning" in above and "hashpartitioning" not in below
+
+
 def test_job_lists_read_only_their_columns(laid_out):
     text = plan(registry.reports()["top_cost_users"](laid_out))
     (scan,) = re.findall(r"FileScan parquet \[(.*?)\]", text)

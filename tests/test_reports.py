@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise import Warehouse
+from slotwise.operators import collecting
 from slotwise.operators.timeseries import alive_per_tick
 from slotwise.plans import billing, concurrency, jobs, reservations, slots, storage
 from tests.helpers import frame, texts, utc
@@ -103,7 +104,7 @@ def test_slots_by_day_in_local_days(spark):
     assert len(rows) == 8
     assert rows[-1] == (0.5, "2024-01-30 00:00:00") and rows[-2] == (1.0, "2024-01-29 00:00:00")
     assert df.columns == ["slot_usage", "timeInterval_PST"]
-    more = slots.slots_by_day(wh, as_of=AS_OF, include_untyped=True).collect()
+    more = slots.slots_by_day(wh, as_of=AS_OF, include_null_type=True).collect()
     assert more[-1].slot_usage > 0.5
 
 
@@ -370,3 +371,59 @@ def test_as_of_may_carry_a_zone(spark):
     assert jobs.general_job_information(wh, as_of=moment).count() == 1
     assert jobs.general_job_information(wh, as_of="2024-01-30 09:00:00").count() == 0
     assert wh.jobs.filter(F.col("job_id") == "j1").count() == 1
+
+
+def test_lists_are_cut_to_their_first_rows(spark):
+    rows = [job(job_id=f"j{k}", query=f"q{k % 7}", total_bytes_billed=k * 2**40) for k in range(30)]
+    wh = warehouse(spark, jobs=rows)
+    for report in (jobs.top_billed_queries, jobs.top_costly_queries, jobs.query_counts, jobs.longest_running_queries):
+        every = texts(report(wh, as_of=AS_OF))
+        assert texts(report(wh, as_of=AS_OF, limit=5)) == every[:5] and len(every) > 5
+        assert texts(report(wh, as_of=AS_OF, limit=1000)) == every
+    refs = [job(job_id=f"j{k}", referenced_tables=[("p", "d", f"t{k % 3}")] * (k % 5)) for k in range(20)]
+    counts = sorted((-r[4], r[3]) for r in texts(jobs.table_query_counts(warehouse(spark, jobs=refs), as_of=AS_OF)))
+    first = texts(jobs.table_query_counts(warehouse(spark, jobs=refs), as_of=AS_OF, limit=2))
+    assert [(-r[4], r[3]) for r in first] == counts[:2]
+
+
+def test_jobs_without_a_statement_type_are_an_option(spark):
+    rows = [job(job_id=f"{kind}", statement_type=kind, creation_time=utc("2024-01-30 10:00:00"), start_time=utc("2024-01-30 10:00:00"),
+                end_time=utc("2024-01-30 10:05:00")) for kind in ("SELECT", None, "SCRIPT")]
+    wh = warehouse(spark, jobs=rows)
+    report = concurrency.concurrent_queued_and_running_jobs_per_minute
+    most = [max(r[1] for r in texts(report(wh, as_of=AS_OF, **kw))) for kw in ({}, {"include_null_type": True})]
+    assert most == [1, 2]
+
+
+def test_sketches_count_within_their_error_and_roll_up(spark):
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-30 10:00:00")) + F.col("id") % 7200)
+    timeline = spark.range(60_000).select(
+        F.concat(F.lit("job"), (F.col("id") % 40_000).cast("string")).alias("job_id"), at.alias("period_start"), at.alias("job_creation_time"),
+        F.lit("QUERY").alias("job_type"), F.lit("PENDING").alias("state"), F.lit(None).cast("string").alias("parent_job_id"), F.lit("p").alias("project_id"),
+    )
+    wh = Warehouse.from_frames(spark, {"jobs_timeline": timeline})
+    exact = texts(concurrency.concurrent_queries_by(wh, "hour", as_of=AS_OF))
+    about = texts(concurrency.concurrent_queries_by(wh, "hour", as_of=AS_OF, approximate=True))
+    assert len(exact) == 2 and [r[0] for r in exact] == [r[0] for r in about]
+    assert all(abs(a - e) <= 0.05 * e for (_, e), (_, a) in zip(exact, about, strict=True))
+    minutes = concurrency.job_sketches(wh, "minute", as_of=AS_OF)
+    hours = concurrency.estimated_distinct(concurrency.rolled_up(minutes, "hour"), "jobs", "job_count").orderBy("period_start")
+    assert all(abs(a - e) <= 0.05 * e for (_, e), (_, a) in zip(exact, texts(hours), strict=True))
+    queued = [texts(concurrency.queued_queries_by_second(wh, as_of=AS_OF, approximate=flag)) for flag in (False, True)]
+    assert queued[0] == queued[1] and len(queued[0]) == 7200  # few jobs a second
+    with pytest.raises(ValueError):
+        concurrency.concurrent_queries_by(wh, "minute", as_of=AS_OF, literal=True, approximate=True)
+
+
+def test_arrays_of_a_crowded_second_are_gathered_from_parts(spark):
+    rows = spark.range(50_000).select(
+        F.lit("second").alias("k"), F.struct((F.col("id") * 7919 % 50_000).alias("ms"), F.concat(F.lit("j"), "id").alias("job_id")).alias("job")
+    )
+    rows = rows.unionByName(spark.range(3).select(F.lit(None).cast("string").alias("k"), F.struct(F.col("id").alias("ms"), F.lit("x").alias("job_id")).alias("job")))
+    found = collecting.collected(rows, ["k"], "job", F.col("job.job_id"), name="jobs")
+    got = {r.k: [x.ms for x in r.jobs] for r in found.collect()}
+    assert got == {"second": list(range(50_000)), None: [0, 1, 2]}
+    parts = rows.groupBy("k", F.pmod(F.xxhash64("job.job_id"), F.lit(collecting.PARTS))).count().filter("k = 'second'")
+    assert parts.count() == collecting.PARTS and parts.agg(F.max("count")).first()[0] < 2_500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 2 and plan.count("partial_collect_list") == 2

@@ -52,6 +52,13 @@ def test_one_day_is_replaced_alone(spark, warehouse, tmp_path):
         write_table(warehouse.tables, str(tmp_path), "tables", days_only=True)
 
 
+def test_usage_is_in_month_folders(warehouse, laid_out):
+    months = laid_out.table_storage_usage.select("usage_date_month").distinct().count()
+    days = warehouse.table_storage_usage.select("usage_date").distinct().count()
+    assert months <= 84 + 1 < days
+    assert laid_out.table_storage_usage.filter("usage_date_month <> trunc(usage_date, 'month')").isEmpty()
+
+
 def test_unknown_table(warehouse):
     with pytest.raises(AttributeError):
         warehouse.no_such_table

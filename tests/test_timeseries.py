@@ -7,8 +7,10 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from slotwise.operators import timeseries
 from slotwise.operators.concurrency import running_and_queued
 from slotwise.operators.timeseries import (
+    alive_per_own_tick,
     alive_per_tick,
     expand_interval,
     gap_fill,
@@ -69,6 +71,41 @@ def test_alive_per_tick_sees_few_changes_of_long_intervals(spark):
     assert got.count() == 3 * 86_400 + 1
 
 
+@pytest.mark.parametrize("run_ticks", [3, 100_000])
+@pytest.mark.parametrize("unit, longest", [("second", 400), ("minute", 9000), ("hour", 200_000)])
+def test_own_ticks_equal_unfolding(spark, monkeypatch, unit, longest, run_ticks):
+    """Ticks from each start, some starts with the same rest; runs of three ticks are cut and carried on."""
+    monkeypatch.setattr(timeseries, "_RUN_TICKS", run_ticks)
+    rows = intervals(unit, 40, longest)
+    rows += [(None, ZERO + k * STEP[unit], ZERO + (3 * k + 9) * STEP[unit], k) for k in range(12)]
+    rows += [("a", ZERO, ZERO + 2 * STEP[unit], 5), ("a", ZERO + 30 * STEP[unit], ZERO + 31 * STEP[unit], 5)]
+    expected = defaultdict(lambda: [0, 0])
+    for key, start, end, measure in rows:
+        if start is None or end is None:
+            continue
+        tick = start
+        while tick <= end:
+            expected[(key, tick)][0] += 1
+            expected[(key, tick)][1] += measure
+            tick += STEP[unit]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = alive_per_own_tick(df, "s", "e", unit, name="t", keys=["k"], measure=F.col("v"))
+    found = {(r.k, r.t.astimezone(timezone.utc)): [r.alive, r.measure] for r in got.collect()}
+    assert found == dict(expected)
+
+
+def test_own_ticks_of_a_month_come_from_two_changes(spark):
+    """A 30-day job by the second: rows are made of levels, above the running sums only."""
+    start = ZERO + timedelta(microseconds=123_456)
+    df = spark.createDataFrame([("a", start, start + timedelta(days=30), 4)], SCHEMA)
+    got = alive_per_own_tick(df, "s", "e", "second", name="t", measure=F.col("v"))
+    ends = got.agg(F.count("*"), F.sum("measure"), F.unix_micros(F.min("t")), F.unix_micros(F.max("t"))).first()
+    micros = [int((t - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(microseconds=1)) for t in (start, start + timedelta(days=30))]
+    assert list(ends) == [30 * 86_400 + 1, 4 * (30 * 86_400 + 1), *micros]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan[plan.index("Window") :]
+
+
 @pytest.mark.parametrize("aligned, first", [(True, "2024-01-30 00:00:00"), (False, "2024-01-30 00:00:30")])
 def test_expand_interval(spark, aligned, first):
     at = ZERO + timedelta(seconds=30)
