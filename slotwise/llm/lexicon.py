@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,13 +31,19 @@ def words_of(text: str | None) -> set[str]:
     return words
 
 
-def features(text: str | None) -> set[str]:
-    """Lower-case words, and word beginnings with a star."""
-    words = words_of(text)
-    out = set(words)
-    for size in BEGINNINGS:
-        out.update(w[:size] + "*" for w in words if len(w) > size)
-    return out
+class Features(dict):
+    """Lower-case words of texts, and word beginnings with a star. What a word gives is remembered up to a bound."""
+
+    most = 300_000
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        own = self[word] = (word, *(word[:size] + "*" for size in BEGINNINGS if len(word) > size))
+        return own
+
+    def __call__(self, text: str | None) -> set[str]:
+        if len(self) > self.most:
+            self.clear()
+        return set().union(*map(self.__getitem__, words_of(text)))
 
 
 class Matcher:
@@ -64,6 +71,31 @@ def bounded(labelled: DataFrame, most: int, *keys: str) -> DataFrame:
     return labelled.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
+#: Bits by which documents without a label are told; 2 MB for any number of labels.
+_BITS = 1 << 24
+_PART_BITS = 1 << 15
+
+
+def _bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(_BITS))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text) joined with labels on doc_id, as shuffled rows at every size.
+
+    Texts without a label do not enter the shuffle, but for a few whose ids share a bit with a labelled one: the labelled ids' hashes set bits
+    of a map of fixed size, which is broadcast.
+    """
+    part = F.call_function("div", F.col("_bit"), F.lit(_PART_BITS))
+    bits = labels.select(_bit(F.col("doc_id")).alias("_bit")).groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(F.col("_bit") % _PART_BITS).alias("_bits"))
+    at = F.col("_bit") % _PART_BITS
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.call_function("div", at, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("_bit", _bit(F.col("doc_id"))).withColumn("_part", part)
+    rows = rows.join(F.broadcast(bits), "_part").filter(is_set).select(*docs.columns)
+    return rows.join(labels.hint("merge"), "doc_id")
+
+
 def marked_labels(labels: DataFrame, mark: Column) -> DataFrame:
     """doc_id, mark (0 or 1): one row for each id that has a label; of repeated labels the greatest counts."""
     return labels.select("doc_id", mark.cast("int").alias("mark")).filter("doc_id IS NOT NULL AND mark IS NOT NULL").groupBy("doc_id").agg(F.max("mark").alias("mark"))
@@ -71,22 +103,19 @@ def marked_labels(labels: DataFrame, mark: Column) -> DataFrame:
 
 def _counted(kinds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        counts, features = [Counter() for _ in range(kinds)], Features()
 
         def flushed() -> pa.RecordBatch:
-            columns = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(kinds)]
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *columns], names=["feature", *(f"n{k}" for k in range(kinds))])
-            counts.clear()
-            return out
+            every = list(set().union(*counts))
+            columns = [pa.array([own[x] for x in every], pa.int64()) for own in counts]
+            for own in counts:
+                own.clear()
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *columns], names=["feature", *(f"n{k}" for k in range(kinds))])
 
         for batch in steps(batches):
             for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
-                for feature in features(text):
-                    held = counts.get(feature)
-                    if held is None:
-                        held = counts[feature] = [0] * kinds
-                    held[kind] += 1
-                if len(counts) > _FLUSH:
+                counts[kind].update(features(text))
+                if sum(map(len, counts)) > _FLUSH:
                     yield flushed()
         yield flushed()
 

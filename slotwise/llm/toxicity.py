@@ -110,11 +110,11 @@ def posteriors(patterns: list[tuple[int, int | None, int]], rounds: int = EM_ROU
 
 def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """docs: doc_id, text, learn (may be learned from); labels: doc_id, mark. Returns the columns beside text, and score."""
-    labelled = docs.filter("learn").select("doc_id", "text").join(labels, "doc_id")
+    labelled = lexicon.labelled_texts(docs.filter("learn").select("doc_id", "text"), labels)
     words = lexicon.found(labelled)
     votes = written(voted(docs, words), "votes")
 
-    learned = votes.filter("learn").join(labels, "doc_id", "left")
+    learned = votes.filter("learn").join(labels.hint("merge"), "doc_id", "left")
     counts = learned.groupBy("votes", "mark").agg(F.count("*").alias("n")).orderBy("votes", "mark").collect()
     chance = posteriors([(r["votes"], r["mark"], r["n"]) for r in counts])
 
