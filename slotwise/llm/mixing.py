@@ -2,18 +2,20 @@
 
 Domains are classes of a labelled table, here made of its marks: good, poor (quality 0) and toxic (toxic 1). A softmax classifier on
 measures of style and on words of the toxic and poor lexicons gives every document a posterior over the domains. Each document
-then gets a rate, the expected number of times it is taken, by least squares: rates are sought for which the expected tokens of
-each domain, the sum of rate * tokens * posterior, meet the targets (share * all tokens), nearest to taking everything once.
-A rate is 1 less the multipliers of the document's domains, projected on 0 or more, so that a step needs only the domains'
-totals and their curvature over the documents taken: Spark adds them up over all documents, for several lengths of the step in
-one pass, and each document's rate follows from the multipliers by itself. Gradient steps scaled by the curvature are
-taken until the totals meet the targets, or no step comes nearer; ``missed`` gives what is left of each domain.
+then gets a rate from 0 to ``MAX_RATE``, the expected number of times it is taken, by least squares: rates for which the expected tokens of
+each domain, the sum of rate * tokens * posterior, come nearest to the targets (share * all tokens), starting from taking everything once.
+
+The rates are fitted by distributed projected gradient steps. Misses are weighted by the inverse of the domains' second moments, for which
+a step of length 1 is safe; a step moves each rate against the weighted misses of its document's domains and projects it on the
+box, and steps are accelerated by the last movement, which starts anew when it points uphill. Every step is one pass that adds up domain totals; rates follow from
+the misses of the steps so far, and every ``WRITE_EVERY`` steps they are written as a table, so that a pass replays a few steps only. Steps end when the
+targets hold, or when rates hardly move: targets that no rates in the box meet are missed, and ``missed`` gives what is left of each domain. It is logged.
 ``drawn`` takes a document floor(rate) times, and once more with the remaining probability, by a hash of its id and text.
 
 The classifier is fitted on at most ``max_labelled`` labelled documents, drawn by hash; everything else sees all documents, the lexicon
 all labelled ones. The driver gets the lexicon (at most 500 words), weights, and the sums of each step.
 
-Null and empty texts have 0 tokens and a posterior like any text. A null id is not matched to labels. Without labels, or with
+Null and empty texts have 0 tokens, a posterior like any text, and rate 1, as they cannot move any total. A null id is not matched to labels. Without labels, or with
 one domain only, all posteriors are equal and every rate comes to about 1. Empty tables give an empty result. Targets must add up
 to more than 0; domains without tokens cannot meet theirs and are left short. Repeated rows are rated each by itself; repeated labels of an id
 count as the worst. Further columns pass through ``rated`` untouched.
@@ -22,7 +24,7 @@ count as the worst. Further columns pass through ``rated`` untouched.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,13 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 MAX_LABELLED = 10_000
 MAX_WORDS = 500
 TOLERANCE = 1e-4
-#: Keeps the multipliers finite where targets cannot be met; where they can, it shifts totals by this share of the multipliers.
-RIDGE = 1e-8
-#: The parts of a step that are tried in one pass.
-SIZES = tuple(4.0 * 0.5**x for x in range(24))
+#: No document is taken more often than this, however far the targets are.
+MAX_RATE = 2.0
+#: Keeps the weights of misses finite where domains cannot be told apart.
+RIDGE = 1e-6
+#: Steps between two tables of rates; movement of rates (root mean square by tokens) that ends the steps.
+WRITE_EVERY = 12
+STILL = 1e-4
 
 _LOG = logging.getLogger(__name__)
 
@@ -97,7 +102,7 @@ def featured(docs: DataFrame, words: list[str]) -> DataFrame:
 
 def posteriors(docs: DataFrame, domains: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The columns of docs beside text, n_tokens, and the posterior p as array<double>; domains: doc_id, domain."""
-    labelled = docs.select("doc_id", "text").join(domains, "doc_id")
+    labelled = written(lexicon.labelled_texts(docs.select("doc_id", "text"), domains), "mixing-labelled")
     words: list[str] = []
     for found in lexicon.found_by_kind(labelled.select("text", F.col("domain").alias("kind")), len(DOMAINS), MAX_WORDS // 2)[1:]:
         words += [w for w in found if w not in words]
@@ -115,56 +120,86 @@ def posteriors(docs: DataFrame, domains: DataFrame, max_labelled: int = MAX_LABE
     return map_steps(rows, predict, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "p array<double>"]))
 
 
-def rates(p: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rates of documents for the domains' multipliers, and what is projected on 0 or more to give them."""
-    free = 1 - p @ multipliers
-    return np.maximum(0.0, free), free
+def replayed(
+    p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, steps: list[tuple[np.ndarray, float]], most: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rates after some steps, those before the last one, and where the last one started.
 
+    A step is the weighted miss and the part of the last movement that is added for the start of the next step; ahead is where the first starts.
+    """
+    before = start = rate
+    for pull, momentum in steps:
+        before, start = rate, ahead
+        rate = np.clip(start - p @ pull, 0.0, most)
+        ahead = rate + momentum * (rate - before)
+    return rate, before, start
 
-def fitted(members: DataFrame, targets: list[float], tolerance: float = TOLERANCE) -> np.ndarray:
-    """The multipliers that bring expected domain totals to the targets, or as near as they come. members: n_tokens, p."""
-    members = members.select("n_tokens", "p").filter("n_tokens > 0")
-    total = members.agg(F.sum("n_tokens")).first()[0]
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """tokens, p, rate, ahead."""
+    p = np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1)
+    return np.asarray(batch.column("n_tokens"), float), p, np.asarray(batch.column("rate")), np.asarray(batch.column("ahead"))
+
+
+def with_rates(rows: DataFrame, steps: list[tuple[np.ndarray, float]], most: float) -> DataFrame:
+    """The rows, which have rate and ahead, after further steps. Rows without tokens keep their rate."""
+    kept = [f for f in rows.schema if f.name not in ("rate", "ahead")]
+
+    def apply(batch: pa.RecordBatch) -> dict[str, object]:
+        tokens, p, rate, ahead = _columns(batch)
+        new, before, _ = replayed(p, rate, ahead, steps, most)
+        further = new + (steps[-1][1] if steps else 0.0) * (new - before)
+        return {"rate": np.where(tokens > 0, new, rate), "ahead": np.where(tokens > 0, further, ahead)} | {f.name: batch.column(f.name) for f in kept}
+
+    return map_steps(rows, apply, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "rate double, ahead double"]))
+
+
+def fitted(members: DataFrame, targets: list[float], max_rate: float = MAX_RATE, tolerance: float = TOLERANCE) -> DataFrame:
+    """members (n_tokens, p and further columns) with the rates that bring expected domain totals to the targets, or as near as they come."""
+    rows = written(members.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)}), "mixing-rates")
     aim = np.array(targets) / sum(targets)
     k = len(aim)
+    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     if not total:
-        return np.zeros(k)
-    names = [f"s{x}" for x in range(1 + k + k * k)]
+        return rows.drop("ahead")
 
-    def sums_at(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """At each point the value, gradient and curvature of the function to be made least, in one pass."""
+    def summed(steps: list[tuple[np.ndarray, float]], add: Callable[..., np.ndarray], n: int) -> np.ndarray:
+        """n sums over all documents, by tokens, of what add makes of them."""
+        names = [f"s{x}" for x in range(n)]
 
-        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(points), len(names)))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(n)
             for batch in batches:
                 if batch.num_rows:
-                    p = np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1)
-                    tokens = np.asarray(batch.column("n_tokens"), float)
-                    for of, point in zip(sums, points, strict=True):
-                        rate = rates(p, point)[0]
-                        of[0] += tokens @ (rate * rate) / 2
-                        of[1 : 1 + k] += (tokens * rate) @ p
-                        of[1 + k :] += ((tokens * (rate > 0))[:, None] * p).T.dot(p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points))), *(pa.array(x) for x in sums.T)], names=["point", *names])
-
-        parts = members.mapInArrow(add_up, "point long, " + ", ".join(f"{x} double" for x in names))
-        found = {r["point"]: np.array(r[1:]) / total for r in parts.groupBy("point").agg(*(F.sum(x).alias(x) for x in names)).collect()}
-        return [
-            (s[0] + at @ aim + RIDGE / 2 * at @ at, aim - s[1 : 1 + k] + RIDGE * at, s[1 + k :].reshape(k, k) + RIDGE * np.eye(k))
-            for at, s in ((at, found[x]) for x, at in enumerate(points))
-        ]
-
-    at = np.zeros(k)
-    value, gradient, curvature = sums_at([at])[0]
-    while np.abs(gradient).max() > tolerance / 10:
-        step = np.linalg.solve(curvature, gradient)
-        points = [at - size * step for size in SIZES]
-        tried = sums_at(points)
-        best = min(range(len(points)), key=lambda x: tried[x][0])
-        if tried[best][0] >= value:  # as near as floating point comes
+                    tokens, p, rate, ahead = _columns(batch)
+                    sums += add(tokens, p, *replayed(p, rate, ahead, steps, max_rate))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=names)
+
+        parts = rows.select("n_tokens", "p", "rate", "ahead").mapInArrow(run, ", ".join(f"{x} double" for x in names))
+        return np.array(parts.agg(*(F.sum(x) for x in names)).first()) / total
+
+    moments = summed([], lambda tokens, p, *_: ((tokens[:, None] * p).T @ p).ravel(), k * k).reshape(k, k)
+    weight = np.linalg.inv(moments + RIDGE * np.eye(k))
+
+    def measure(tokens: np.ndarray, p: np.ndarray, rate: np.ndarray, before: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return np.array([*(tokens * rate) @ p, tokens @ ((start - rate) * (rate - before)), tokens @ np.square(rate - start)])
+
+    steps: list[tuple[np.ndarray, float]] = []
+    shares = summed([], measure, k + 2)[:k]
+    start, pace = shares, 1.0
+    while np.abs(shares - aim).max() > tolerance:
+        pull = weight @ (start - aim)
+        found = summed([*steps, (pull, 0.0)], measure, k + 2)
+        new, uphill, moved = found[:k], found[k] > 0, found[k + 1]
+        faster = 1.0 if uphill else (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        momentum = 0.0 if uphill else (pace - 1) / faster
+        steps.append((pull, momentum))
+        start, shares, pace = new + momentum * (new - shares), new, faster
+        if moved < STILL * STILL:
             break
-        at, (value, gradient, curvature) = points[best], tried[best]
-    return at
+        if len(steps) == WRITE_EVERY:
+            rows, steps = written(with_rates(rows, steps, max_rate), "mixing-rates"), []
+    return with_rates(rows, steps, max_rate).drop("ahead")
 
 
 def missed(rated: DataFrame, targets: dict[str, float] | None = None) -> dict[str, float]:
@@ -174,18 +209,10 @@ def missed(rated: DataFrame, targets: dict[str, float] | None = None) -> dict[st
     return {d: sums[d] / sums["n"] - targets[d] / sum(targets.values()) for d in DOMAINS} if sums["n"] else {}
 
 
-def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = MAX_RATE) -> DataFrame:
     """The columns of docs beside text, n_tokens, p, rate. Targets that are missed are logged, with the miss of each domain."""
     targets = targets or TARGETS
-    members = written(posteriors(docs, labelled_domains(labels)), "mixing-posteriors")
-    multipliers = fitted(members, [targets[d] for d in DOMAINS])
-    kept = list(members.schema)
-
-    def rate(batch: pa.RecordBatch) -> dict[str, list]:
-        p = np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1)
-        return {"rate": rates(p, multipliers)[0]} | {f.name: batch.column(f.name) for f in kept}
-
-    out = map_steps(members, rate, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "rate double"]))
+    out = written(fitted(posteriors(docs, labelled_domains(labels)), [targets[d] for d in DOMAINS], max_rate), "mixing-rated")
     miss = missed(out, targets)
     if any(abs(x) > TOLERANCE for x in miss.values()):
         _LOG.warning("domain shares miss their targets by %s", ", ".join(f"{d} {x:+.5f}" for d, x in miss.items()))
