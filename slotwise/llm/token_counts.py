@@ -65,11 +65,24 @@ class Rollup:
         return self._batches().select(F.explode("covers").alias("batch_id")).distinct()
 
     def commit(self, batch_id: str, changes: DataFrame) -> None:
-        """Add a batch. Committing it again changes nothing."""
-        if self.covered().filter(F.col("batch_id") == batch_id).head(1):
+        """Add a batch. Committing it again changes nothing.
+
+        A batch is one file, which appears by the rename that ends its write. A folder that holds it is never written again,
+        so a later attempt that fails cannot harm it; what an earlier attempt left without that file is replaced.
+        """
+        folder = f"{self.folder}/batches/{quote(batch_id, safe='')}"
+        if self._written(folder) or self.covered().filter(F.col("batch_id") == batch_id).head(1):
             return
         sums = deltas(changes).withColumn("covers", F.lit(None).cast("array<string>"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batches/{quote(batch_id, safe='')}")
+        sums.coalesce(1).write.mode("overwrite").parquet(folder)
+
+    def _written(self, folder: str) -> bool:
+        try:
+            return bool(self.spark.read.schema(DELTAS).parquet(folder).inputFiles())
+        except Exception as error:
+            if getattr(error, "getCondition", lambda: "")() != "PATH_NOT_FOUND":
+                raise
+            return False
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_documents, n_tokens."""

@@ -46,6 +46,20 @@ def test_rollup_of_signed_batches(spark, tmp_path):
     assert totals(folded)["s", "en", "v1"] == (3, 12 + 2**63)
 
 
+def test_a_failing_repeat_leaves_the_first_commit(spark, tmp_path):
+    rollup = token_counts.Rollup(spark, str(tmp_path / "a"))
+    rollup.commit("1", batch(spark, change("insert", 10)))
+    with pytest.raises(Exception, match="unknown kind"):
+        rollup.commit("2", batch(spark, change("insert", 5), change("unknown", 1)))
+    broken = batch(spark, change("insert", 10)).filter(F.raise_error(F.lit("lost")).isNull())
+    with pytest.raises(Exception, match="lost"):
+        broken.count()
+    rollup.commit("1", broken)  # sent again by a driver whose input is gone: the committed folder isn't touched
+    assert totals(rollup) == {("s", "en", "v1"): (1, 10)}
+    rollup.commit("2", batch(spark, change("insert", 5)))  # what the failed attempt left is replaced
+    assert totals(rollup) == {("s", "en", "v1"): (2, 15)}
+
+
 def test_components_of_chains_stars_and_rings(spark):
     name = lambda k: k.to_bytes(4, "big")
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 202), (202, 200)] + [(300, 300)]
@@ -154,6 +168,8 @@ def test_lines_of_a_hot_host_go_below_five_percent(spark):
     start = F.substring(prose, 1, 300)  # 60 words
     text = F.when(F.col("id") < 2050, F.concat(start, F.lit(f"\n{line[:60]}"))).when(F.col("id") < 2100, F.concat(F.substring(prose, 1, 50), F.lit(f"\n{line}"))).otherwise(start)
     docs = spark.range(42_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
+    judged = line_quality.judged(docs).filter("doc_id < 2100").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.min("removed_words").alias("removed")).first()
+    assert judged["kept"] == 2050 and judged["removed"] > 0
     out = line_quality.cleaned(docs).agg(F.count("*").alias("n"), F.sum(F.col("text").contains("rights").cast("int")).alias("held")).first()
     assert (out["n"], out["held"]) == (42_000 - 50, 0)
 
