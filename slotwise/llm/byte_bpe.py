@@ -2,7 +2,9 @@
 
 A text is cut by the vocabulary's pattern. Each distinct word is encoded once: its bytes, as an array of hex pieces, are folded
 by ranked merges. A step merges the leftmost adjacent pair of the lowest rank; the ranks of adjacent pairs are kept beside the
-pieces, so that a merge looks up two pairs only. The rank map is one constant value of the expression: an array of small maps by
+pieces, so that a merge looks up two pairs only. In longer words a step merges all pairs of the lowest rank from left to right, in one pass:
+if the bytes of every piece merge to that piece, which is checked of a vocabulary, a merge never makes a pair of that rank or below, as that
+pair's piece would have been whole by then. Other vocabularies merge long words pair by pair too. The rank map is one constant value of the expression: an array of small maps by
 checksum, since a map in an expression is searched from end to end. It comes from a one-row table by a scalar subquery, as a
 literal of that size would be printed in every description of the plan. Decoding puts the binary pieces of the ids together.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ SAMPLE_TEXTS = 20_000
 FREQUENT_WORDS = 100_000
 _SLOTS = 1 << 17
 _NONE = 2_147_483_647
+#: Bytes up to which a word is merged pair by pair.
+_SHORT = 128
 
 
 def _constant(one_row: DataFrame, name: str) -> Column:
@@ -78,6 +83,21 @@ class Vocabulary:
         if not all(bytes([b]) in self.ranks for b in range(256)):
             raise ValueError("a rank for every single byte is needed")
 
+    @cached_property
+    def regular(self) -> bool:
+        """Whether the bytes of every piece merge to that piece."""
+
+        def merges(piece: bytes) -> bool:
+            parts = [piece[k : k + 1] for k in range(len(piece))]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda k: self.ranks.get(parts[k] + parts[k + 1], _NONE))
+                if parts[best] + parts[best + 1] not in self.ranks:
+                    return False
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            return True
+
+        return all(map(merges, self.ranks))
+
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
         """A file of lines: piece in base 64, rank."""
@@ -116,6 +136,27 @@ class Vocabulary:
 
             return _let(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), put)
 
+        def every(state: Column) -> Column:
+            """The state after all pairs of its lowest rank have been merged from left to right, in one pass."""
+            pieces, n = state["pieces"], F.size(state["pieces"])
+            marks = F.array_join(F.transform(state["ranks"], lambda r: F.when(r == state["low"], "1").otherwise("0")), "")
+            # of overlapping pairs the first is merged; no pair starts at the last piece
+            chosen = F.split(F.concat(F.regexp_replace(marks, "11", "10"), F.lit("0")), "")
+
+            def put(chosen: Column) -> Column:
+                piece = lambda p, k: F.when(F.get(chosen, k) == "1", F.concat(p, F.get(pieces, k + 1))).when((k > 0) & (F.get(chosen, k - 1) == "1"), "").otherwise(p)
+                return _let(F.filter(F.transform(pieces, piece), lambda p: p != ""), ranked)
+
+            return F.when(n > 1, _let(chosen, put)).otherwise(state)
+
+        def ranked(pieces: Column) -> Column:
+            """pieces, the rank of each pair, and the lowest rank."""
+            ranks = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda b, k: pair(F.get(pieces, k), b))
+            return _let(ranks, lambda r: F.struct(pieces.alias("pieces"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(_NONE)).alias("low")))
+
+        def step_of_all(state: Column, _: Column) -> Column:
+            return F.when(state["low"] < _NONE, every(state)).otherwise(state)
+
         def step(state: Column, _: Column) -> Column:
             low = F.array_min(state["ranks"])
             more = lambda best: F.when(best < _NONE, _let(F.array_position(state["ranks"], best).cast("int"), lambda at: merged(state, at))).otherwise(state)
@@ -126,7 +167,10 @@ class Vocabulary:
             started = _let(pieces, lambda p: F.struct(p.alias("pieces"), F.transform(F.slice(p, 2, F.size(p)), lambda b, k: pair(F.get(p, k), b)).alias("ranks")))
             steps = F.sequence(F.lit(1), (F.length(code) / 2 - 1).cast("int"))
             folded = lambda s: F.aggregate(steps, s, step, lambda end: F.transform(end["pieces"], rank))
-            whole = lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(_let(started, folded))
+            rounds = F.sequence(F.lit(1), F.least((F.length(code) / 2 - 1).cast("int"), F.lit(len(self.ranks))))
+            folded_long = lambda s: F.aggregate(rounds, s, step_of_all, lambda end: F.transform(end["pieces"], rank))
+            long = F.length(code) > 2 * _SHORT
+            whole = lambda r: F.when(r.isNotNull(), F.array(r)).when(long & F.lit(self.regular), _let(_let(pieces, ranked), folded_long)).otherwise(_let(started, folded))
             return _let(rank(code), whole)
 
         return _let(F.hex(word.cast("binary")), fold)

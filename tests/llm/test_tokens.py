@@ -220,3 +220,17 @@ def test_large_groups_are_expanded_by_distinct_ids(monkeypatch):
     plain = counted()
     monkeypatch.setattr(alignment, "LARGE_GROUP", 2)
     assert counted() == plain
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "a", "ab", "éèê漢"])
+def test_long_words_equal_the_library(spark, letters):
+    """Words far beyond what is merged pair by pair: random letters, one letter, and letters of several bytes."""
+    import tiktoken
+
+    from slotwise.llm.queries import vocabulary
+
+    draw = random.Random(4)
+    words = ["".join(draw.choice(letters) for _ in range(n)) for n in (120, 129, 1000, 3000)]
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary().ranks, special_tokens={})
+    found = {r.word: r.ids for r in vocabulary().encoded_words(spark.createDataFrame([(w,) for w in words], "word string").repartition(4)).collect()}
+    assert all(found[w] == theirs.encode_ordinary(w) for w in words)
