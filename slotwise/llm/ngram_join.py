@@ -39,8 +39,8 @@ COORDINATES = 64
 DEPTH = 3
 SMALL = 64
 TARGET_RECALL = 0.999
-#: Sketches of a pair at the threshold agree less than this about once in 240,000 pairs (4.2e-6); such a link is lost.
-SKETCH_SHARE = 0.55
+#: Sketches of a pair at the threshold agree in fewer of the 64 places than this about once in 10 billion pairs; such a link is lost.
+SKETCH_SHARE = 0.45
 #: Shingles that a block may hold.
 BLOCK_SHINGLES = 2_000_000
 
