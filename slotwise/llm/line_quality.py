@@ -2,7 +2,7 @@
 
 A document is judged by rules on its own words, and by its lines. A line is normalised (lower case, digits as 0, white
 space as one blank) and hashed; for each host and line the distinct documents that hold it are counted. Lines held by more
-than ``min_documents`` documents and more than ``max_share`` of the host's documents are removed. A document that loses more
+than ``max_documents`` documents are removed, however many documents the host has. A document that loses more
 than ``max_removed`` of its words is depleted and rejected. With a share of 0 the limit is ``min_documents`` alone, at every size
 of the host: so ``cleaned``, where boilerplate of a large host is to go. ``judged`` keeps both limits by default, as its SQL does.
 
@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from slotwise.llm.common import map_steps, text_key, written
 
 MIN_WORDS = 50
-MIN_DOCUMENTS = 10
-MAX_SHARE = 0.05
+MAX_DOCUMENTS = 10
 MAX_REMOVED = 0.5
 
 SYMBOLS = b"#*$%&|<>"
@@ -40,8 +39,8 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
     """Words that lie in a window of so many words found twice or more, the first included."""
     if len(words) <= size:
         return 0
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     window, most = ids[: len(ids) - size + 1], len(numbers)
     for k in range(1, size):
         if most * len(numbers) >= 1 << 62:  # keep the codes within 64 bits
@@ -91,25 +90,21 @@ def profile(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(profiles: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """source, line: lines that more of the host's distinct documents hold than both limits allow."""
+def frequent_lines(profiles: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """source, line: lines that more of the host's distinct documents hold than the limit allows, however large the host is."""
     documents = profiles.groupBy("source", "key").agg(F.first("line_hashes").alias("line_hashes"))
-    per_host = documents.groupBy("source").agg(F.count("*").alias("n_documents"))
-    per_line = (
+    return (
         documents.select("source", F.explode(F.array_distinct("line_hashes")).alias("line"))
         .groupBy("source", "line")
         .agg(F.count("*").alias("n_holding"))
-        .filter(F.col("n_holding") > min_documents)
+        .filter(F.col("n_holding") > max_documents)
+        .select("source", "line")
     )
-    host = per_host.withColumnRenamed("source", "host")
-    return per_line.join(
-        host, per_line["source"].eqNullSafe(host["host"]) & (F.col("n_holding") > F.col("n_documents") * max_share)
-    ).select("source", "line")
 
 
-def removed_lines(profiles: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+def removed_lines(profiles: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """host, text, removed_words, removed_hashes: for each distinct text of a host what it loses, if anything."""
-    frequent = frequent_lines(profiles, min_documents, max_share).select(F.col("source").alias("of_host"), "line")
+    frequent = frequent_lines(profiles, max_documents).select(F.col("source").alias("of_host"), "line")
     lines = profiles.groupBy("source", "key").agg(
         F.first("line_hashes").alias("line_hashes"), F.first("line_words").alias("line_words")
     ).select("source", "key", F.inline(F.arrays_zip("line_hashes", "line_words")).alias("hash", "words"))
@@ -121,10 +116,10 @@ def removed_lines(profiles: DataFrame, min_documents: int = MIN_DOCUMENTS, max_s
     )
 
 
-def judged(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+def judged(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_removed: float = MAX_REMOVED) -> DataFrame:
     """One row for each document: its counts, the words and lines it loses, base_failed and kept."""
     profiles = written(profile(docs), "line-profiles")
-    lost = removed_lines(profiles, min_documents, max_share)
+    lost = removed_lines(profiles, max_documents)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = profiles.drop("line_hashes", "line_words").join(
         lost, F.col("source").eqNullSafe(F.col("lost_host")) & (F.col("key") == F.col("lost_key")), "left"
@@ -149,8 +144,8 @@ def _without_lines(batch: pa.RecordBatch) -> dict[str, list]:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without the lines of more than MIN_DOCUMENTS of their host's; n_chars follows the text."""
-    verdicts = judged(docs, max_share=0.0).select(
+    """The documents that are kept, without the lines of more than MAX_DOCUMENTS of their host's; n_chars follows the text."""
+    verdicts = judged(docs).select(
         F.col("source").alias("of_host"), F.col("key").alias("of_key"), "kept", "removed_hashes"
     ).filter("kept").dropDuplicates(["of_host", "of_key"]).drop("kept")
     rows = docs.select("doc_id", "text", "lang", "source").join(

@@ -28,13 +28,8 @@ WITH docs AS (
   SELECT row_id, source, text, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) AS n,
          lower(regexp_replace(trim(regexp_replace(raw, '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')) AS line
   FROM lines
-), hosts AS (
-  SELECT source, count(DISTINCT text) AS n_documents FROM docs GROUP BY source
 ), frequent AS (
-  SELECT n.source, n.line
-  FROM normal n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source
-  GROUP BY n.source, n.line, h.n_documents
-  HAVING count(DISTINCT n.text) > {line_quality.MIN_DOCUMENTS} AND count(DISTINCT n.text) > h.n_documents * {line_quality.MAX_SHARE}
+  SELECT source, line FROM normal GROUP BY source, line HAVING count(DISTINCT text) > {line_quality.MAX_DOCUMENTS}
 ), removed AS (
   SELECT n.row_id, sum(n.n) AS removed_words
   FROM normal n JOIN frequent f ON n.source IS NOT DISTINCT FROM f.source AND n.line = f.line
