@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 40
+#: Tasks of a round; the rows are a bounded number.
+TASKS = 4
 RATE = 0.5
 DECAY = 1e-4
 

@@ -69,7 +69,7 @@ def style(text: str, words: list[bytes]) -> list[float]:
         1 - len(set(lines)) / max(len(lines), 1),
         repeated_words(words) / n,
         len(set(words)) / n,
-        sum(len(w) > 30 for w in words) / n,
+        np.count_nonzero(np.fromiter(map(len, words), np.int64, len(words)) > 30) / n,
     ]
 
 
@@ -108,7 +108,8 @@ def posteriors(docs: DataFrame, domains: DataFrame, max_labelled: int = MAX_LABE
         words += [w for w in found if w not in words]
     sample = lexicon.bounded(labelled, max_labelled, "doc_id")
     aim = F.array(*((F.col("domain") == k).cast("double") for k in range(len(DOMAINS))))
-    train = written(featured(sample, words).select("index", "value", aim.alias("aim")), "mixing-training")
+    train = featured(sample, words).select("index", "value", aim.alias("aim"))
+    train = written(train.repartition(linear.TASKS), "mixing-training")
     weights = linear.fitted(train, len(STYLE) + len(words), len(DOMAINS), rounds=60)
     rows = featured(docs, words)
     kept = [f for f in rows.schema if f.name not in ("index", "value")]
