@@ -1,17 +1,17 @@
-"""Byte-level BPE: encoding and decoding with the ranks of a given vocabulary, by Spark's higher-order functions.
+"""Byte-level BPE: encoding and decoding with the ranks of a given vocabulary; Spark's higher-order functions fold the merges.
 
-A text is cut by the vocabulary's pattern. Each distinct word is encoded once: its bytes, as an array of hex pieces, are folded
-by ranked merges. A step merges the leftmost adjacent pair of the lowest rank; the ranks of adjacent pairs are kept beside the
-pieces, so that a merge looks up two pairs only. In longer words a step merges all pairs of the lowest rank from left to right, in one pass:
-if the bytes of every piece merge to that piece, which is checked of a vocabulary, a merge never makes a pair of that rank or below, as that
-pair's piece would have been whole by then. Other vocabularies merge long words pair by pair too. The rank map is one constant value of the expression: an array of small maps by
-checksum, since a map in an expression is searched from end to end. It comes from a one-row table by a scalar subquery, as a
-literal of that size would be printed in every description of the plan. Decoding puts the binary pieces of the ids together.
+A text is cut by the vocabulary's pattern. A word is an array of the ids of its bytes, folded by ranked merges: a step merges the
+leftmost adjacent pair of the lowest rank; the ranks of adjacent pairs are kept beside the ids, so that a merge looks up two pairs
+only. The rank map, from pairs of ids to the id of the piece they make, is one constant value of the expression: an array of small
+maps by a hash of the pair, since a map in an expression is searched from end to end. It comes from a one-row table by a scalar
+subquery, as a literal of that size would be printed in every description of the plan. Decoding puts the binary pieces of the ids
+together.
 
-Words that are frequent in a bounded sample of documents are encoded first and become such a map too; it is a cache, and
-results don't depend on it. The occurrences of all other words are joined with the encodings of the distinct words, and come
-back to their text by its key; copies of a text meet in the same task and count once there. The maps are of a fixed
-size; all else is shuffled.
+Words are counted over all texts. Those of the highest counts (``FREQUENT_WORDS`` at most, of ``CACHED_BYTES`` at most, and never
+words that occur once) are folded once and broadcast; results don't depend on which they are. All other words are folded where
+they stand, once for each text that holds them: no text, word or id is shuffled for it, only counts are, and a word or text that
+fills a third of the table costs no more than any other. Texts go through tasks in Arrow batches that cut them into words and put
+the ids in place. Words of more than ``FOLDED_BYTES`` bytes, for which a fold over arrays is quadratic, are merged in the task by a heap.
 
 Null texts count as empty: no ids. Repeated rows are encoded alike. Special tokens are ordinary text. Vocabularies whose ranks
 lack a single byte are refused.
@@ -20,56 +20,114 @@ lack a single byte are refused.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+import hashlib
+import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import text_key, written
+from slotwise.llm.common import map_steps, steps, written
+from slotwise.llm.encoders import TextEncoder, gathered
 
-SAMPLE_TEXTS = 20_000
-FREQUENT_WORDS = 100_000
+FREQUENT_WORDS = 1 << 19
+CACHED_BYTES = 64
+FOLDED_BYTES = 128
 _SLOTS = 1 << 17
-_NONE = 2_147_483_647
-#: Bytes up to which a word is merged pair by pair.
-_SHORT = 128
+_NONE = (1 << 63) - 1
+_FLUSH = 1_000_000
 
 
-def _constant(one_row: DataFrame, name: str) -> Column:
-    """The one value of a table, read once for each plan that uses it."""
-    return written(one_row, name).scalar()
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _map_of(entries: DataFrame, name: str) -> Column:
-    """key and value of a table of bounded size as a constant: small maps by the key's checksum."""
-    slot = (F.crc32(F.col("key").cast("binary")) % _SLOTS).alias("slot")
-    small = entries.groupBy(slot).agg(F.collect_list("key").alias("keys"), F.collect_list("value").alias("values"))
-    every = entries.sparkSession.range(_SLOTS).join(small, F.col("id") == F.col("slot"), "left")
-    sorted_slots = F.sort_array(F.collect_list(F.struct("id", "keys", "values")))  # keys and values of a slot come in one order
-    return _constant(every.agg(F.transform(sorted_slots, lambda x: F.map_from_arrays(x["keys"], x["values"])).alias("slots")), name)
+def _using(df: DataFrame, name: str, constant: Column, use: Callable[[Column], Column]) -> DataFrame:
+    """The rows with use(constant) as a column. The optimiser puts the subquery in place of its one mention."""
+    return df.withColumn("_constant", constant).withColumn(name, _let(F.col("_constant"), use)).drop("_constant")
 
 
-def _list_of(entries: DataFrame, name: str) -> Column:
-    """value by key, a number from 0, as a constant."""
-    last = entries.agg(F.max("key").alias("last")).first()["last"]
-    every = entries.sparkSession.range(last + 1).join(entries, F.col("id") == F.col("key"), "left")
-    return _constant(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]).alias("values")), name)
+def _lists(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
-def _using(df: DataFrame, name: str, constant: Column, use: Callable[[Column], Column]) -> DataFrame:
-    """The rows with use(constant) as a column. The optimiser puts the subquery in place of its one mention."""
-    return df.withColumn("_constant", constant).withColumn(name, _let(F.col("_constant"), use)).drop("_constant")
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
 
 
-def _look_up(slots: Column, key: Column) -> Column:
-    return F.element_at(F.get(slots, (F.crc32(key.cast("binary")) % _SLOTS).cast("int")), key)
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word: the adjacent pair of the lowest rank, leftmost first, taken from a heap until none has a rank."""
+    n = len(word)
+    ends, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
+    def offer(start: int) -> None:
+        middle = ends[start]
+        if middle < n and (rank := ranks.get(word[start : ends[middle]])) is not None:
+            heapq.heappush(heap, (rank, start, ends[middle]))
 
-def _let(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
+    for start in range(n):
+        offer(start)
+    while heap:
+        _, start, end = heapq.heappop(heap)
+        middle = ends[start]
+        if not middle or middle >= n or ends[middle] != end:
+            continue  # one of the two is no longer there as it was
+        ends[start], ends[middle] = end, 0
+        if end < n:
+            before[end] = start
+        offer(start)
+        if before[start] >= 0:
+            offer(before[start])
+    return [ranks[word[k:end]] for k, end in enumerate(ends) if end]
+
+
+class WordCodes(TextEncoder):
+    """Texts to the codes of their words: code gives any number of codes for a word."""
+
+    spaced = False
+
+    def __init__(self, pattern: str, code: Callable[[str], tuple[int, ...]]) -> None:
+        self.find, self.code = regex.compile(pattern).findall, code
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole([" " + w for w in words.to_pylist()])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [[k for word in self.find(text) for k in self.code(word)] for text in texts]
+
+
+class _Known(dict):
+    """Ids of words where they are known in the task; -1, -2, ... stand for the words in ``rare``, which are not."""
+
+    def __init__(self, ranks: dict[bytes, int], frequent: tuple) -> None:
+        super().__init__()
+        self.ranks, self.rare = ranks, []
+        self.places, self.ids, self.starts = frequent
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        code = word.encode()
+        if code in self.ranks:
+            ids = (self.ranks[code],)
+        elif word in self.places:
+            k = self.places[word]
+            ids = tuple(self.ids[self.starts[k] : self.starts[k + 1]].tolist())
+        elif len(code) > FOLDED_BYTES:
+            ids = tuple(merged(code, self.ranks))
+        else:
+            self.rare.append(code)
+            ids = (-len(self.rare),)
+        self[word] = ids
+        return ids
 
 
 @dataclass(frozen=True)
@@ -83,158 +141,183 @@ class Vocabulary:
         if not all(bytes([b]) in self.ranks for b in range(256)):
             raise ValueError("a rank for every single byte is needed")
 
-    @cached_property
-    def regular(self) -> bool:
-        """Whether the bytes of every piece merge to that piece."""
-
-        def merges(piece: bytes) -> bool:
-            parts = [piece[k : k + 1] for k in range(len(piece))]
-            while len(parts) > 1:
-                best = min(range(len(parts) - 1), key=lambda k: self.ranks.get(parts[k] + parts[k + 1], _NONE))
-                if parts[best] + parts[best + 1] not in self.ranks:
-                    return False
-                parts[best : best + 2] = [parts[best] + parts[best + 1]]
-            return True
-
-        return all(map(merges, self.ranks))
-
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
         """A file of lines: piece in base 64, rank."""
         with open(path, "rb") as lines:
             return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}, pattern)
 
-    def words(self, text: Column) -> Column:
-        """The matches of the pattern; its white space is that of Unicode."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + self.pattern), F.lit(0))
-
-    def pieces(self, spark: SparkSession) -> DataFrame:
-        """piece (hex), rank."""
-        rows = [(piece.hex().upper(), rank) for piece, rank in self.ranks.items()]
-        return written(spark.createDataFrame(rows, "piece string, rank int").coalesce(1), "bpe-pieces")
-
-    def encoded_words(self, words: DataFrame) -> DataFrame:
-        """The words of a table (word) with their ids: array<int>."""
-        ranks = _map_of(self.pieces(words.sparkSession).select(F.col("piece").alias("key"), F.col("rank").alias("value")), "bpe-ranks")
-        return _using(words, "ids", ranks, lambda table: self._encoded_word(F.col("word"), table))
-
-    def _encoded_word(self, word: Column, table: Column) -> Column:
-        rank = lambda piece: _look_up(table, piece)
-        pair = lambda a, b: F.coalesce(rank(F.concat(a, b)), F.lit(_NONE))
+    def byte_ids(self) -> np.ndarray:
+        return np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def merges(self, spark: SparkSession) -> Column:
+        """The id of what each pair of ids makes: small maps by a hash of the pair, in one constant value."""
+        ranks = self.ranks
+        made = [
+            (ranks[piece[:k]], ranks[piece[k:]], rank)
+            for piece, rank in ranks.items()
+            for k in range(1, len(piece))
+            if piece[:k] in ranks and piece[k:] in ranks
+        ]
+        left, right, rank = np.array(made, np.int64).reshape(-1, 3).T
+        slot = (left * 7919 + right) & (_SLOTS - 1)
+        order = np.argsort(slot, kind="stable")
+        offsets = np.searchsorted(slot[order], np.arange(_SLOTS + 1)).astype(np.int32)
+        maps = pa.MapArray.from_arrays(pa.array(offsets), pa.array(((left << 32) | right)[order]), pa.array(rank[order]))
+        one_row = pa.table({"slots": pa.ListArray.from_arrays(pa.array([0, _SLOTS], pa.int32()), maps)})
+        return written(spark.createDataFrame(one_row), "bpe-merges").scalar()
+
+    def folded(self, word: Column, table: Column) -> Column:
+        """The ids that a word, an array of the ids of its bytes, is merged to; table: as merges() gives it."""
+
+        def pair(a: Column, b: Column) -> Column:
+            small = F.get(table, (a * 7919 + b).bitwiseAND(F.lit(_SLOTS - 1)).cast("int"))
+            return F.coalesce(F.element_at(small, F.shiftleft(a, 32).bitwiseOR(b)), F.lit(_NONE))
+
+        def merge(state: Column, low: Column, at: Column) -> Column:
+            """at: the number of the pair from 1; what it makes has its rank as id."""
+            ids, ranks, none = state["ids"], state["ranks"], F.array().cast("array<bigint>")
+            left = F.when(at > 1, F.array(pair(F.get(ids, at - 2), low))).otherwise(none)
+            right = F.when(at + 1 < F.size(ids), F.array(pair(low, F.get(ids, at + 1)))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+                F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ids))).alias("ranks"),
+            )
 
-        def merged(state: Column, at: Column) -> Column:
-            """at: the number of the pair from 1."""
-            pieces, ranks = state["pieces"], state["ranks"]
-
-            def put(piece: Column) -> Column:
-                left = F.when(at > 1, F.array(pair(F.get(pieces, at - 2), piece))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at + 1 < F.size(pieces), F.array(pair(piece, F.get(pieces, at + 1)))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(pieces, 1, at - 1), F.array(piece), F.slice(pieces, at + 2, F.size(pieces))).alias("pieces"),
-                    F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(pieces))).alias("ranks"),
-                )
-
-            return _let(F.concat(F.get(pieces, at - 1), F.get(pieces, at)), put)
-
-        def every(state: Column) -> Column:
-            """The state after all pairs of its lowest rank have been merged from left to right, in one pass."""
-            pieces, n = state["pieces"], F.size(state["pieces"])
-            marks = F.array_join(F.transform(state["ranks"], lambda r: F.when(r == state["low"], "1").otherwise("0")), "")
-            # of overlapping pairs the first is merged; no pair starts at the last piece
-            chosen = F.split(F.concat(F.regexp_replace(marks, "11", "10"), F.lit("0")), "")
-
-            def put(chosen: Column) -> Column:
-                piece = lambda p, k: F.when(F.get(chosen, k) == "1", F.concat(p, F.get(pieces, k + 1))).when((k > 0) & (F.get(chosen, k - 1) == "1"), "").otherwise(p)
-                return _let(F.filter(F.transform(pieces, piece), lambda p: p != ""), ranked)
+        def step(state: Column, _: Column) -> Column:
+            place = lambda low: _let(F.array_position(state["ranks"], low).cast("int"), lambda at: merge(state, low, at))
+            return _let(F.array_min(state["ranks"]), lambda low: F.when(low < _NONE, place(low)).otherwise(state))
 
-            return F.when(n > 1, _let(chosen, put)).otherwise(state)
+        pairs = F.transform(F.slice(word, 2, F.size(word)), lambda b, k: pair(F.get(word, k), b))
+        start = F.struct(word.alias("ids"), pairs.alias("ranks"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), start, step, lambda end: end["ids"])
 
-        def ranked(pieces: Column) -> Column:
-            """pieces, the rank of each pair, and the lowest rank."""
-            ranks = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda b, k: pair(F.get(pieces, k), b))
-            return _let(ranks, lambda r: F.struct(pieces.alias("pieces"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(_NONE)).alias("low")))
+    def encoded_words(self, words: DataFrame) -> DataFrame:
+        """The words of a table (word) with their ids: array<bigint>. They are not cut by the pattern."""
+        ranks, byte_ids = words.sparkSession.sparkContext.broadcast(self.ranks), self.byte_ids()
+
+        def prepare(batch: pa.RecordBatch) -> dict[str, object]:
+            codes = [w.encode() for w in batch.column("word").to_pylist()]
+            known = [
+                [ranks.value[c]] if c in ranks.value else merged(c, ranks.value) if len(c) > FOLDED_BYTES else None for c in codes
+            ]
+            parts = [None if k is not None else byte_ids[np.frombuffer(c, np.uint8)] for c, k in zip(codes, known, strict=True)]
+            return {"word": batch.column("word"), "_known": known, "_bytes": parts}
+
+        rows = map_steps(words.select("word"), prepare, "word string, _known array<bigint>, _bytes array<bigint>")
+        rows = _using(rows, "_folded", self.merges(words.sparkSession), lambda table: F.when(F.col("_bytes").isNotNull(), self.folded(F.col("_bytes"), table)))
+        return rows.select("word", F.coalesce("_known", "_folded").alias("ids"))
+
+    def counted(self, docs: DataFrame) -> DataFrame:
+        """word, n: the words of all texts that are no pieces themselves and have CACHED_BYTES at most."""
+        ranks, pattern = docs.sparkSession.sparkContext.broadcast(self.ranks), self.pattern
+
+        class Numbers(dict):
+            def __missing__(self, word: str) -> tuple[int, ...]:
+                code = word.encode()
+                if code in ranks.value or len(code) > CACHED_BYTES:
+                    return ()
+                self[word] = number = (len(self),)
+                return number
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, n = Numbers(), np.zeros(0, np.int64)
+
+            def batch_of() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(n)], names=["word", "n"])
+
+            for batch in steps(batches):
+                codes, _ = WordCodes(pattern, numbers.__getitem__)(batch.column("text"))
+                more = np.bincount(codes, minlength=len(numbers))
+                more[: len(n)] += n
+                n = more
+                if len(numbers) > _FLUSH:
+                    yield batch_of()
+                    numbers, n = Numbers(), np.zeros(0, np.int64)
+            yield batch_of()
+
+        return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT_WORDS) -> Broadcast:
+    """The words with the highest counts, at most so many, with their ids: places by word, all ids, where those of a place start."""
+    # steps of an eighth of a doubling: few rows, whatever the counts
+    level = F.floor(F.log2("n") * 8).cast("int")
+    counts = written(vocabulary.counted(docs).filter("n > 1"), "bpe-words")
+    lowest, words = 1 << 30, 0
+    for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        words += row["words"]
+        if words > most:
+            break
+        lowest = row["level"]
+    spark = docs.sparkSession
+    best = counts.filter(level >= lowest).select("word").repartition(4 * spark.sparkContext.defaultParallelism, "word")
+    found = vocabulary.encoded_words(best).toArrow().combine_chunks()
+    lists = found.column("ids").combine_chunks()
+    ids = np.asarray(lists.flatten(), np.int64).astype(np.int32)
+    places = {word: k for k, word in enumerate(found.column("word").to_pylist())}
+    return spark.sparkContext.broadcast((places, ids, np.concatenate([[0], np.cumsum(_sizes(lists))])))
+
+
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int, finish: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """The documents without their text, with what finish makes of all ids of some texts and how many each text has."""
+    frequent = frequent_words(docs, vocabulary, most_frequent)
+    ranks, pattern, byte_ids = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks), vocabulary.pattern, vocabulary.byte_ids()
+    kept = [f for f in docs.schema if f.name != "text"]
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def cut(batch: pa.RecordBatch) -> dict[str, object]:
+        known = _Known(ranks.value, frequent.value)
+        codes, sizes = WordCodes(pattern, known.__getitem__)(batch.column("text"))
+        # words that are to be folded: each once for a text, numbered within it
+        is_rare = codes < 0
+        text = np.repeat(np.arange(len(sizes)), sizes)[is_rare]
+        n = max(1, len(known.rare))
+        pairs, of = np.unique(text * n + (-1 - codes[is_rare]), return_inverse=True)
+        first = np.searchsorted(pairs, np.arange(len(sizes) + 1) * n)
+        codes[is_rare] = first[text] - of - 1
+        lengths = np.fromiter(map(len, known.rare), np.int64, len(known.rare))
+        signs = gathered(np.frombuffer(b"".join(known.rare), np.uint8), np.cumsum(lengths) - lengths, lengths, pairs % n)
+        words = _lists(byte_ids[signs], lengths[pairs % n])
+        return {"_bpe_ids": _lists(codes, sizes), "_bpe_rare": _lists(words, np.diff(first))} | {f.name: batch.column(f.name) for f in kept}
+
+    def place(batch: pa.RecordBatch) -> dict[str, object]:
+        texts, rare = batch.column("_bpe_ids"), batch.column("_bpe_rare")
+        codes, sizes, words, n_rare = np.asarray(texts.flatten()), _sizes(texts), rare.flatten(), _sizes(rare)
+        lengths = _sizes(words)
+        is_rare = codes < 0
+        before = np.repeat(np.cumsum(n_rare) - n_rare, sizes)
+        word = before[is_rare] - 1 - codes[is_rare]
+        starts, counts = np.arange(len(codes)), np.ones(len(codes), np.int64)
+        starts[is_rare], counts[is_rare] = len(codes) + (np.cumsum(lengths) - lengths)[word], lengths[word]
+        ids = gathered(np.concatenate([codes, np.asarray(words.flatten())]), starts, counts, np.arange(len(codes)))
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+        return finish(ids, np.diff(ends, prepend=0)) | {f.name: batch.column(f.name) for f in kept}
+
+    comma = ", " if kept else ""
+    rows = map_steps(docs, cut, f"{names}{comma}_bpe_ids array<bigint>, _bpe_rare array<array<bigint>>")
+    fold = lambda table: F.transform("_bpe_rare", lambda word: vocabulary.folded(word, table))
+    rows = _using(rows, "_bpe_rare", vocabulary.merges(docs.sparkSession), fold)
+    return map_steps(rows, place, f"{names}{comma}{schema}")
 
-        def step_of_all(state: Column, _: Column) -> Column:
-            return F.when(state["low"] < _NONE, every(state)).otherwise(state)
 
-        def step(state: Column, _: Column) -> Column:
-            low = F.array_min(state["ranks"])
-            more = lambda best: F.when(best < _NONE, _let(F.array_position(state["ranks"], best).cast("int"), lambda at: merged(state, at))).otherwise(state)
-            return _let(low, more)
-
-        def fold(code: Column) -> Column:
-            pieces = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda k: F.substring(code, k, F.lit(2)))
-            started = _let(pieces, lambda p: F.struct(p.alias("pieces"), F.transform(F.slice(p, 2, F.size(p)), lambda b, k: pair(F.get(p, k), b)).alias("ranks")))
-            steps = F.sequence(F.lit(1), (F.length(code) / 2 - 1).cast("int"))
-            folded = lambda s: F.aggregate(steps, s, step, lambda end: F.transform(end["pieces"], rank))
-            rounds = F.sequence(F.lit(1), F.least((F.length(code) / 2 - 1).cast("int"), F.lit(len(self.ranks))))
-            folded_long = lambda s: F.aggregate(rounds, s, step_of_all, lambda end: F.transform(end["pieces"], rank))
-            long = F.length(code) > 2 * _SHORT
-            whole = lambda r: F.when(r.isNotNull(), F.array(r)).when(long & F.lit(self.regular), _let(_let(pieces, ranked), folded_long)).otherwise(_let(started, folded))
-            return _let(rank(code), whole)
-
-        return _let(F.hex(word.cast("binary")), fold)
-
-    def decoded(self, docs: DataFrame, ids: str, name: str) -> DataFrame:
-        """The rows with the bytes that ids stand for."""
-        pieces = _list_of(self.pieces(docs.sparkSession).select(F.col("rank").alias("key"), F.col("piece").alias("value")), "bpe-decoding")
-        return _using(docs, name, pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
-
-    def packed(self, docs: DataFrame, ids: str, name: str) -> DataFrame:
-        """The rows with ids as little-endian unsigned 32-bit integers."""
-        big = F.lpad(F.hex("rank"), 8, "0")
-        little = F.concat(*(F.substring(big, k, 2) for k in (7, 5, 3, 1)))
-        codes = _list_of(self.pieces(docs.sparkSession).select(F.col("rank").alias("key"), little.alias("value")), "bpe-packing")
-        return _using(docs, name, codes, lambda c: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(c, i)), "")))
-
-
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT_WORDS, sample_texts: int = SAMPLE_TEXTS) -> Column:
-    """Ids of words that are frequent in a sample of texts, drawn by hash: what the cache holds."""
-    n = docs.count()
-    if n > sample_texts:
-        docs = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * sample_texts / n))
-    words = docs.select(F.explode(vocabulary.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    best = words.filter((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(most).select("word")
-    codes = vocabulary.encoded_words(written(best, "bpe-frequent").repartition(32, "word"))
-    return _map_of(codes.select(F.col("word").alias("key"), F.col("ids").alias("value")), "bpe-cache")
+def encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """The documents with ``ids``, array<bigint>, in place of their text."""
+    return _encoded(docs.drop("ids"), vocabulary, most_frequent, lambda ids, sizes: {"ids": _lists(ids, sizes)}, "ids array<bigint>")
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUENT_WORDS) -> DataFrame:
-    """The documents with ``ids``: array<int>."""
-    known = frequent_words(docs, vocabulary, most_frequent)
-    words = vocabulary.words(F.col("text"))
-
-    def missing(table: Column) -> Column:
-        place = lambda w, k: F.when(_look_up(table, w).isNull(), F.struct(k.cast("int").alias("pos"), w.alias("word")))
-        return F.filter(F.transform(words, place), lambda x: x.isNotNull())
-
-    rare = _using(docs, "rare", known, missing).select(text_key(F.col("text")).alias("key"), "rare")
-    others = written(rare.select("key", F.inline("rare")), "bpe-others")
-    codes = vocabulary.encoded_words(others.select("word").distinct())
-    back = (
-        others.join(codes.withColumnRenamed("word", "of_word"), F.col("word") == F.col("of_word"))
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("pos", "ids")).alias("others"))
-        # keyed by other bytes than those it was grouped by, so that Spark may split a text with many copies
-        .select(F.hex("key").alias("of_key"), "others")
-    )
-
-    def there(table: Column) -> Column:
-        place = lambda w, k: _let(_look_up(table, w), lambda ids: F.when(ids.isNotNull(), F.struct(k.cast("int").alias("pos"), ids.alias("ids"))))
-        return F.filter(F.transform(words, place), lambda x: x.isNotNull())
-
-    every = lambda table: F.sort_array(F.concat(there(table), F.coalesce("others", F.array().cast("array<struct<pos:int,ids:array<int>>>"))))
-    rows = docs.join(back, F.hex(text_key(docs["text"])) == back["of_key"], "left")
-    return _using(rows, "ids", known, lambda table: F.flatten(F.transform(every(table), lambda x: x["ids"]))).drop("of_key", "others")
-
-
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUENT_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids as packed, and of the bytes they decode to."""
-    rows = encoded(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    rows = vocabulary.decoded(vocabulary.packed(rows, "ids", "packed"), "ids", "decoded")
-    return rows.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2("packed", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    pieces = docs.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in vocabulary.ranks.items()})
+
+    def digest(ids: np.ndarray, sizes: np.ndarray) -> dict[str, object]:
+        piece, ends = pieces.value.__getitem__, np.cumsum(sizes)
+        parts = [ids[end - size : end] for end, size in zip(ends, sizes, strict=True)]
+        return {
+            "n_tokens": sizes,
+            "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in parts],
+            "decoded_sha256": [hashlib.sha256(b"".join(map(piece, x.tolist()))).hexdigest() for x in parts],
+        }
+
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs.select("doc_id", "text"), vocabulary, most_frequent, digest, schema)

@@ -36,7 +36,7 @@ def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.
     return ids[np.repeat(starts[wanted] - begin, size) + np.arange(size.sum())]
 
 
-class _Encoder:
+class TextEncoder:
     """spaced: a space is put before each text."""
 
     pieces: list[bytes]
@@ -102,7 +102,7 @@ class ByteLevel:
         return ByteLevelEncoder(self, spaced)
 
 
-class ByteLevelEncoder(_Encoder):
+class ByteLevelEncoder(TextEncoder):
     def __init__(self, vocabulary: ByteLevel, spaced: bool) -> None:
         import tiktoken
 
@@ -163,7 +163,7 @@ class Pieces:
         return PieceEncoder(self)
 
 
-class PieceEncoder(_Encoder):
+class PieceEncoder(TextEncoder):
     spaced = True
 
     def __init__(self, vocabulary: Pieces) -> None:
