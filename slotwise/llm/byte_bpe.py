@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from slotwise.llm.common import map_steps, steps, written
 from slotwise.llm.encoders import TextEncoder, gathered
 
-FREQUENT_WORDS = 1 << 19
+FREQUENT_WORDS = 1 << 18
 CACHED_BYTES = 64
 FOLDED_BYTES = 128
 _SLOTS = 1 << 17
 _NONE = (1 << 63) - 1
-_FLUSH = 1_000_000
+_FLUSH = 300_000
+#: Bytes of text that a task cuts into words or puts in place at a time.
+_STEP = 2 << 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -226,7 +228,7 @@ class Vocabulary:
             def batch_of() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(n)], names=["word", "n"])
 
-            for batch in steps(batches):
+            for batch in steps(batches, _STEP):
                 codes, _ = WordCodes(pattern, numbers.__getitem__)(batch.column("text"))
                 more = np.bincount(codes, minlength=len(numbers))
                 more[: len(n)] += n
@@ -279,11 +281,11 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int, finish
         lengths = np.fromiter(map(len, known.rare), np.int64, len(known.rare))
         signs = gathered(np.frombuffer(b"".join(known.rare), np.uint8), np.cumsum(lengths) - lengths, lengths, pairs % n)
         words = _lists(byte_ids[signs], lengths[pairs % n])
-        return {"_bpe_ids": _lists(codes, sizes), "_bpe_rare": _lists(words, np.diff(first))} | {f.name: batch.column(f.name) for f in kept}
+        return {"_bpe_ids": _lists(codes.astype(np.int32), sizes), "_bpe_rare": _lists(words, np.diff(first))} | {f.name: batch.column(f.name) for f in kept}
 
     def place(batch: pa.RecordBatch) -> dict[str, object]:
         texts, rare = batch.column("_bpe_ids"), batch.column("_bpe_rare")
-        codes, sizes, words, n_rare = np.asarray(texts.flatten()), _sizes(texts), rare.flatten(), _sizes(rare)
+        codes, sizes, words, n_rare = np.asarray(texts.flatten(), np.int64), _sizes(texts), rare.flatten(), _sizes(rare)
         lengths = _sizes(words)
         is_rare = codes < 0
         before = np.repeat(np.cumsum(n_rare) - n_rare, sizes)
@@ -295,15 +297,15 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int, finish
         return finish(ids, np.diff(ends, prepend=0)) | {f.name: batch.column(f.name) for f in kept}
 
     comma = ", " if kept else ""
-    rows = map_steps(docs, cut, f"{names}{comma}_bpe_ids array<bigint>, _bpe_rare array<array<bigint>>")
+    rows = map_steps(docs, cut, f"{names}{comma}_bpe_ids array<int>, _bpe_rare array<array<bigint>>", _STEP)
     fold = lambda table: F.transform("_bpe_rare", lambda word: vocabulary.folded(word, table))
     rows = _using(rows, "_bpe_rare", vocabulary.merges(docs.sparkSession), fold)
-    return map_steps(rows, place, f"{names}{comma}{schema}")
+    return map_steps(rows, place, f"{names}{comma}{schema}", _STEP)
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUENT_WORDS) -> DataFrame:
-    """The documents with ``ids``, array<bigint>, in place of their text."""
-    return _encoded(docs.drop("ids"), vocabulary, most_frequent, lambda ids, sizes: {"ids": _lists(ids, sizes)}, "ids array<bigint>")
+    """The documents with ``ids``, array<int>, in place of their text."""
+    return _encoded(docs.drop("ids"), vocabulary, most_frequent, lambda ids, sizes: {"ids": _lists(ids.astype(np.int32), sizes)}, "ids array<int>")
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUENT_WORDS) -> DataFrame:

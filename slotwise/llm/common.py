@@ -67,6 +67,8 @@ def steps(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES) -> Iterator
         for column in batch.columns:
             if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
                 sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+            elif pa.types.is_list(column.type):
+                sizes += 8 * np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
         part = np.cumsum(sizes) // most
         bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows]
         for start, end in zip(bounds, bounds[1:], strict=False):
