@@ -35,16 +35,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import map_steps, steps, written
-from slotwise.llm.encoders import TextEncoder, gathered
+from slotwise.llm.encoders import UNCUT, TextEncoder, gathered
 
-FREQUENT_WORDS = 1 << 18
+FREQUENT_WORDS = 1 << 17
 CACHED_BYTES = 64
 FOLDED_BYTES = 128
 _SLOTS = 1 << 17
+#: Letters in every version of Unicode: such a part, with its space, is one word of a pattern that has letters as an alternative.
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ʯ]+$"
 _NONE = (1 << 63) - 1
-_FLUSH = 300_000
 #: Bytes of text that a task cuts into words or puts in place at a time.
-_STEP = 2 << 20
+_STEP = 4 << 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -98,12 +99,25 @@ class WordCodes(TextEncoder):
 
     def __init__(self, pattern: str, code: Callable[[str], tuple[int, ...]]) -> None:
         self.find, self.code = regex.compile(pattern).findall, code
+        self.alone = _LETTERS if r"| ?\p{L}+|" in pattern else "^$"
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = self.whole([" " + w for w in words.to_pylist()])
+        alone = pc.match_substring_regex(words, self.alone).to_pylist()
+        code, find = self.code, self.find
+        found = [code(w) if one else [k for x in find(w) for k in code(x)] for w, one in zip([" " + w for w in words.to_pylist()], alone, strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, list[str]]:
+        """What stands behind the single spaces that texts are cut at, and the words of all the rest."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, UNCUT)
+        lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        parts, first = lists.flatten(), np.zeros(len(lists.flatten()), bool)
+        first[np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()] = True
+        apart = texts.filter(odd).to_pylist() + parts.filter(pa.array(first)).to_pylist()
+        return parts.filter(pa.array(~first)), [w for text in apart for w in self.find(text)]
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [[k for word in self.find(text) for k in self.code(word)] for text in texts]
 
@@ -212,33 +226,28 @@ class Vocabulary:
 
     def counted(self, docs: DataFrame) -> DataFrame:
         """word, n: the words of all texts that are no pieces themselves and have CACHED_BYTES at most."""
-        ranks, pattern = docs.sparkSession.sparkContext.broadcast(self.ranks), self.pattern
-
-        class Numbers(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                code = word.encode()
-                if code in ranks.value or len(code) > CACHED_BYTES:
-                    return ()
-                self[word] = number = (len(self),)
-                return number
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers, n = Numbers(), np.zeros(0, np.int64)
-
-            def batch_of() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(n)], names=["word", "n"])
-
-            for batch in steps(batches, _STEP):
-                codes, _ = WordCodes(pattern, numbers.__getitem__)(batch.column("text"))
-                more = np.bincount(codes, minlength=len(numbers))
-                more[: len(n)] += n
-                n = more
-                if len(numbers) > _FLUSH:
-                    yield batch_of()
-                    numbers, n = Numbers(), np.zeros(0, np.int64)
-            yield batch_of()
-
-        return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        pattern, spark = self.pattern, docs.sparkSession
+        parts = counted_parts(docs.select("text"), pattern)
+        words = F.explode(F.regexp_extract_all("part", F.lit("(?U)" + pattern), F.lit(0))).alias("word")
+        counts = parts.select(words, "n").filter(F.octet_length("word") <= CACHED_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
+        whole = [piece.decode() for piece in self.ranks if piece.decode(errors="ignore").encode() == piece]
+        pieces = spark.createDataFrame(pa.table({"word": pa.array(whole, pa.string())}))
+        return counts.join(F.broadcast(pieces), "word", "left_anti")
+
+
+def counted_parts(docs: DataFrame, pattern: str) -> DataFrame:
+    """part, n: what texts are cut into at single spaces, each with its space, and how often it occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, _STEP):
+            parts, others = WordCodes(pattern, lambda _: ()).parts(batch.column("text"))
+            found = parts.value_counts()
+            spaced = pc.binary_join_element_wise("", found.field("values"), " ")
+            words = pa.concat_arrays([spaced.cast(pa.string()), pa.array(others, pa.string())])
+            n = pa.concat_arrays([found.field("counts"), pa.array(np.ones(len(others), np.int64))])
+            yield pa.RecordBatch.from_arrays([words, n], names=["part", "n"])
+
+    return docs.mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT_WORDS) -> Broadcast:

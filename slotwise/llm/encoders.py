@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 #: Characters that are white space to the byte-level vocabularies (Unicode's White_Space).
 _WHITE = "\t-\r \x85\xa0  -     　"
+#: Texts that are not cut at their spaces.
+UNCUT = f"[{_WHITE}] |[{_WHITE}]$|^$"
 #: Below U+0530 every version of Unicode has the same letters. Longer runs than 256 go to the encoder that is not quadratic.
 _NEW_LETTERS = "[^\x00-ԯ]"
 _LONG = r"\s{257}|\S{257}"
@@ -53,7 +55,7 @@ class TextEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has. Null texts count as empty."""
         texts = pc.fill_null(texts, "")
-        odd = np.asarray(pc.match_substring_regex(texts, f"[{_WHITE}] |[{_WHITE}]$|^$" + "|^ " * self.spaced))
+        odd = np.asarray(pc.match_substring_regex(texts, UNCUT + "|^ " * self.spaced))
         simple = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         parts, n_parts = simple.flatten(), np.diff(np.asarray(simple.offsets))
         apart = texts.filter(pa.array(odd)).to_pylist()
