@@ -234,3 +234,16 @@ def test_long_words_equal_the_library(spark, letters):
     theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary().ranks, special_tokens={})
     found = {r.word: r.ids for r in vocabulary().encoded_words(spark.createDataFrame([(w,) for w in words], "word string").repartition(4)).collect()}
     assert all(found[w] == theirs.encode_ordinary(w) for w in words)
+
+
+def test_a_very_long_word_ends_soon_and_equals_the_library():
+    import tiktoken
+
+    from slotwise.llm.byte_bpe import merged
+    from slotwise.llm.queries import vocabulary
+
+    draw, ranks = random.Random(5), vocabulary().ranks
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "éèê漢"):
+        word = "".join(draw.choice(letters) for _ in range(100_000))
+        assert merged(word.encode(), ranks) == theirs.encode_ordinary(word)
