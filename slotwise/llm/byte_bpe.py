@@ -45,7 +45,7 @@ _SLOTS = 1 << 17
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ʯ]+$"
 _NONE = (1 << 63) - 1
 #: Bytes of text that a task cuts into words or puts in place at a time.
-_STEP = 4 << 20
+_STEP = 2 << 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -104,7 +104,8 @@ class WordCodes(TextEncoder):
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         alone = pc.match_substring_regex(words, self.alone).to_pylist()
         code, find = self.code, self.find
-        found = [code(w) if one else [k for x in find(w) for k in code(x)] for w, one in zip([" " + w for w in words.to_pylist()], alone, strict=True)]
+        spaced = (" " + w for w in words.to_pylist())
+        found = [code(w) if one else [k for x in find(w) for k in code(x)] for w, one in zip(spaced, alone, strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
