@@ -7,8 +7,8 @@ maps by a hash of the pair, since a map in an expression is searched from end to
 subquery, as a literal of that size would be printed in every description of the plan. Decoding puts the binary pieces of the ids
 together.
 
-Words are counted over all texts. Those of the highest counts (``FREQUENT_WORDS`` at most, of ``CACHED_BYTES`` at most, and never
-words that occur once) are folded once and broadcast; results don't depend on which they are. All other words are folded where
+Words are counted over all texts. Those of the highest counts (about ``FREQUENT_WORDS`` at most, of ``CACHED_BYTES`` at most, and never
+words that occur once) are folded once and broadcast, as a table by hash; results don't depend on which they are. All other words are folded where
 they stand, once for each text that holds them: no text, word or id is shuffled for it, only counts are, and a word or text that
 fills a third of the table costs no more than any other. Texts go through tasks in Arrow batches that cut them into words and put
 the ids in place. Words of more than ``FOLDED_BYTES`` bytes, for which a fold over arrays is quadratic, are merged in the task by a heap.
@@ -34,18 +34,20 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import map_steps, steps, written
+from slotwise.llm.common import map_steps, mixed, steps, written
 from slotwise.llm.encoders import UNCUT, TextEncoder, gathered
 
-FREQUENT_WORDS = 1 << 17
+FREQUENT_WORDS = 1 << 20
 CACHED_BYTES = 64
 FOLDED_BYTES = 128
 _SLOTS = 1 << 17
 #: Letters in every version of Unicode: such a part, with its space, is one word of a pattern that has letters as an alternative.
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ʯ]+$"
 _NONE = (1 << 63) - 1
+#: Of the places in a word, for its hash.
+_FACTORS = mixed(np.arange(1, CACHED_BYTES + 1, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of text that a task cuts into words or puts in place at a time.
-_STEP = 2 << 20
+_STEP = 1 << 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -92,22 +94,44 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[k:end]] for k, end in enumerate(ends) if end]
 
 
+def _signs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of some words, and where each word starts and the last one ends."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def _hashed(signs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: sums of their bytes by factors of the places."""
+    place = np.arange(len(signs)) - np.repeat(starts[:-1], np.diff(starts))
+    sums = np.cumsum((signs + np.uint64(1)) * _FACTORS[place % len(_FACTORS)])
+    return np.diff(np.concatenate([np.zeros(1, np.uint64), sums])[starts])
+
+
 class WordCodes(TextEncoder):
-    """Texts to the codes of their words: code gives any number of codes for a word."""
+    """Texts to the codes of their words: code gives all codes of some words, and how many each word has."""
 
     spaced = False
 
-    def __init__(self, pattern: str, code: Callable[[str], tuple[int, ...]]) -> None:
+    def __init__(self, pattern: str, code: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> None:
         self.find, self.code = regex.compile(pattern).findall, code
         self.alone = _LETTERS if r"| ?\p{L}+|" in pattern else "^$"
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        alone = pc.match_substring_regex(words, self.alone).to_pylist()
-        code, find = self.code, self.find
-        spaced = (" " + w for w in words.to_pylist())
-        found = [code(w) if one else [k for x in find(w) for k in code(x)] for w, one in zip(spaced, alone, strict=True)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+        alone = pc.match_substring_regex(words, self.alone)
+        is_alone = np.asarray(alone)
+        others = [self.find(" " + w) for w in words.filter(pc.invert(alone)).to_pylist()]
+        n_words = np.ones(len(words), np.int64)
+        n_words[~is_alone] = [len(x) for x in others]
+        single = pc.binary_join_element_wise("", words.filter(alone), " ").cast(pa.string())
+        codes, sizes = self.code(pa.concat_arrays([single, pa.array(list(chain.from_iterable(others)), pa.string())]))
+        # the words of each part in order: those that stand alone first, then all others
+        of_alone = np.repeat(is_alone, n_words)
+        wanted = np.where(of_alone, np.cumsum(of_alone) - 1, len(single) + np.cumsum(~of_alone) - 1)
+        before, ends = np.concatenate([[0], np.cumsum(sizes[wanted])]), np.cumsum(n_words)
+        return gathered(codes, np.cumsum(sizes) - sizes, sizes, wanted), before[ends] - before[ends - n_words]
 
     def parts(self, texts: pa.Array) -> tuple[pa.Array, list[str]]:
         """What stands behind the single spaces that texts are cut at, and the words of all the rest."""
@@ -120,31 +144,97 @@ class WordCodes(TextEncoder):
         return parts.filter(pa.array(~first)), [w for text in apart for w in self.find(text)]
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [[k for word in self.find(text) for k in self.code(word)] for text in texts]
+        words = [self.find(text) for text in texts]
+        codes, sizes = self.code(pa.array(list(chain.from_iterable(words)), pa.string()))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, words)])]
+        return [codes[start:end].tolist() for start, end in zip(ends, ends[1:], strict=False)]
+
+
+@dataclass(frozen=True)
+class WordTable:
+    """The ids of words by the words' hashes, in order; where the ids of each start; the bytes of all pieces by id.
+
+    Ids that are found count only if they decode to the word itself, so words with the same hash are not mixed up.
+    """
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    pieces: Pieces
+
+    @classmethod
+    def of(cls, words: pa.Array, lists: pa.ListArray, pieces: Pieces) -> WordTable:
+        sizes, hashes = _sizes(lists), _hashed(*_signs(words))
+        order = np.argsort(hashes, kind="stable")
+        ids = gathered(np.asarray(lists.flatten()), np.cumsum(sizes) - sizes, sizes, order).astype(np.min_scalar_type(len(pieces.starts)))
+        return cls(hashes[order], ids, np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint32), pieces)
+
+    def find(self, signs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of the words that are there, all their ids, how many each has, and the numbers of those whose hash is another word's."""
+        hashes, none = _hashed(signs, starts), np.zeros(0, np.int64)
+        if not len(self.hashes):
+            return none, none, none, none
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.flatnonzero(self.hashes[at] == hashes)
+        first, lengths = self.starts[at[found]].astype(np.int64), np.diff(starts)[found]
+        sizes = self.starts[at[found] + 1] - first
+        ids = gathered(self.ids, first, sizes, np.arange(len(found))).astype(np.int64)
+        decoded, ends = self.pieces.decoded(ids, sizes)
+        if np.array_equal(np.diff(ends, prepend=0), lengths) and np.array_equal(decoded, gathered(signs, starts[found], lengths, np.arange(len(found)))):
+            return found, ids, sizes, none
+        same = np.array([
+            decoded[a:b].tobytes() == signs[starts[k] : starts[k + 1]].tobytes()
+            for k, a, b in zip(found, np.concatenate([[0], ends]), ends, strict=False)
+        ])
+        return found[same], ids[np.repeat(same, sizes)], sizes[same], found[~same]
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """The bytes of all pieces, and where those of each id start."""
+
+    signs: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> Pieces:
+        every = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            every[rank] = piece
+        return cls(np.frombuffer(b"".join(every), np.uint8), np.cumsum([0, *map(len, every)]))
+
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes that ids decode to, and where those of each text end; sizes: how many ids each text has."""
+        lengths = self.starts[ids + 1] - self.starts[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
+        return gathered(self.signs, self.starts[ids], lengths, np.arange(len(ids))), ends
 
 
-class _Known(dict):
+class _Known:
     """Ids of words where they are known in the task; -1, -2, ... stand for the words in ``rare``, which are not."""
 
-    def __init__(self, ranks: dict[bytes, int], frequent: tuple) -> None:
-        super().__init__()
-        self.ranks, self.rare = ranks, []
-        self.places, self.ids, self.starts = frequent
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        code = word.encode()
-        if code in self.ranks:
-            ids = (self.ranks[code],)
-        elif word in self.places:
-            k = self.places[word]
-            ids = tuple(self.ids[self.starts[k] : self.starts[k + 1]].tolist())
-        elif len(code) > FOLDED_BYTES:
-            ids = tuple(merged(code, self.ranks))
-        else:
-            self.rare.append(code)
-            ids = (-len(self.rare),)
-        self[word] = ids
-        return ids
+    def __init__(self, ranks: Broadcast, table: WordTable) -> None:
+        self.ranks, self.table, self.rare = ranks, table, {}
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        signs, starts = _signs(words)
+        found, ids, n_ids, mistaken = self.table.find(signs, starts)
+        missing = np.ones(len(words), bool)
+        missing[found] = False
+        missing, mistaken = np.flatnonzero(missing), set(mistaken.tolist())
+        others = [self.code(signs[starts[k] : starts[k + 1]].tobytes(), k in mistaken) for k in missing.tolist()]
+        sizes = np.concatenate([n_ids, np.fromiter(map(len, others), np.int64, len(others))])
+        codes = np.concatenate([ids, np.array([k for x in others for k in x], np.int64)])
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate([found, missing])] = np.arange(len(words))
+        return gathered(codes, np.cumsum(sizes) - sizes, sizes, order), sizes[order]
+
+    def code(self, word: bytes, mistaken: bool) -> tuple[int, ...]:
+        if mistaken and word in self.ranks.value:
+            return (self.ranks.value[word],)
+        if len(word) > FOLDED_BYTES:
+            return tuple(merged(word, self.ranks.value))
+        return (-1 - self.rare.setdefault(word, len(self.rare)),)
 
 
 @dataclass(frozen=True)
@@ -241,7 +331,7 @@ def counted_parts(docs: DataFrame, pattern: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, _STEP):
-            parts, others = WordCodes(pattern, lambda _: ()).parts(batch.column("text"))
+            parts, others = WordCodes(pattern, _signs).parts(batch.column("text"))
             found = parts.value_counts()
             spaced = pc.binary_join_element_wise("", found.field("values"), " ")
             words = pa.concat_arrays([spaced.cast(pa.string()), pa.array(others, pa.string())])
@@ -251,36 +341,40 @@ def counted_parts(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT_WORDS) -> Broadcast:
-    """The words with the highest counts, at most so many, with their ids: places by word, all ids, where those of a place start."""
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT_WORDS) -> WordTable:
+    """All pieces that are words and the words with the highest counts, about so many at most, with their ids."""
     # steps of an eighth of a doubling: few rows, whatever the counts
     level = F.floor(F.log2("n") * 8).cast("int")
     counts = written(vocabulary.counted(docs).filter("n > 1"), "bpe-words")
-    lowest, words = 1 << 30, 0
+    lowest, share, words = 0, 1.0, 0
     for row in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        lowest, share = row["level"], min(1.0, (most - words) / row["words"])
         words += row["words"]
-        if words > most:
+        if words >= most:
             break
-        lowest = row["level"]
     spark = docs.sparkSession
-    best = counts.filter(level >= lowest).select("word").repartition(4 * spark.sparkContext.defaultParallelism, "word")
-    found = vocabulary.encoded_words(best).toArrow().combine_chunks()
-    lists = found.column("ids").combine_chunks()
-    ids = np.asarray(lists.flatten(), np.int64).astype(np.int32)
-    places = {word: k for k, word in enumerate(found.column("word").to_pylist())}
-    return spark.sparkContext.broadcast((places, ids, np.concatenate([[0], np.cumsum(_sizes(lists))])))
+    # of the lowest level as many, drawn by hash, as there is room for
+    best = counts.filter((level > lowest) | ((level == lowest) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))))
+    best = best.select("word").repartition(4 * spark.sparkContext.defaultParallelism, "word")
+    found = vocabulary.encoded_words(best).select("word", F.col("ids").cast("array<int>")).toArrow().combine_chunks()
+    whole = {piece: rank for piece, rank in vocabulary.ranks.items() if piece.decode(errors="ignore").encode() == piece}
+    pieces = _lists(pa.array(list(whole.values()), pa.int32()), np.ones(len(whole), np.int64))
+    words = [pa.array([piece.decode() for piece in whole], pa.string()), *found.column("word").chunks]
+    lists = [pieces, *(x.cast(pieces.type) for x in found.column("ids").chunks)]
+    return WordTable.of(pa.concat_arrays(words), pa.concat_arrays(lists), Pieces.of(vocabulary.ranks))
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int, finish: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
     """The documents without their text, with what finish makes of all ids of some texts and how many each text has."""
-    frequent = frequent_words(docs, vocabulary, most_frequent)
-    ranks, pattern, byte_ids = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks), vocabulary.pattern, vocabulary.byte_ids()
+    context = docs.sparkSession.sparkContext
+    frequent, ranks = context.broadcast(frequent_words(docs, vocabulary, most_frequent)), context.broadcast(vocabulary.ranks)
+    pattern, byte_ids = vocabulary.pattern, vocabulary.byte_ids()
     kept = [f for f in docs.schema if f.name != "text"]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def cut(batch: pa.RecordBatch) -> dict[str, object]:
-        known = _Known(ranks.value, frequent.value)
-        codes, sizes = WordCodes(pattern, known.__getitem__)(batch.column("text"))
+        known = _Known(ranks, frequent.value)
+        codes, sizes = WordCodes(pattern, known)(batch.column("text"))
         # words that are to be folded: each once for a text, numbered within it
         is_rare = codes < 0
         text = np.repeat(np.arange(len(sizes)), sizes)[is_rare]
@@ -320,15 +414,15 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUE
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int = FREQUENT_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids as packed, and of the bytes they decode to."""
-    pieces = docs.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in vocabulary.ranks.items()})
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces.of(vocabulary.ranks))
 
     def digest(ids: np.ndarray, sizes: np.ndarray) -> dict[str, object]:
-        piece, ends = pieces.value.__getitem__, np.cumsum(sizes)
+        ends = np.cumsum(sizes)
         parts = [ids[end - size : end] for end, size in zip(ends, sizes, strict=True)]
         return {
             "n_tokens": sizes,
-            "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in parts],
-            "decoded_sha256": [hashlib.sha256(b"".join(map(piece, x.tolist()))).hexdigest() for x in parts],
+            "ids_sha256": [hashlib.sha256(x.astype("<u4").data).hexdigest() for x in parts],
+            "decoded_sha256": [hashlib.sha256(pieces.value.decoded(x, np.array([len(x)]))[0].data).hexdigest() for x in parts],
         }
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -247,3 +247,27 @@ def test_a_very_long_word_ends_soon_and_equals_the_library():
     for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "éèê漢"):
         word = "".join(draw.choice(letters) for _ in range(100_000))
         assert merged(word.encode(), ranks) == theirs.encode_ordinary(word)
+
+
+@pytest.mark.parametrize("hashes", ["own", "all the same"])
+def test_frequent_words_fill_the_table_and_are_told_apart(spark, monkeypatch, hashes):
+    """Words with equal counts are taken as far as there is room, and words whose hashes are the same get their own ids."""
+    from slotwise.llm import byte_bpe
+    from slotwise.llm.queries import vocabulary
+
+    if hashes != "own":
+        monkeypatch.setattr(byte_bpe, "_hashed", lambda signs, starts: np.zeros(len(starts) - 1, np.uint64))
+    words = [f"{a}{b}{c}zq" for a in ("schau", "qué", "wer") for b in ("ton", "lé", "xkv") for c in ("bei", "ñor", "wz")]
+    docs = documents(spark, [(k, " ".join(words), "en", "s") for k in range(2)])
+    table = byte_bpe.frequent_words(docs, vocabulary(), most=len(words) // 2)
+    whole = sum(piece.decode(errors="ignore").encode() == piece for piece in vocabulary().ranks)
+    assert 0 < len(table.hashes) - whole < len(words)
+    known = byte_bpe._Known(spark.sparkContext.broadcast(vocabulary().ranks), byte_bpe.frequent_words(docs, vocabulary()))
+    texts = pa.array([" " + w for w in [*words[1:], "the", "nowhere-seen"]])
+    codes, sizes = known(texts)
+    ends = np.cumsum(sizes)
+    ranks = vocabulary().ranks
+    for word, end, size in zip(texts.to_pylist(), ends, sizes, strict=True):
+        if codes[end - size] >= 0:
+            assert codes[end - size : end].tolist() == byte_bpe.merged(word.encode(), ranks)
+    assert len(known.rare) == 1 if hashes == "own" else len(known.rare) >= 1
