@@ -71,29 +71,32 @@ def bounded(labelled: DataFrame, most: int, *keys: str) -> DataFrame:
     return labelled.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-#: Bits by which documents without a label are told; 2 MB for any number of labels.
+#: Bits by which rows without a wanted key are told; 2 MB for any number of keys.
 _BITS = 1 << 24
 _PART_BITS = 1 << 15
 
 
-def _bit(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(_BITS))
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_BITS))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text) joined with labels on doc_id, as shuffled rows at every size.
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the wanted ones, and a few others that share a bit with one.
 
-    Texts without a label do not enter the shuffle, but for a few whose ids share a bit with a labelled one: the labelled ids' hashes set bits
-    of a map of fixed size, which is broadcast.
+    The wanted keys' hashes set bits of a map of fixed size, which is broadcast, so that no other row enters a later shuffle.
     """
     part = F.call_function("div", F.col("_bit"), F.lit(_PART_BITS))
-    bits = labels.select(_bit(F.col("doc_id")).alias("_bit")).groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(F.col("_bit") % _PART_BITS).alias("_bits"))
+    bits = wanted.select(_bit(F.col(key)).alias("_bit")).groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(F.col("_bit") % _PART_BITS).alias("_bits"))
     at = F.col("_bit") % _PART_BITS
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.call_function("div", at, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    rows = docs.filter("doc_id IS NOT NULL").withColumn("_bit", _bit(F.col("doc_id"))).withColumn("_part", part)
-    rows = rows.join(F.broadcast(bits), "_part").filter(is_set).select(*docs.columns)
-    return rows.join(labels.hint("merge"), "doc_id")
+    found = rows.withColumn("_bit", _bit(F.col(key))).withColumn("_part", part)
+    return found.join(F.broadcast(bits), "_part").filter(is_set).select(*rows.columns)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text) joined with labels on doc_id, as shuffled rows at every size. Texts without a label do not enter the shuffle."""
+    return likely(docs.filter("doc_id IS NOT NULL"), labels, "doc_id").join(labels.hint("merge"), "doc_id")
 
 
 def marked_labels(labels: DataFrame, mark: Column) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from slotwise.llm import pairs
 from slotwise.llm.common import WordHashes, map_steps, mixed, text_key, written
+from slotwise.llm.lexicon import likely
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -208,8 +209,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float =
     flagged = written(_flagged(pairs.blocked(members).join(payload, "item")), "flagged").dropDuplicates(["bucket", "item"])
 
     # only the classes that are left fetch their shingles, from one text each
-    wanted = flagged.select("item").distinct().join(classes.select("item", "text_key"), "item")
-    texts = docs.select(text_key(F.col("text")).alias("text_key"), "text").dropDuplicates(["text_key"]).join(wanted, "text_key").select("item", "text")
+    wanted = written(flagged.select("item").distinct().join(classes.select("item", "text_key"), "item"), "wanted")
+    texts = likely(docs.select(text_key(F.col("text")).alias("text_key"), "text"), wanted, "text_key")
+    texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key").select("item", "text")
     known = {}
 
     def tokens_of(batch: pa.RecordBatch) -> dict[str, list]:
