@@ -175,7 +175,7 @@ def _flagged(members: DataFrame) -> DataFrame:
     """Of a bucket's items those with a partner that their sketches allow and that no earlier bucket has."""
 
     def flag(batches):
-        for batch in pairs.groups(batches):
+        for batch in batches:
             rows, others = pairs.candidate_pairs(batch)
             if not len(rows):
                 continue
@@ -186,9 +186,7 @@ def _flagged(members: DataFrame) -> DataFrame:
             if len(there):
                 yield batch.select(["bucket", "item", "copies", "n_tokens", "sketch", "buckets"]).take(pa.array(there))
 
-    return pairs.by_group(members).mapInArrow(
-        flag, "bucket long, item binary, copies long, n_tokens int, sketch binary, buckets array<long>"
-    )
+    return pairs.compared(members, flag, "bucket long, item binary, copies long, n_tokens int, sketch binary, buckets array<long>")
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
@@ -206,7 +204,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float =
     members = written(leaves(classes, threshold, target_recall, depth, small), "leaves")
     own = members.groupBy("item").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
     payload = classes.select("item", "copies", "n_tokens", "sketch").join(own, "item")
-    flagged = written(_flagged(pairs.blocked(members).join(payload, "item")), "flagged").dropDuplicates(["bucket", "item"])
+    flagged = written(_flagged(pairs.dealt(members).join(payload, "item")), "flagged").dropDuplicates(["bucket", "item"])
 
     # only the classes that are left fetch their shingles, from one text each
     wanted = written(flagged.select("item").distinct().join(classes.select("item", "text_key"), "item"), "wanted")
@@ -219,8 +217,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float =
         return {"item": batch.column("item"), "tokens": [shingles(t.encode().split(), hashes).tobytes() for t in batch.column("text").to_pylist()]}
 
     tokens = written(map_steps(texts, tokens_of, "item binary, tokens binary"), "tokens")
-    rows = pairs.blocked(flagged.select("bucket", "item", F.col("n_tokens").alias("load")), most_load=BLOCK_SHINGLES)
-    rows = rows.join(flagged.drop("n_tokens"), ["bucket", "item"]).join(tokens, "item")
+    rows = pairs.dealt(flagged.withColumnRenamed("n_tokens", "load"), most_load=BLOCK_SHINGLES).drop("load").join(tokens, "item")
 
     def verdict(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         fits = alike(batch, left, right)

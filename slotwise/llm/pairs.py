@@ -27,17 +27,55 @@ def blocked(members: DataFrame, block: int = BLOCK, most_load: int | None = None
     An item's block is drawn from its hash; a bucket of n items has ceil(n / block) blocks, or as many more as it takes for
     a block to hold at most ``most_load`` of what column load adds up to.
     """
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = dealt(members, block, most_load).withColumn("other", other)
+    return rows.select("bucket", "item", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
+
+
+def dealt(members: DataFrame, block: int = BLOCK, most_load: int | None = None) -> DataFrame:
+    """The members of buckets of two or more with blocks, how many blocks their bucket has, and own, the block they are in."""
     load = F.sum("load") / most_load if most_load else F.lit(0.0)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), load.alias("loads")).filter("size > 1")
     blocks = F.ceil(F.greatest(F.col("size") / block, F.col("loads"))).cast("int")
     own = F.pmod(F.xxhash64("item", "bucket"), F.col("blocks")).cast("int")
-    return (
-        members.join(sizes, "bucket")
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "item", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-    )
+    return members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("own", own).drop("size", "loads")
+
+
+def packed(members: DataFrame) -> DataFrame:
+    """bucket, left, right, packed: all members of a block (as dealt) as one row, for each pair of blocks that it takes part in."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups(batches, ("bucket", "own")):
+            columns = [c for c in batch.schema.names if c != "blocks"]
+            sink = pa.BufferOutputStream()
+            # members of a large bucket have much in common
+            with pa.ipc.new_stream(sink, batch.select(columns).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.select(columns))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(0, 1) for c in ("bucket", "own", "blocks")), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["bucket", "own", "blocks", "packed"],
+            )
+
+    rows = members.repartition("bucket", "own").sortWithinPartitions("bucket", "own").mapInArrow(pack, "bucket long, own int, blocks int, packed binary")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "packed")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run of equal (bucket, left, right) the members of its one or two blocks, with left and right."""
+    for batch in groups(batches):
+        rows = _joined([pa.ipc.open_stream(x.as_buffer()).read_next_batch() for x in batch.column("packed")])
+        for name in ("left", "right"):
+            rows = rows.append_column(name, pa.array(np.full(rows.num_rows, batch.column(name)[0].as_py(), np.int32)))
+        yield rows
+
+
+def compared(members: DataFrame, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What compare makes of the groups of members (as dealt): buckets of one block as they are, pairs of blocks of all others."""
+    whole = members.filter("blocks = 1").drop("blocks").withColumns({"left": F.lit(0), "right": F.lit(0)})
+    blocks = packed(members.filter("blocks > 1"))
+    found = by_group(whole).mapInArrow(lambda batches: compare(groups(batches)), schema)
+    return found.union(by_group(blocks).mapInArrow(lambda batches: compare(unpacked(batches)), schema))
 
 
 def by_group(df: DataFrame) -> DataFrame:
@@ -45,14 +83,14 @@ def by_group(df: DataFrame) -> DataFrame:
     return df.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("bucket", "left", "right")) -> Iterator[pa.RecordBatch]:
     """One batch for each run of equal (bucket, left, right)."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "left", "right")], axis=1)
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in by], axis=1)
         cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
         if held and tuple(keys[0]) != last:
             yield _joined(held)
@@ -123,12 +161,12 @@ def linked(
 ) -> DataFrame:
     """item, root, weight: partial results of every group; sum the weights and join the roots for the whole.
 
-    members: bucket, left, right, own, item (binary), copies (long), buckets (array<long>) and what ``verdict`` needs; it says
-    for pairs of rows whether they are linked.
+    members: bucket, left, right, own (or, as dealt, bucket, blocks, own), item (binary), copies (long), buckets (array<long>) and
+    what ``verdict`` needs; it says for pairs of rows whether they are linked.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches):
+        for batch in batches:
             rows, others = candidate_pairs(batch)
             if not len(rows):
                 continue
@@ -153,7 +191,10 @@ def linked(
                 names=["item", "root", "weight"],
             )
 
-    return written(by_group(members).mapInArrow(compare, "item binary, root binary, weight long"), name)
+    schema = "item binary, root binary, weight long"
+    if "blocks" in members.columns:
+        return written(compared(members, compare, schema), name)
+    return written(by_group(members).mapInArrow(lambda batches: compare(groups(batches)), schema), name)
 
 
 def components(edges: DataFrame) -> DataFrame:

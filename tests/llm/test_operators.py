@@ -3,10 +3,11 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.llm import embedding_dup, lexicon, line_quality, lm_score, mixing, ngram_join, token_counts, toxicity
+from slotwise.llm import embedding_dup, lexicon, line_quality, lm_score, mixing, ngram_join, pairs, token_counts, toxicity
 from slotwise.llm.pairs import components
 from tests.llm.conftest import ODD, documents, pseudo
 
@@ -201,3 +202,32 @@ def test_lexicons_come_from_all_labelled_documents(spark, monkeypatch):
     toxicity.scored(docs, marks, max_labelled=40)
     mixing.posteriors(docs.select("doc_id", "text"), marks.select("doc_id", (F.col("mark") * 2).alias("domain")), max_labelled=40)
     assert len(given) >= 2 and all("snarkwit" in words for words in given)
+
+
+def test_rows_of_cut_buckets_grow_with_blocks(spark):
+    """A bucket of many blocks has one row for each block and pair of blocks, and every pair of its items once."""
+    members = spark.range(3000).selectExpr("id % 2 * 5 + 1 AS bucket", "cast(cast(id AS string) AS binary) AS item").union(
+        spark.createDataFrame([(9, b"x"), (9, b"y"), (10, b"z")], "bucket long, item binary"))
+    dealt = pairs.dealt(members, 100)
+    assert dealt.count() == 3002
+    rows = pairs.packed(dealt.filter("blocks > 1"))
+    assert rows.count() == 2 * 15 * 15
+
+    def count(batches):
+        for batch in batches:
+            assert len({*batch.column("left").to_pylist()}) == 1
+            items, (first, second) = batch.column("item").to_pylist(), pairs.candidate_pairs(batch)
+            for i, j in zip(first.tolist(), second.tolist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([b"-".join(sorted([items[i], items[j]]))])], names=["pair"])
+
+    small = pairs.dealt(members.filter("bucket > 6 OR try_cast(cast(item AS string) AS int) < 100"), 10)
+    found = pairs.compared(small, count, "pair binary")
+    assert found.count() == found.distinct().count() == 2 * (50 * 49 // 2) + 1
+
+
+def test_only_rows_with_wanted_keys_go_on(spark):
+    """Binary keys, repeated ones too; of 5,000 other rows hardly any shares a bit with a wanted one."""
+    rows = spark.range(5050).selectExpr("unhex(md5(cast(id % 5040 AS string))) AS text_key", "id")
+    wanted = rows.filter("id < 40").select("text_key").distinct()
+    found = {r.id for r in lexicon.likely(rows, wanted, "text_key").collect()}
+    assert found >= {*range(40), *range(5040, 5050)} and len(found) < 100
