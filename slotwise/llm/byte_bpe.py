@@ -41,6 +41,8 @@ FREQUENT_WORDS = 1 << 20
 CACHED_BYTES = 64
 FOLDED_BYTES = 128
 _SLOTS = 1 << 17
+#: Words that the driver puts in order at a time.
+_MERGED = 1 << 16
 #: Letters in every version of Unicode: such a part, with its space, is one word of a pattern that has letters as an alternative.
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ʯ]+$"
 _NONE = (1 << 63) - 1
@@ -163,11 +165,13 @@ class WordTable:
     pieces: Pieces
 
     @classmethod
-    def of(cls, words: pa.Array, lists: pa.ListArray, pieces: Pieces) -> WordTable:
-        sizes, hashes = _sizes(lists), _hashed(*_signs(words))
-        order = np.argsort(hashes, kind="stable")
-        ids = gathered(np.asarray(lists.flatten()), np.cumsum(sizes) - sizes, sizes, order).astype(np.min_scalar_type(len(pieces.starts)))
-        return cls(hashes[order], ids, np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint32), pieces)
+    def of(cls, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, pieces: Pieces) -> WordTable:
+        """The words in any order: their hashes, how many ids each has, all ids. Put in order by a few words at a time, as temporary arrays are larger."""
+        order, sizes, kind = np.argsort(hashes, kind="stable"), sizes.astype(np.int64), np.min_scalar_type(len(pieces.starts))
+        before = np.cumsum(sizes) - sizes
+        parts = [gathered(ids, before, sizes, order[k : k + _MERGED]).astype(kind) for k in range(0, len(order), _MERGED)]
+        starts = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint32)
+        return cls(hashes[order], np.concatenate([np.zeros(0, kind), *parts]), starts, pieces)
 
     def find(self, signs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The numbers of the words that are there, all their ids, how many each has, and the numbers of those whose hash is another word's."""
@@ -356,12 +360,23 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT
     # of the lowest level as many, drawn by hash, as there is room for
     best = counts.filter((level > lowest) | ((level == lowest) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))))
     best = best.select("word").repartition(4 * spark.sparkContext.defaultParallelism, "word")
-    found = vocabulary.encoded_words(best).select("word", F.col("ids").cast("array<int>")).toArrow().combine_chunks()
+    hashed, kind = _hashed, np.min_scalar_type(max(vocabulary.ranks.values()))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = _sizes(batch.column("ids"))
+            columns = hashed(*_signs(batch.column("word"))), sizes.astype(np.uint8), np.asarray(batch.column("ids").flatten()).astype(kind)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["hashes", "sizes", "ids"])
+
+    parts = vocabulary.encoded_words(best).mapInArrow(pack, "hashes binary, sizes binary, ids binary").toArrow()
     whole = {piece: rank for piece, rank in vocabulary.ranks.items() if piece.decode(errors="ignore").encode() == piece}
-    pieces = _lists(pa.array(list(whole.values()), pa.int32()), np.ones(len(whole), np.int64))
-    words = [pa.array([piece.decode() for piece in whole], pa.string()), *found.column("word").chunks]
-    lists = [pieces, *(x.cast(pieces.type) for x in found.column("ids").chunks)]
-    return WordTable.of(pa.concat_arrays(words), pa.concat_arrays(lists), Pieces.of(vocabulary.ranks))
+
+    def column(name: str, own: np.ndarray) -> np.ndarray:
+        return np.concatenate([own, *(np.frombuffer(x.as_buffer(), own.dtype) for x in parts.column(name))])
+
+    hashes = column("hashes", _hashed(*_signs(pa.array([piece.decode() for piece in whole], pa.string()))))
+    sizes, ids = column("sizes", np.ones(len(whole), np.uint8)), column("ids", np.array(list(whole.values()), kind))
+    return WordTable.of(hashes, sizes, ids, Pieces.of(vocabulary.ranks))
 
 
 def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int, finish: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:

@@ -271,3 +271,21 @@ def test_frequent_words_fill_the_table_and_are_told_apart(spark, monkeypatch, ha
         if codes[end - size] >= 0:
             assert codes[end - size : end].tolist() == byte_bpe.merged(word.encode(), ranks)
     assert len(known.rare) == 1 if hashes == "own" else len(known.rare) >= 1
+
+
+def test_the_driver_holds_little_beside_the_table_of_words(spark):
+    """Words are hashed and packed in tasks; the driver's arrays stay near the size of the table, whatever the words' lengths."""
+    import tracemalloc
+
+    from slotwise.llm.byte_bpe import frequent_words
+    from slotwise.llm.queries import vocabulary
+
+    parts = "national government information international development university department association community president".split()
+    words = [" ".join(f"{a}{b}{c}{d}" for d in parts for c in parts) for a in parts for b in parts]
+    docs = documents(spark, [(k, text, "en", "s") for k, text in enumerate(words * 2)])
+    own = vocabulary()
+    tracemalloc.start()
+    table = frequent_words(docs, own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(table.hashes) > 58_000 and peak < 20e6
