@@ -14,7 +14,7 @@ fills a third of the table costs no more than any other. Texts go through tasks
 the ids in place. Words of more than ``FOLDED_BYTES`` bytes, for which a fold over arrays is quadratic, are merged in the task by a heap.
 
 Null texts count as empty: no ids. Repeated rows are encoded alike. Special tokens are ordinary text. Vocabularies whose ranks
-lack a single byte are refused.
+lack a single byte, or go beyond 28 bits, are refused.
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ _SLOTS = 1 << 17
 _MERGED = 1 << 16
 #: Letters in every version of Unicode: such a part, with its space, is one word of a pattern that has letters as an alternative.
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ʯ]+$"
-_NONE = (1 << 63) - 1
+#: A mark's bits: 28 of a rank, 7 of a place, 28 of an id. No pair has the rank _NONE.
+_RANK, _PLACE = 35, 28
+_NONE = (1 << 28) - 1
 #: Of the places in a word, for its hash.
 _FACTORS = mixed(np.arange(1, CACHED_BYTES + 1, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of text that a task cuts into words or puts in place at a time.
@@ -53,8 +55,8 @@ _STEP = 1 << 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
+    """use(value), with the value computed once: the end of a fold over nothing, for which Spark works out no type again for each row."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda state, _: state, use)
 
 
 def _using(df: DataFrame, name: str, constant: Column, use: Callable[[Column], Column]) -> DataFrame:
@@ -214,6 +216,29 @@ class Pieces:
         return gathered(self.signs, self.starts[ids], lengths, np.arange(len(ids))), ends
 
 
+@dataclass(frozen=True)
+class Marks:
+    """Words of bytes, as the fold takes them. ids: of each byte; ranks: of each pair of bytes."""
+
+    ids: np.ndarray
+    ranks: np.ndarray
+
+    @classmethod
+    def of(cls, ranks: dict[bytes, int]) -> Marks:
+        pairs = np.full((256, 256), _NONE, np.int32)
+        for piece, rank in ranks.items():
+            if len(piece) == 2:
+                pairs[piece[0], piece[1]] = rank
+        return cls(np.array([ranks[bytes([b])] for b in range(256)], np.int32), pairs)
+
+    def __call__(self, signs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A mark for each byte of some words, of FOLDED_BYTES at most, that stand one behind the other."""
+        ends = np.cumsum(lengths)
+        ranks = self.ranks[signs, np.append(signs[1:], signs[:1])].astype(np.int64)
+        ranks[ends[lengths > 0] - 1] = _NONE
+        return ranks << _RANK | np.arange(len(signs)) - np.repeat(ends - lengths, lengths) << _PLACE | self.ids[signs]
+
+
 class _Known:
     """Ids of words where they are known in the task; -1, -2, ... stand for the words in ``rare``, which are not."""
 
@@ -251,6 +276,8 @@ class Vocabulary:
     def __post_init__(self) -> None:
         if not all(bytes([b]) in self.ranks for b in range(256)):
             raise ValueError("a rank for every single byte is needed")
+        if max(self.ranks.values()) >= _NONE:
+            raise ValueError(f"ranks below {_NONE} are needed")
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
@@ -258,9 +285,6 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}, pattern)
 
-    def byte_ids(self) -> np.ndarray:
-        return np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-
     def merges(self, spark: SparkSession) -> Column:
         """The id of what each pair of ids makes: small maps by a hash of the pair, in one constant value."""
         ranks = self.ranks
@@ -279,44 +303,49 @@ class Vocabulary:
         return written(spark.createDataFrame(one_row), "bpe-merges").scalar()
 
     def folded(self, word: Column, table: Column) -> Column:
-        """The ids that a word, an array of the ids of its bytes, is merged to; table: as merges() gives it."""
+        """The ids that a word, an array of marks, is merged to; table: as merges() gives it.
+
+        A mark is one number for each part of the word: from the top the rank of the pair that it makes with the next part, where it
+        starts, and its id. So the lowest mark is the leftmost pair of the lowest rank, and one array holds all that a step needs.
+        """
+        of = lambda mark: mark.bitwiseAND(F.lit((1 << _PLACE) - 1))
+        rest = lambda mark: mark.bitwiseAND(F.lit((1 << _RANK) - 1))
 
         def pair(a: Column, b: Column) -> Column:
+            """The rank of a pair of ids, at its place in a mark."""
             small = F.get(table, (a * 7919 + b).bitwiseAND(F.lit(_SLOTS - 1)).cast("int"))
-            return F.coalesce(F.element_at(small, F.shiftleft(a, 32).bitwiseOR(b)), F.lit(_NONE))
-
-        def merge(state: Column, low: Column, at: Column) -> Column:
-            """at: the number of the pair from 1; what it makes has its rank as id."""
-            ids, ranks, none = state["ids"], state["ranks"], F.array().cast("array<bigint>")
-            left = F.when(at > 1, F.array(pair(F.get(ids, at - 2), low))).otherwise(none)
-            right = F.when(at + 1 < F.size(ids), F.array(pair(low, F.get(ids, at + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(ids, 1, at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ids))).alias("ranks"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            place = lambda low: _let(F.array_position(state["ranks"], low).cast("int"), lambda at: merge(state, low, at))
-            return _let(F.array_min(state["ranks"]), lambda low: F.when(low < _NONE, place(low)).otherwise(state))
-
-        pairs = F.transform(F.slice(word, 2, F.size(word)), lambda b, k: pair(F.get(word, k), b))
-        start = F.struct(word.alias("ids"), pairs.alias("ranks"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), start, step, lambda end: end["ids"])
+            return F.shiftleft(F.coalesce(F.element_at(small, F.shiftleft(a, 32).bitwiseOR(b)), F.lit(_NONE)), _RANK)
+
+        def merge(marks: Column, low: Column, at: Column) -> Column:
+            """at: the number of the pair from 0; what it makes has its rank as id."""
+            made = F.shiftright(low, _RANK)
+            new = pair(made, of(F.get(marks, at + 2))).bitwiseOR(rest(low) - of(low)).bitwiseOR(made)
+            before = lambda mark: pair(of(mark), made).bitwiseOR(rest(mark))
+            changed = F.transform(marks, lambda mark, k: F.when(k == at, new).when(k == at - 1, before(mark)).otherwise(mark))
+            return F.filter(changed, lambda _, k: k != at + 1)
+
+        def step(marks: Column, _: Column) -> Column:
+            # array_position ends by an exception in Spark, which takes longer than counting the parts before
+            at = lambda low: F.size(F.filter(marks, lambda mark: rest(mark) < rest(low)))
+            place = lambda low: _let(at(low), lambda k: merge(marks, low, k))
+            return _let(F.array_min(marks), lambda low: F.when(low < F.lit(_NONE << _RANK), place(low)).otherwise(marks))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(word) - 1), word, step, lambda end: F.transform(end, of))
 
     def encoded_words(self, words: DataFrame) -> DataFrame:
         """The words of a table (word) with their ids: array<bigint>. They are not cut by the pattern."""
-        ranks, byte_ids = words.sparkSession.sparkContext.broadcast(self.ranks), self.byte_ids()
+        ranks, marks = words.sparkSession.sparkContext.broadcast(self.ranks), Marks.of(self.ranks)
 
         def prepare(batch: pa.RecordBatch) -> dict[str, object]:
             codes = [w.encode() for w in batch.column("word").to_pylist()]
             known = [
                 [ranks.value[c]] if c in ranks.value else merged(c, ranks.value) if len(c) > FOLDED_BYTES else None for c in codes
             ]
-            parts = [None if k is not None else byte_ids[np.frombuffer(c, np.uint8)] for c, k in zip(codes, known, strict=True)]
-            return {"word": batch.column("word"), "_known": known, "_bytes": parts}
+            parts = [None if k is not None else marks(np.frombuffer(c, np.uint8), np.array([len(c)])) for c, k in zip(codes, known, strict=True)]
+            return {"word": batch.column("word"), "_known": known, "_marks": parts}
 
-        rows = map_steps(words.select("word"), prepare, "word string, _known array<bigint>, _bytes array<bigint>")
-        rows = _using(rows, "_folded", self.merges(words.sparkSession), lambda table: F.when(F.col("_bytes").isNotNull(), self.folded(F.col("_bytes"), table)))
+        rows = map_steps(words.select("word"), prepare, "word string, _known array<bigint>, _marks array<bigint>")
+        rows = _using(rows, "_folded", self.merges(words.sparkSession), lambda table: F.when(F.col("_marks").isNotNull(), self.folded(F.col("_marks"), table)))
         return rows.select("word", F.coalesce("_known", "_folded").alias("ids"))
 
     def counted(self, docs: DataFrame) -> DataFrame:
@@ -383,7 +412,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int, finish
     """The documents without their text, with what finish makes of all ids of some texts and how many each text has."""
     context = docs.sparkSession.sparkContext
     frequent, ranks = context.broadcast(frequent_words(docs, vocabulary, most_frequent)), context.broadcast(vocabulary.ranks)
-    pattern, byte_ids = vocabulary.pattern, vocabulary.byte_ids()
+    pattern, marks = vocabulary.pattern, Marks.of(vocabulary.ranks)
     kept = [f for f in docs.schema if f.name != "text"]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
@@ -399,7 +428,7 @@ def _encoded(docs: DataFrame, vocabulary: Vocabulary, most_frequent: int, finish
         codes[is_rare] = first[text] - of - 1
         lengths = np.fromiter(map(len, known.rare), np.int64, len(known.rare))
         signs = gathered(np.frombuffer(b"".join(known.rare), np.uint8), np.cumsum(lengths) - lengths, lengths, pairs % n)
-        words = _lists(byte_ids[signs], lengths[pairs % n])
+        words = _lists(marks(signs, lengths[pairs % n]), lengths[pairs % n])
         return {"_bpe_ids": _lists(codes.astype(np.int32), sizes), "_bpe_rare": _lists(words, np.diff(first))} | {f.name: batch.column(f.name) for f in kept}
 
     def place(batch: pa.RecordBatch) -> dict[str, object]:

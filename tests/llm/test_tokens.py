@@ -289,3 +289,17 @@ def test_the_driver_holds_little_beside_the_table_of_words(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(table.hashes) > 58_000 and peak < 20e6
+
+
+def test_a_step_of_the_fold_searches_no_position_and_works_out_no_type(spark):
+    """array_position ends by an exception for each merge, and an element of an array asks for its type in each row: most of the fold's time."""
+    from slotwise.llm.queries import vocabulary
+
+    words = ["unbelievableness", "a", "ab", "zq" * 64, "漢字かな", "xschautonbei", "é"]
+    rows = vocabulary().encoded_words(spark.createDataFrame([(w,) for w in words], "word string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "array_position" not in plan
+    from slotwise.llm.byte_bpe import merged
+
+    ranks = vocabulary().ranks
+    assert {r.word: r.ids for r in rows.collect()} == {w: [ranks[w.encode()]] if w.encode() in ranks else merged(w.encode(), ranks) for w in words}
