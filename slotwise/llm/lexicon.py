@@ -19,16 +19,20 @@ MAX_FEATURES = 2000
 MIN_RATIO = 30.0
 MIN_LIFT = 5.0
 
-_WORD = re.compile(r"[^\W_]+")
+#: What separates words: beyond ASCII signs of any script, which are rare; within ASCII all but letters and digits, as bytes.
+_OTHER_SIGNS = re.compile(r"[^\x00-\x7F\w]")
+_BLANKS = bytes(x if x >= 0x80 or chr(x).isalnum() else 0x20 for x in range(256))
 _FLUSH = 400_000
 
 
+def _encoded_words(text: str | None) -> set[bytes]:
+    """Lower-case words in UTF-8: runs of letters and digits of any script."""
+    return set(_OTHER_SIGNS.sub(" ", (text or "").lower()).encode().translate(_BLANKS).split())
+
+
 def words_of(text: str | None) -> set[str]:
-    """Lower-case words: runs of letters and digits of any script. Only distinct runs with other signs are split further."""
-    runs = set((text or "").lower().split())
-    words = {w for w in runs if w.isalnum()}
-    words.update(_WORD.findall(" ".join(runs - words)))
-    return words
+    """Lower-case words: runs of letters and digits of any script."""
+    return {w.decode() for w in _encoded_words(text)}
 
 
 class Features(dict):
@@ -36,14 +40,15 @@ class Features(dict):
 
     most = 300_000
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        own = self[word] = (word, *(word[:size] + "*" for size in BEGINNINGS if len(word) > size))
+    def __missing__(self, code: bytes) -> tuple[str, ...]:
+        word = code.decode()
+        own = self[code] = (word, *[word[:size] + "*" for size in BEGINNINGS if len(word) > size])
         return own
 
     def __call__(self, text: str | None) -> set[str]:
         if len(self) > self.most:
             self.clear()
-        return set().union(*map(self.__getitem__, words_of(text)))
+        return set().union(*map(self.__getitem__, _encoded_words(text)))
 
 
 class Matcher:
@@ -53,13 +58,14 @@ class Matcher:
         self.words = frozenset(w for w in wanted if not w.endswith("*"))
         self.beginnings = {k: frozenset(w[:-1] for w in wanted if w.endswith("*") and len(w) == k + 1) for k in BEGINNINGS}
         self.shortest = min(BEGINNINGS)
-        self.heads = frozenset(b[: self.shortest] for wanted in self.beginnings.values() for b in wanted)
+        # first bytes, so that only words that may have a feature are decoded
+        self.heads = frozenset(w.encode()[: self.shortest] for w in self.words.union(*self.beginnings.values()))
 
     def __call__(self, text: str | None) -> set[str]:
-        words = words_of(text)
-        out = words & self.words
-        for word in [w for w in words if w[: self.shortest] in self.heads]:
-            out.update(word[:k] + "*" for k, wanted in self.beginnings.items() if len(word) > k and word[:k] in wanted)
+        words = [w.decode() for w in _encoded_words(text) if w[: self.shortest] in self.heads]
+        out = set(self.words.intersection(words))
+        for word in words:
+            out.update([word[:k] + "*" for k, wanted in self.beginnings.items() if len(word) > k and word[:k] in wanted])
         return out
 
 

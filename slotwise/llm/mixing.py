@@ -53,9 +53,8 @@ _LOG = logging.getLogger(__name__)
 STYLE = ("size", "symbols", "digits", "upper", "marks", "word_size", "same_lines", "repeated", "distinct", "long_words")
 
 
-def style(text: str, words: list[bytes]) -> list[float]:
+def style(text: str, raw: bytes, words: list[bytes], distinct: set[bytes]) -> list[float]:
     """Measures between 0 and about 1. Digits, capitals and signs are those of ASCII."""
-    raw = text.encode()
     n, chars = max(len(words), 1), max(len(text), 1)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     count = lambda signs: len(raw) - len(raw.translate(None, signs))
@@ -67,9 +66,9 @@ def style(text: str, words: list[bytes]) -> list[float]:
         min(1.0, 10 * count(b"!?") / chars),
         min(1.0, chars / n / 20),
         1 - len(set(lines)) / max(len(lines), 1),
-        repeated_words(words) / n,
-        len(set(words)) / n,
-        np.count_nonzero(np.fromiter(map(len, words), np.int64, len(words)) > 30) / n,
+        repeated_words(words, distinct=distinct) / n,
+        len(distinct) / n,
+        sum(len(w) > 30 for w in words) / n if max(map(len, distinct), default=0) > 30 else 0.0,
     ]
 
 
@@ -89,10 +88,12 @@ def featured(docs: DataFrame, words: list[str]) -> DataFrame:
         match = lexicon.Matcher(words)
         for text in batch.column("text").to_pylist():
             text = text or ""
-            tokens = text.encode().split()
-            hits = sorted(at[w] for w in match(text))
+            raw = text.encode()
+            tokens = raw.split()
+            distinct = set(tokens)
+            hits = sorted(at[w] for w in match(b" ".join(distinct).decode()))
             index.append([*range(len(STYLE)), *hits])
-            value.append([*style(text, tokens), *[1.0] * len(hits)])
+            value.append([*style(text, raw, tokens, distinct), *[1.0] * len(hits)])
             size.append(len(tokens))
         return {"index": index, "value": value, "n_tokens": size} | {f.name: batch.column(f.name) for f in kept}
 

@@ -231,3 +231,22 @@ def test_only_rows_with_wanted_keys_go_on(spark):
     wanted = rows.filter("id < 40").select("text_key").distinct()
     found = {r.id for r in lexicon.likely(rows, wanted, "text_key").collect()}
     assert found >= {*range(40), *range(5040, 5050)} and len(found) < 100
+
+
+def test_words_are_matched_among_the_distinct_runs_of_a_text():
+    """What featured() reads of a text, its distinct runs in any order, gives the same features and counts as the text itself."""
+    import re
+
+    from slotwise.llm.line_quality import repeated_words
+
+    texts = ["ὈΔΟΣ ΟΔΟΣ ΑΣ' ΑΣ-Β l'ordure\xa0d'idiot x_y İdiot", "²x ½ ٣٤ _a_ é\x85t z z ﬁ STRASSE", "a b c a b c d " * 3 + "e", "", "a b", "a b c d"]
+    for text in texts:
+        plain = set(re.findall(r"[^\W_]+", text.lower()))
+        words = text.encode().split()
+        runs = set(words)
+        match = lexicon.Matcher([*plain, "ordu*", "stras*", "straß*"])
+        expected = plain | {w for w in ("ordu*", "stras*") if any(len(x) > len(w) - 1 and x.startswith(w[:-1]) for x in plain)}
+        assert match(text) == match(b" ".join(runs).decode()) == expected
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        assert repeated_words(words, distinct=runs) == repeated_words(words) == len(covered)
