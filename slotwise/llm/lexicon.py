@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import steps, written
+from slotwise.llm.common import given_back, steps, written
 
 #: Lengths of the word beginnings that count beside whole words.
 BEGINNINGS = (4, 5, 6)
@@ -136,7 +136,7 @@ def found_by_kind(labelled: DataFrame, kinds: int, most: int = MAX_FEATURES) ->
     sizes = {r["kind"]: r["count"] for r in labelled.groupBy("kind").count().collect()}
     n = sum(sizes.values())
     names = [f"n{k}" for k in range(kinds)]
-    counts = labelled.select("text", "kind").mapInArrow(_counted(kinds), "feature string, " + ", ".join(f"{x} long" for x in names))
+    counts = labelled.select("text", "kind").mapInArrow(given_back(_counted(kinds)), "feature string, " + ", ".join(f"{x} long" for x in names))
     counts = counts.groupBy("feature").agg(*(F.sum(x).alias(x) for x in names))
     held = sum((F.col(x) for x in names[1:]), F.col(names[0]))
     part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)

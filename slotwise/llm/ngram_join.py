@@ -44,6 +44,8 @@ TARGET_RECALL = 0.999
 SKETCH_SHARE = 0.45
 #: Shingles that a block may hold.
 BLOCK_SHINGLES = 2_000_000
+#: Bytes of text that a Python step turns into shingles.
+_STEP = 2 << 20
 
 _ODD = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = mixed(np.arange(1001, 1001 + COORDINATES, dtype=np.uint64))
@@ -72,10 +74,7 @@ def coordinates(tokens: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, item (16 bytes that stand for the set; null without a word), n_tokens, chosen, sketch."""
-    known = {}
-
-    def sign(batch: pa.RecordBatch) -> dict[str, list]:
-        hashes = known.setdefault(0, WordHashes())
+    def sign(batch: pa.RecordBatch, hashes: WordHashes) -> dict[str, list]:
         out: dict[str, list] = {"item": [], "n_tokens": [], "chosen": [], "sketch": []}
         for text in batch.column("text").to_pylist():
             tokens = shingles((text or "").encode().split(), hashes)
@@ -88,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     return map_steps(
         docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text"), sign,
-        "doc_id long, text_key binary, item binary, n_tokens int, chosen array<int>, sketch binary",
+        "doc_id long, text_key binary, item binary, n_tokens int, chosen array<int>, sketch binary", _STEP, WordHashes,
     )
 
 
@@ -210,13 +209,11 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float =
     wanted = written(flagged.select("item").distinct().join(classes.select("item", "text_key"), "item"), "wanted")
     texts = likely(docs.select(text_key(F.col("text")).alias("text_key"), "text"), wanted, "text_key")
     texts = texts.dropDuplicates(["text_key"]).join(wanted, "text_key").select("item", "text")
-    known = {}
 
-    def tokens_of(batch: pa.RecordBatch) -> dict[str, list]:
-        hashes = known.setdefault(0, WordHashes())
+    def tokens_of(batch: pa.RecordBatch, hashes: WordHashes) -> dict[str, list]:
         return {"item": batch.column("item"), "tokens": [shingles(t.encode().split(), hashes).tobytes() for t in batch.column("text").to_pylist()]}
 
-    tokens = written(map_steps(texts, tokens_of, "item binary, tokens binary"), "tokens")
+    tokens = written(map_steps(texts, tokens_of, "item binary, tokens binary", _STEP, WordHashes), "tokens")
     rows = pairs.dealt(flagged.withColumnRenamed("n_tokens", "load"), most_load=BLOCK_SHINGLES).drop("load").join(tokens, "item")
 
     def verdict(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import written
+from slotwise.llm.common import given_back, written
 
 #: Items of a block. A group of rows holds two blocks at most.
 BLOCK = 256
@@ -56,7 +56,7 @@ def packed(members: DataFrame) -> DataFrame:
                 names=["bucket", "own", "blocks", "packed"],
             )
 
-    rows = members.repartition("bucket", "own").sortWithinPartitions("bucket", "own").mapInArrow(pack, "bucket long, own int, blocks int, packed binary")
+    rows = members.repartition("bucket", "own").sortWithinPartitions("bucket", "own").mapInArrow(given_back(pack), "bucket long, own int, blocks int, packed binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "packed")
 
@@ -74,8 +74,8 @@ def compared(members: DataFrame, compare: Callable[[Iterator[pa.RecordBatch]], I
     """What compare makes of the groups of members (as dealt): buckets of one block as they are, pairs of blocks of all others."""
     whole = members.filter("blocks = 1").drop("blocks").withColumns({"left": F.lit(0), "right": F.lit(0)})
     blocks = packed(members.filter("blocks > 1"))
-    found = by_group(whole).mapInArrow(lambda batches: compare(groups(batches)), schema)
-    return found.union(by_group(blocks).mapInArrow(lambda batches: compare(unpacked(batches)), schema))
+    found = by_group(whole).mapInArrow(given_back(lambda batches: compare(groups(batches))), schema)
+    return found.union(by_group(blocks).mapInArrow(given_back(lambda batches: compare(unpacked(batches))), schema))
 
 
 def by_group(df: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def linked(
     schema = "item binary, root binary, weight long"
     if "blocks" in members.columns:
         return written(compared(members, compare, schema), name)
-    return written(by_group(members).mapInArrow(lambda batches: compare(groups(batches)), schema), name)
+    return written(by_group(members).mapInArrow(given_back(lambda batches: compare(groups(batches))), schema), name)
 
 
 def components(edges: DataFrame) -> DataFrame:

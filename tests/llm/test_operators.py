@@ -250,3 +250,29 @@ def test_words_are_matched_among_the_distinct_runs_of_a_text():
         windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
         covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
         assert repeated_words(words, distinct=runs) == repeated_words(words) == len(covered)
+
+
+def test_a_task_gives_its_memory_back(spark, monkeypatch):
+    """Spark keeps Python processes for later tasks; one that has signed texts of many words must not hold them."""
+    import gc
+    import re
+    from pathlib import Path
+
+    def own() -> float:
+        gc.collect()
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    docs = documents(spark, [])
+    tasks = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    ngram_join.signatures(docs)
+
+    def batches():
+        for k in range(40):
+            texts = [" ".join(f"word{k}x{i}x{j}" for j in range(200)) for i in range(35)]
+            yield pa.table({"doc_id": pa.array(range(35)), "text_key": pa.array([b""] * 35), "text": texts}).combine_chunks().to_batches()[0]
+
+    assert sum(x.num_rows for x in tasks[0](iter(list(batches())[:1]))) == 35  # what is loaded once for good
+    before = own()
+    assert sum(x.num_rows for x in tasks[0](batches())) == 1400
+    assert own() - before < 12
