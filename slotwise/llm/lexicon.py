@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +25,23 @@ MIN_LIFT = 5.0
 #: What separates words: beyond ASCII signs of any script, which are rare; within ASCII all but letters and digits, as bytes.
 _OTHER_SIGNS = re.compile(r"[^\x00-\x7F\w]")
 _BLANKS = bytes(x if x >= 0x80 or chr(x).isalnum() else 0x20 for x in range(256))
+#: Features that a task counts before it sends their counts, and bytes of text between two looks at them.
 _FLUSH = 400_000
+_COUNT_BYTES = 1 << 20
+#: What is kept of four bytes, by the length of the word that they begin.
+_FIRST = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+#: No word begins like this, in UTF-8.
+_NO_WORD = 0xFFFFFFFF
+
+
+def _spaced(text: str | None) -> bytes:
+    """The lower-case text in UTF-8, with a space for all that separates words."""
+    return _OTHER_SIGNS.sub(" ", (text or "").lower()).encode().translate(_BLANKS)
 
 
 def _encoded_words(text: str | None) -> set[bytes]:
     """Lower-case words in UTF-8: runs of letters and digits of any script."""
-    return set(_OTHER_SIGNS.sub(" ", (text or "").lower()).encode().translate(_BLANKS).split())
+    return set(_spaced(text).split())
 
 
 def words_of(text: str | None) -> set[str]:
@@ -35,20 +49,44 @@ def words_of(text: str | None) -> set[str]:
     return {w.decode() for w in _encoded_words(text)}
 
 
-class Features(dict):
-    """Lower-case words of texts, and word beginnings with a star. What a word gives is remembered up to a bound."""
-
-    most = 300_000
+class Features:
+    """In how many texts of each kind words and, with a star, word beginnings are found.
 
-    def __missing__(self, code: bytes) -> tuple[str, ...]:
-        word = code.decode()
-        own = self[code] = (word, *[word[:size] + "*" for size in BEGINNINGS if len(word) > size])
-        return own
+    Words and beginnings have numbers. The beginnings of new words are cut off for many texts at once.
+    """
 
-    def __call__(self, text: str | None) -> set[str]:
-        if len(self) > self.most:
-            self.clear()
-        return set().union(*map(self.__getitem__, _encoded_words(text)))
+    def __init__(self, kinds: int) -> None:
+        self.words: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.heads: defaultdict[str, int] = defaultdict(itertools.count(1).__next__)  # 0 stands for none
+        self.of = np.zeros((0, len(BEGINNINGS)), np.int32)
+        self.by_word, self.by_head = np.zeros((kinds, 0), np.int64), np.zeros((kinds, 1), np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.heads)
+
+    def add(self, texts: list[str | None], kinds: list[int]) -> None:
+        held = [np.fromiter(map(self.words.__getitem__, own), np.int64, len(own)) for own in map(_encoded_words, texts)]
+        self._cut()
+        for own, kind in zip(held, kinds, strict=True):
+            self.by_word[kind, own] += 1
+            self.by_head[kind, self.of[own]] += 1  # once, however many of the words begin like this
+
+    def _cut(self) -> None:
+        new = pa.array(list(itertools.islice(self.words, len(self.of), None)), pa.binary()).cast(pa.string())
+        length, columns = pc.utf8_length(new), []
+        for size in BEGINNINGS:
+            heads = pc.if_else(pc.greater(length, size), pc.utf8_slice_codeunits(new, 0, size), pa.scalar(None, pa.string())).dictionary_encode()
+            numbers = [*map(self.heads.__getitem__, heads.dictionary.to_numpy(zero_copy_only=False)), 0]
+            columns.append(np.array(numbers, np.int32)[np.asarray(heads.indices.fill_null(-1))])
+        self.of = np.concatenate([self.of, np.stack(columns, axis=1)])
+        self.by_word = np.pad(self.by_word, ((0, 0), (0, len(new))))
+        self.by_head = np.pad(self.by_head, ((0, 0), (0, len(self.heads) + 1 - self.by_head.shape[1])))
+
+    def counted(self) -> pa.RecordBatch:
+        """feature, n0, n1 and so on for the kinds."""
+        names = pa.concat_arrays([pa.array(list(self.words), pa.binary()).cast(pa.string()), pa.array([head + "*" for head in self.heads], pa.string())])
+        columns = [pa.array(np.concatenate([x, y[1:]])) for x, y in zip(self.by_word, self.by_head, strict=True)]
+        return pa.RecordBatch.from_arrays([names, *columns], names=["feature", *(f"n{k}" for k in range(len(columns)))])
 
 
 class Matcher:
@@ -57,12 +95,18 @@ class Matcher:
     def __init__(self, wanted: list[str]) -> None:
         self.words = frozenset(w for w in wanted if not w.endswith("*"))
         self.beginnings = {k: frozenset(w[:-1] for w in wanted if w.endswith("*") and len(w) == k + 1) for k in BEGINNINGS}
-        self.shortest = min(BEGINNINGS)
-        # first bytes, so that only words that may have a feature are decoded
-        self.heads = frozenset(w.encode()[: self.shortest] for w in self.words.union(*self.beginnings.values()))
+        # first four bytes, so that only words that may have a feature are cut out
+        heads = {int.from_bytes(w.encode()[:4], "little") for w in self.words.union(*self.beginnings.values())}
+        self.heads = np.array(sorted(heads | {_NO_WORD}), np.uint32)
 
     def __call__(self, text: str | None) -> set[str]:
-        words = [w.decode() for w in _encoded_words(text) if w[: self.shortest] in self.heads]
+        raw = b" %b    " % _spaced(text)
+        blank = np.frombuffer(raw, np.uint8) == 0x20
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        first = np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))[starts] & _FIRST[np.minimum(ends - starts, 4)]
+        hit = np.flatnonzero(self.heads[np.searchsorted(self.heads, first)] == first)
+        words = {raw[start:end].decode() for start, end in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)}
         out = set(self.words.intersection(words))
         for word in words:
             out.update([word[:k] + "*" for k, wanted in self.beginnings.items() if len(word) > k and word[:k] in wanted])
@@ -112,21 +156,13 @@ def marked_labels(labels: DataFrame, mark: Column) -> DataFrame:
 
 def _counted(kinds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, features = [Counter() for _ in range(kinds)], Features()
-
-        def flushed() -> pa.RecordBatch:
-            every = list(set().union(*counts))
-            columns = [pa.array([own[x] for x in every], pa.int64()) for own in counts]
-            for own in counts:
-                own.clear()
-            return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *columns], names=["feature", *(f"n{k}" for k in range(kinds))])
-
-        for batch in steps(batches):
-            for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
-                counts[kind].update(features(text))
-                if sum(map(len, counts)) > _FLUSH:
-                    yield flushed()
-        yield flushed()
+        features = Features(kinds)
+        for batch in steps(batches, _COUNT_BYTES):
+            features.add(batch.column("text").to_pylist(), batch.column("kind").to_pylist())
+            if len(features) > _FLUSH:
+                yield features.counted()
+                features = Features(kinds)
+        yield features.counted()
 
     return count
 
