@@ -21,19 +21,12 @@ from slotwise.llm.common import given_back, written
 BLOCK = 256
 
 
-def blocked(members: DataFrame, block: int = BLOCK, most_load: int | None = None) -> DataFrame:
-    """bucket, item, own, left, right: the pairs of blocks that each item of a bucket takes part in.
+def dealt(members: DataFrame, block: int = BLOCK, most_load: int | None = None) -> DataFrame:
+    """The members of buckets of two or more with blocks, how many blocks their bucket has, and own, the block they are in.
 
     An item's block is drawn from its hash; a bucket of n items has ceil(n / block) blocks, or as many more as it takes for
     a block to hold at most ``most_load`` of what column load adds up to.
     """
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = dealt(members, block, most_load).withColumn("other", other)
-    return rows.select("bucket", "item", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-
-
-def dealt(members: DataFrame, block: int = BLOCK, most_load: int | None = None) -> DataFrame:
-    """The members of buckets of two or more with blocks, how many blocks their bucket has, and own, the block they are in."""
     load = F.sum("load") / most_load if most_load else F.lit(0.0)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), load.alias("loads")).filter("size > 1")
     blocks = F.ceil(F.greatest(F.col("size") / block, F.col("loads"))).cast("int")
@@ -161,8 +154,8 @@ def linked(
 ) -> DataFrame:
     """item, root, weight: partial results of every group; sum the weights and join the roots for the whole.
 
-    members: bucket, left, right, own (or, as dealt, bucket, blocks, own), item (binary), copies (long), buckets (array<long>) and
-    what ``verdict`` needs; it says for pairs of rows whether they are linked.
+    members: as dealt, bucket, blocks, own, item (binary), copies (long), buckets (array<long>) and what ``verdict`` needs; it
+    says for pairs of rows whether they are linked.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +184,7 @@ def linked(
                 names=["item", "root", "weight"],
             )
 
-    schema = "item binary, root binary, weight long"
-    if "blocks" in members.columns:
-        return written(compared(members, compare, schema), name)
-    return written(by_group(members).mapInArrow(given_back(lambda batches: compare(groups(batches))), schema), name)
+    return written(compared(members, compare, "item binary, root binary, weight long"), name)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -105,6 +105,87 @@ def test_hashing_finds_pairs_at_the_threshold():
         assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in pairs]) > 0.998
 
 
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+
+
+def near(rng, center, n, by):
+    x = center + by * rng.normal(size=(n, len(center)))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_vectors_go_to_no_bucket(spark, monkeypatch):
+    """Different vectors share many buckets; only those that their sketches link send their vectors, once."""
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([rng.normal(size=(3000, 64)), near(rng, rng.normal(size=64) / 8, 20, 0.0125)])
+    seen = []
+    linked = pairs.linked
+    monkeypatch.setattr(pairs, "linked", lambda members, *more: seen.append(members.count()) or linked(members, *more))
+    found = embedding_dup.links(vectors_of(spark, rows))
+    assert {r.n_links for r in found.filter("vec_id >= 3000").collect()} == {19} and found.filter("vec_id < 3000 AND n_links > 0").count() == 0
+    assert seen == [20]
+
+
+def test_links_of_vectors_against_all_pairs(spark):
+    """A cluster, a chain that goes bucket by bucket, copies, strangers and another length; buckets and groups cut small."""
+    rng = np.random.default_rng(5)
+    chain = [rng.normal(size=64) / 8]
+    for _ in range(199):  # steps of 10 degrees; two of them are 14 degrees or so
+        step = rng.normal(size=64)
+        step -= (step @ chain[-1]) * chain[-1] / (chain[-1] @ chain[-1])
+        chain.append(chain[-1] / np.linalg.norm(chain[-1]) + np.tan(np.radians(10)) * step / np.linalg.norm(step))
+    same = rng.normal(size=64)
+    rows = [*near(rng, rng.normal(size=64) / 8, 150, 0.02), *chain, same, same, 2 * same, *rng.normal(size=(300, 64)), *near(rng, rng.normal(size=48) / 7, 5, 0.01)]
+    unit = [v / np.linalg.norm(v) for v in rows]
+    linked = np.array([[i != j and len(x) == len(y) and x @ y >= 0.95 for j, y in enumerate(unit)] for i, x in enumerate(unit)])
+    group = np.arange(len(rows))
+    while True:
+        new = np.where(linked, group[None, :], group[:, None]).min(axis=1)
+        if (new == group).all():
+            break
+        group = new
+    for cut in ({}, {"large": 16, "whole": 4}):
+        found = {r.vec_id: r for r in embedding_dup.links(vectors_of(spark, rows), **cut).collect()}
+        assert [found[k].n_links for k in range(len(rows))] == linked.sum(axis=1).tolist()
+        assert [found[k].component_id for k in range(len(rows))] == group.tolist()
+        assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
+
+
+def test_partners_are_found_in_runs_of_any_length():
+    """Rows with a partner in their bucket and their groups, however rows come in batches, against all pairs."""
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 3, 32, 33, 50, 60, 61, 62, 200, 1, 1, 2, 40]
+    bucket = np.repeat(np.arange(len(sizes)) - 5, sizes)
+    seeds = rng.integers(-(2**63), 2**63, (len(bucket), 4))
+    words = np.where(rng.random(len(bucket))[:, None] < 0.5, seeds[bucket * 7 % 5], seeds) ^ (1 << rng.integers(0, 63, (len(bucket), 4)))
+    apart = np.array([[sum(bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for a, b in zip(x, y, strict=True)) for y in words] for x in words])
+    close = (apart <= 20) & (bucket[:, None] == bucket) & ~np.eye(len(bucket), dtype=bool)
+    columns = [pa.array(bucket), pa.array(np.arange(len(bucket))), *(pa.array(words[:, k]) for k in range(4))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "n", *embedding_dup.WORDS])
+    for step in (1, 7, 64, 1000):
+        out = pa.Table.from_batches(embedding_dup.allowed(20, 60)(batch.slice(k, step) for k in range(0, batch.num_rows, step))).to_pylist()
+        large = {r["n"]: [r[w] for w in embedding_dup.WORDS] for r in out if r["root"] is None}
+        assert large == {k: words[k].tolist() for k in range(len(bucket)) if sizes[bucket[k] + 5] > 60}
+        roots = {r["n"]: r["root"] for r in out if r["root"] is not None}
+        assert len(out) == len(large) + len(roots) and set(roots) == set(np.flatnonzero(close.any(axis=1))) - set(large)
+        assert all(roots[i] == roots[j] for i, j in np.argwhere(close).tolist() if i in roots)
+        assert all(bucket[n] == bucket[root] and roots[root] == root for n, root in roots.items())
+
+
+def test_sketches_tell_angles():
+    """At the threshold sketches differ in as many bits as chance has it, and never in too many."""
+    rng = np.random.default_rng(7)
+    for width in (2, 3, 64, 300):
+        x = rng.normal(size=(4000, width))
+        z = rng.normal(size=x.shape)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        apart = [bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for a, b in zip(embedding_dup.sketches(x).ravel(), embedding_dup.sketches(y).ravel(), strict=True)]
+        apart = np.reshape(apart, (-1, 4)).sum(axis=1)
+        assert abs(apart.mean() - 256 * np.arccos(0.95) / np.pi) < 1 and apart.max() <= embedding_dup.most_apart(0.95) < 70
+
+
 def test_toxic_documents_are_learned(spark):
     """Insults that no fixed list knows, told from held-out labels."""
     rows, marks = [], []
