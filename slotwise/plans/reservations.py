@@ -9,7 +9,7 @@ from slotwise.fixed_values import DEFAULT_TZ
 from slotwise.functions.costs import dbl, edition_slot_second, payg_rate, sum_whole
 from slotwise.functions.texts import money
 from slotwise.functions.times import truncate
-from slotwise.operators.collecting import collected
+from slotwise.operators.collecting import by_order, collected
 from slotwise.operators.scans import created_within_absolute, of_project, within_absolute, within_civil
 from slotwise.params import AsOf, Prices
 from slotwise.sources.warehouse import Warehouse
@@ -194,8 +194,9 @@ def queries_and_reservation_usage_per_second(
     One row per second, reservation and job, whatever their number. ``literal`` gives
     one row per second and reservation with the whole array of its jobs, as first
     published; the array, in order of its structs, is bounded only by the jobs alive in
-    one second of one reservation, and is gathered from parts. It also prices editions
-    as in the autoscale report.
+    one second of one reservation. Slots and jobs are dealt out by time together, as flat
+    rows and once; arrays are made, met with their slots and sorted where they lie, so that
+    none is moved. It also prices editions as in the autoscale report.
     """
     second = ["start_time", "reservation_name"]
     jobs = jobs_per_second(
@@ -217,8 +218,12 @@ def queries_and_reservation_usage_per_second(
     )
     newest = F.col("start_time").desc()
     if literal:
-        listed = collected(jobs, second, "job", F.col("job.job_id"), name="jobs")
-        return slots.join(listed, second).select(*slots.columns, "jobs").orderBy(newest, "reservation_name")
+        held = slots.select(*second, F.struct(*[c for c in slots.columns if c not in second]).alias("slot"))
+        rows = held.unionByName(jobs, allowMissingColumns=True).dropna(subset=second)
+        rows = by_order(rows, newest, F.col("reservation_name"))
+        listed = collected(rows, second, "job", F.col("job.job_id"), name="jobs", parts=1, also={"slots": "slot"})
+        met = listed.filter(F.size("jobs") > 0).select(*second, F.explode("slots").alias("slot"), "jobs")
+        return met.orderBy(newest, "reservation_name").select(*second, "slot.*", "jobs")
     return slots.join(jobs, second).select(*slots.columns, "job.*").orderBy(newest, "reservation_name", "job_id")
 
 

@@ -85,6 +85,13 @@ def test_approximate_counts_shuffle_sketches(plans):
     assert "Exchange hashpartitioning" in above and "hashpartitioning" not in below
 
 
+def test_arrays_of_jobs_are_not_moved(plans):
+    """Slots and jobs are shuffled once, as rows; arrays, their join and the order need no further exchange."""
+    text = plans["queries_and_reservation_usage_per_second__literal"]
+    assert text.count("Exchange") == 1 and text.count("partial_collect_list") == 4  # jobs and slots, twice
+    assert "collect_list" not in text[text.index("Exchange rangepartitioning(start_time") :]
+
+
 def test_job_lists_read_only_their_columns(laid_out):
     text = plan(registry.reports()["top_cost_users"](laid_out))
     (scan,) = re.findall(r"FileScan parquet \[(.*?)\]", text)

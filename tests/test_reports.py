@@ -235,6 +235,24 @@ def test_each_job_of_a_second_is_a_row_whatever_their_number(spark, n):
     assert [r.n for r in listed.select(F.size("jobs").alias("n")).collect()] == [1, n]
 
 
+def test_seconds_meet_their_jobs_as_in_a_join(spark):
+    """Repeated slots and jobs, names that are null, and seconds that only one side knows."""
+    wh = warehouse(
+        spark,
+        reservations_timeline=[reserved(), reserved(), reserved(reservation_name=None, reservation_id=None), reserved(reservation_name="other", edition=None),
+                               reserved(period_start=utc("2024-01-30 11:00:00"), per_second_details=[{"start_time": None}])],
+        jobs_timeline=[second("2024-01-30 10:00:00", job_id=k, period_slot_ms=ms) for k, ms in (("b", 2), ("a", None), ("a", None), ("c", 1))]
+        + [second("2024-01-30 10:00:01", job_id="d", reservation_id="admin:US.other"), second("2024-01-30 10:00:01", job_id="e", reservation_id=None),
+           second("2024-01-30 10:00:02", job_id="f"), second("2024-01-30 10:00:01", job_id="g", reservation_id="admin:US.third")],
+    )
+    df = reservations.queries_and_reservation_usage_per_second(wh, as_of=AS_OF, literal=True)
+    assert df.columns == ["start_time", "reservation_name", "edition", "autoscale_current_slots", "autoscale_max_slots", "slots_assigned", "slots_max_assigned", "jobs"]
+    got = [(str(r.start_time), r.reservation_name, r.edition, r.autoscale_max_slots, [(x.job_id, x.period_slot_ms) for x in r.jobs])
+           for r in df.withColumn("start_time", F.date_format("start_time", "HH:mm:ss")).collect()]
+    jobs_of_r = [("a", None), ("a", None), ("c", 1), ("b", 2)]
+    assert got == [("10:00:01", "other", None, 0, [("d", got[0][4][0][1])]), *[("10:00:00", "r", "ENTERPRISE_PLUS", 200, jobs_of_r)] * 2]
+
+
 def test_planning_runs_no_job(spark):
     wh = warehouse(spark, reservations_timeline=[reserved()], jobs_timeline=[second("2024-01-30 10:00:00")])
     spark.sparkContext.setJobGroup("planning", "planning")
